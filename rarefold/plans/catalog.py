@@ -7,6 +7,7 @@ import importlib
 SECTIONS = [
     "rarefold.plans.q_contract",
     "rarefold.plans.q_profile",
+    "rarefold.plans.q_audit",
 ]
 
 

@@ -8,6 +8,7 @@ SECTIONS = [
     "rarefold.plans.q_contract",
     "rarefold.plans.q_profile",
     "rarefold.plans.q_audit",
+    "rarefold.plans.q_resample",
 ]
 
 

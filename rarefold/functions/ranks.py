@@ -17,17 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PERSISTED: list[DataFrame] = []
-
-
-def release() -> None:
-    """Unpersist every kernel input cached since the last call (call between queries)."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
+from rarefold.functions.cache import keep, release  # noqa: F401  (release re-exported)
 
 _MANTISSA_STEPS = 1024
 _OFFSET = 1 << 22
@@ -70,8 +63,7 @@ def exclusive_prefix(
     # shared materialisation the whole upstream would run twice -- and 2^d times for d chained
     # kernels.  Persist the (part, bucket)-partitioned input once (memory, spilling to disk);
     # a lost block is recomputed deterministically from lineage.
-    tagged = df.withColumn("_bkt", bucket).repartition(*part, "_bkt").persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(tagged)
+    tagged = keep(df.withColumn("_bkt", bucket).repartition(*part, "_bkt"))
     totals = tagged.groupBy(*part, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     bo = F.col("_bkt").desc() if descending else F.col("_bkt").asc()
     wb = Window.partitionBy(*part).orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ SECTIONS = [
     "rarefold.plans.q_profile",
     "rarefold.plans.q_audit",
     "rarefold.plans.q_resample",
+    "rarefold.plans.q_metrics",
 ]
 
 

@@ -59,11 +59,12 @@ def exclusive_prefix(
     unique within ``part`` (pre-aggregate ties first).
     """
     part = list(part)
-    # The input is read twice (bucket totals, fine window).  A plan is a tree, so without a
-    # shared materialisation the whole upstream would run twice -- and 2^d times for d chained
-    # kernels.  Persist the (part, bucket)-partitioned input once (memory, spilling to disk);
-    # a lost block is recomputed deterministically from lineage.
-    tagged = keep(df.withColumn("_bkt", bucket).repartition(*part, "_bkt"))
+    # The input is read twice (bucket totals, fine window), and the result is typically read
+    # by several downstream branches.  A plan is a tree, so without a shared materialisation
+    # chained kernels would re-run their upstream 2^d times.  The kernel's OUTPUT is persisted
+    # (memory, spilling to disk; a lost block is recomputed deterministically from lineage):
+    # each kernel then runs once and a chain costs linear work.
+    tagged = df.withColumn("_bkt", bucket).repartition(*part, "_bkt")
     totals = tagged.groupBy(*part, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     bo = F.col("_bkt").desc() if descending else F.col("_bkt").asc()
     wb = Window.partitionBy(*part).orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
@@ -76,4 +77,4 @@ def exclusive_prefix(
     out = joined
     for c in sums:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wf), F.lit(0)))
-    return out.drop("_bkt", *[f"_o_{c}" for c in sums])
+    return keep(out.drop("_bkt", *[f"_o_{c}" for c in sums]))

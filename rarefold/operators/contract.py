@@ -90,6 +90,32 @@ def reason_expr(spec: DatasetSpec) -> Column:
     return F.nullif(F.concat_ws("; ", *parts), F.lit(""))
 
 
+def rule_ok(c: Column, rule: Rule) -> Column:
+    """Plain comparison form of a rule (Catalyst pushes these into the parquet scan)."""
+    if rule.kind == "ge":
+        return c >= F.lit(rule.value)
+    if rule.kind == "le":
+        return c <= F.lit(rule.value)
+    if rule.kind == "gt":
+        return c > F.lit(rule.value)
+    if rule.kind == "isin":
+        return c.isin(*rule.value)
+    raise ValueError(rule.kind)
+
+
+def valid_predicate(spec: DatasetSpec) -> Column:
+    """True iff the row passes every check; never null.  A cheap conjunction of comparisons,
+    so the valid branch needs no reason strings and its bounds reach the scan as PushedFilters."""
+    pred = F.lit(True)
+    for f in spec.fields:
+        c = F.col(f.name)
+        ok = F.lit(True)
+        for r in f.rules:
+            ok = ok & rule_ok(c, r)
+        pred = pred & ((c.isNull() | ok) if f.nullable else (c.isNotNull() & ok))
+    return pred
+
+
 def tag(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Add the quarantine reason column (null = valid row)."""
     return df.withColumn(REASON, reason_expr(spec))
@@ -97,9 +123,11 @@ def tag(df: DataFrame, spec: DatasetSpec) -> DataFrame:
 
 def split(df: DataFrame, spec: DatasetSpec, tagged: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(valid rows without the reason column, quarantined rows with it)."""
-    t = tagged if tagged is not None else tag(df, spec)
-    valid = t.filter(F.col(REASON).isNull()).drop(REASON)
-    bad = t.filter(F.col(REASON).isNotNull())
+    if tagged is not None:
+        return tagged.filter(F.col(REASON).isNull()).drop(REASON), tagged.filter(F.col(REASON).isNotNull())
+    pred = valid_predicate(spec)
+    valid = df.filter(pred)
+    bad = df.filter(~pred).withColumn(REASON, reason_expr(spec))
     return valid, bad
 
 

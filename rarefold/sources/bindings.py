@@ -17,6 +17,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rarefold.functions.partitioning import spread
+
 LINEITEM_COLS = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
     "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
@@ -46,7 +48,7 @@ def failure_label() -> Column:
 
 def observations(spark: SparkSession, sf_dir: str, extra: bool = False) -> DataFrame:
     """(row_id, qty, price, disc, tax, line, failure) [+ returnflag, linestatus if extra]."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     cols = [
         row_key().alias("row_id"),
         F.col("l_quantity").alias("qty"),

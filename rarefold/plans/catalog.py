@@ -10,6 +10,7 @@ SECTIONS = [
     "rarefold.plans.q_audit",
     "rarefold.plans.q_resample",
     "rarefold.plans.q_metrics",
+    "rarefold.plans.q_models",
 ]
 
 

@@ -11,6 +11,7 @@ SECTIONS = [
     "rarefold.plans.q_resample",
     "rarefold.plans.q_metrics",
     "rarefold.plans.q_models",
+    "rarefold.plans.q_explain",
 ]
 
 

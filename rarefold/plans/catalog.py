@@ -12,6 +12,7 @@ SECTIONS = [
     "rarefold.plans.q_metrics",
     "rarefold.plans.q_models",
     "rarefold.plans.q_explain",
+    "rarefold.plans.q_io",
 ]
 
 

@@ -36,10 +36,21 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def scan_csv(spark: SparkSession, path: str, spec: DatasetSpec, key: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """A1 + B2: (typed frame, per-cell type violations).  Structural problems raise first."""
-    text = T.StructType([T.StructField(key, T.StringType())] + [T.StructField(f.name, T.StringType()) for f in spec.fields])
-    raw = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").csv(path)
+def scan_csv(spark: SparkSession, path: str, spec: DatasetSpec, key: str | None = "row_id") -> tuple[DataFrame, DataFrame]:
+    """A1 + B2: (typed frame, per-cell type violations).  Structural problems raise first.
+
+    ``key=None``: the file has no key column; rows get their 0-based position as ``row_id``
+    (``zipWithIndex``: exact across partitions, two passes -- meant for small files whose row
+    numbers are reported, like the reference's positional index)."""
+    fields = [T.StructField(f.name, T.StringType()) for f in spec.fields]
+    if key is None:
+        raw0 = spark.read.schema(T.StructType(fields)).option("header", True).option("mode", "PERMISSIVE").csv(path)
+        indexed = raw0.rdd.zipWithIndex().map(lambda t: (str(t[1]),) + tuple(t[0]))
+        raw = spark.createDataFrame(indexed, T.StructType([T.StructField("row_id", T.StringType())] + fields))
+        key = "row_id"
+    else:
+        text = T.StructType([T.StructField(key, T.StringType())] + fields)
+        raw = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").csv(path)
     contract.check_structure(spark.read.option("header", True).csv(path), spec, allow=(key,), check_types=False)
     contract.assert_columns_parse(raw, spec)
     types = contract.type_violations(raw, spec, key)

@@ -288,3 +288,42 @@ def tree_leaf_table(df: DataFrame, feats: list[str], seed: int = 42) -> tuple[Da
         "rules": model.toDebugString,
     }
     return leaves, info
+
+
+def isotonic_cv(folded: DataFrame, feats: list[str], k_outer: int, k_cal: int = 3, threads: int = 4) -> DataFrame:
+    """Plain logistic wrapped in isotonic calibration (Spark ML's distributed PAVA, linear
+    interpolation, clipped ends) with an internal k_cal-fold CV; calibrated probabilities of
+    the k_cal (model, calibrator) pairs are averaged."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import IsotonicRegression
+
+    nf = keep(inner_folds(folded, k_outer, k_cal))
+    cell = ["rep", "outer", "inner"]
+    spark = folded.sparkSession
+    inner_tab = F.broadcast(spark.range(k_cal).select(F.col("id").cast("int").alias("_v")))
+    ex = nf.crossJoin(inner_tab).withColumn("role", F.when(F.col("inner") == F.col("_v"), "cal").otherwise("train"))
+    ex = ex.drop("inner").withColumnRenamed("_v", "inner")
+    tr, cal = ex.filter(F.col("role") == "train"), ex.filter(F.col("role") == "cal")
+    stats = keep(fit_prep(tr, cell, feats, scale=True))
+    coefs = keep(linear.fit_logistic(apply_prep(tr, stats, cell, feats), cell, feats, "y", None, 1.0))
+    asm = VectorAssembler(inputCols=["margin"], outputCol="mf")
+    cm = keep(asm.transform(linear.margin(apply_prep(cal, stats, cell, feats), coefs, cell, feats)).withColumn("yd", F.col("y").cast("double")))
+    _, test = _cv_cells(folded, k_outer)
+    te = test.crossJoin(inner_tab).withColumnRenamed("_v", "inner")
+    tm = keep(asm.transform(linear.margin(apply_prep(te, stats, cell, feats), coefs, cell, feats)))
+    cells = [tuple(r) for r in cm.select(*cell).distinct().collect()]  # materialises cm once
+    tm.count()  # materialise once before the per-cell fits read it concurrently
+
+    def run(c):
+        cond = (F.col("rep") == c[0]) & (F.col("outer") == c[1]) & (F.col("inner") == c[2])
+        model = IsotonicRegression(featuresCol="mf", labelCol="yd", predictionCol="p").fit(cm.filter(cond))
+        return model.transform(tm.filter(cond)).select("rep", "outer", "row_id", "y", "p")
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        parts = list(pool.map(run, sorted(cells)))
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    avg = allp.groupBy("rep", "outer", "row_id", "y").agg(F.avg("p").alias("score"))
+    return avg.select(F.lit("logistic_plain_isotonic").alias("model"), "rep", F.col("outer").alias("fold"), "row_id", "y",
+                      "score", (F.col("score") > 0.5).cast("int").alias("pred"))

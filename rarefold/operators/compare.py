@@ -39,3 +39,11 @@ def dataset_comparison(scored: DataFrame, costs: CostMatrix = CostMatrix()) -> D
         cost_5.alias("cost_at_05"), cost_t.alias("cost_at_threshold"),
         F.when(cost_5 != 0, 100.0 * (cost_5 - cost_t) / cost_5).alias("saving_pct"),
     )
+
+
+def report_completeness(expected: DataFrame, mart: DataFrame) -> DataFrame:
+    """Every expected (dataset, section) with whether the report mart holds it and how many
+    metric rows; an absent section is reported absent instead of failing downstream."""
+    have = mart.groupBy("dataset", "section").agg(F.count(F.lit(1)).alias("n_rows"))
+    j = expected.join(have, ["dataset", "section"], "left")
+    return j.select("dataset", "section", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.col("n_rows").isNotNull().alias("present"))

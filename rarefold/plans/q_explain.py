@@ -97,7 +97,24 @@ def q_dataset_comparison(spark, sf):
     return rounded(compare.dataset_comparison(_two_datasets(spark, sf)))
 
 
+def q_report_completeness(spark, sf):
+    from rarefold.operators import contract
+    from rarefold.sources import io
+
+    o = bindings.observations(spark, sf)
+    val = io.to_report_rows(contract.contract_summary(contract.tag(o, SPEC)), "lineitem", "validation", None,
+                            ["n_read", "n_valid", "n_quarantined"])
+    eda = io.to_report_rows(profile.class_balance(valid(spark, sf), "failure", "yes"), "lineitem", "eda", None,
+                            ["n", "n_positive", "prevalence", "majority_accuracy"])
+    ev = io.to_report_rows(profile.class_balance(bindings.event_observations(spark, sf), "failure", "yes"), "events", "eda", None,
+                           ["n", "n_positive", "prevalence", "majority_accuracy"])
+    mart = val.unionByName(eda).unionByName(ev)
+    expected = spark.createDataFrame([(d, s) for d in ("lineitem", "events") for s in ("validation", "eda")], "dataset string, section string")
+    return compare.report_completeness(expected, mart)
+
+
 QUERIES = {
+    "report_completeness": q_report_completeness,
     "linear_shap": q_linear_shap,
     "shap_importance": q_shap_importance,
     "shap_top3": q_shap_top3,
@@ -139,6 +156,12 @@ EV = """ev AS (SELECT CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y, rou
 SC2 = "sc2 AS (SELECT 'lineitem' AS dataset, CASE WHEN failure = 'yes' THEN 1 ELSE 0 END AS y, round(1 / (1 + exp(-(-5.5 + 0.08 * qty + 25 * disc))), 4) AS score FROM valid UNION ALL SELECT 'events', y, score FROM ev)"
 
 ORACLE = {
+    "report_completeness": """SELECT e.dataset, e.section, CAST(coalesce(m.n_rows, 0) AS BIGINT) AS n_rows, m.n_rows IS NOT NULL AS present
+    FROM (VALUES ('lineitem', 'validation'), ('lineitem', 'eda'), ('events', 'validation'), ('events', 'eda')) e(dataset, section)
+    LEFT JOIN (SELECT 'lineitem' AS dataset, 'validation' AS section, 3 AS n_rows FROM (SELECT count(*) FROM lineitem)
+               UNION ALL SELECT 'lineitem', 'eda', 4 FROM (SELECT count(*) FROM lineitem)
+               UNION ALL SELECT 'events', 'eda', 4 FROM (SELECT count(*) FROM events)) m
+      ON e.dataset = m.dataset AND e.section = m.section""",
     "linear_shap": SHB + f"SELECT row_id, y, {', '.join(f'round(phi_{f}, 6) + 0.0 AS phi_{f}' for f in FEATS)}, round(base_value, 6) AS base_value, round(base_value + {_MARGIN}, 6) AS margin FROM sh",
     "shap_importance": SHB + "SELECT attr, round(m, 6) AS mean_abs_shap, CAST(row_number() OVER (ORDER BY m DESC, attr) AS INTEGER) AS rank FROM (SELECT attr, avg(abs(phi)) AS m FROM shl GROUP BY attr)",
     "shap_top3": SHB + TOP3.format(extra=""),

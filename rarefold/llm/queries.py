@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from rarefold.llm import langid, quality, simhash
+from rarefold.llm import langid, mixing, packing, quality, simhash, tokens
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
     "op4_simhash": simhash.op4_simhash,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_token_counts": tokens.op6_token_counts,
     "op7_quality": quality.op7_quality,
+    "op10_packing": packing.op10_packing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op5_mixing": mixing.ORACLE_OP5}

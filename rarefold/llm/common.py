@@ -49,6 +49,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def map_stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """``step`` turns an Arrow batch into columns named as in ``schema``; empty batches are skipped."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -62,7 +67,7 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: s
                 out = step(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_stream(df, run, schema)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarefold.llm.common import blocks, map_batches, table
+from rarefold.llm.common import blocks, map_batches, map_stream, table
 
 DIMENSIONS = 1024
 SLOTS = 128
@@ -103,7 +103,7 @@ def profiles(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndar
         for name, v in total.items():
             yield pa.RecordBatch.from_pydict({"lang": [name] * dimensions, "at": np.arange(dimensions, dtype=np.int32), "value": v})
 
-    rows = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(learn, "lang string, at int, value double")
+    rows = map_stream(docs.where("text is not null and lang is not null").select("text", "lang"), learn, "lang string, at int, value double")
     rows = rows.groupBy("lang", "at").agg(F.sum("value").alias("value")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("v"))
     found = rows.select("lang", F.col("v.value").alias("v")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:

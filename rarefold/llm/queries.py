@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rarefold.llm import langid, mixing, packing, quality, simhash, tokens
+from rarefold.llm import htmlcut, langid, mixing, packing, quality, simhash, sketch, tokens
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_quality": quality.op7_quality,
+    "op8_fingerprints": sketch.op8_fingerprints,
+    "op9_html": htmlcut.op9_html,
     "op10_packing": packing.op10_packing,
 }
 ORACLE = {"op5_mixing": mixing.ORACLE_OP5}

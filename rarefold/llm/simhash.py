@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarefold.llm.common import blocks, checkpointed, connected, map_batches, texts_of, word_spans
+from rarefold.llm.common import blocks, checkpointed, connected, map_batches, map_stream, texts_of, word_spans
 
 WORDS = 3
 MAX_BITS = 3
@@ -189,7 +189,7 @@ def hamming_links(codes: DataFrame, limit: int = MAX_BITS, heavy: int = HEAVY) -
     again = again.select(F.expr("shiftleft(1L, 40) | shiftleft(key, 14) | shiftleft(cast(k as bigint), 12) | (shiftrightunsigned(rest, 12 * k) & 4095)").alias("key"), "fp")
     rows = marked.where("hot is null").select("key", "fp").unionByName(again)
     rows = rows.repartition("key").sortWithinPartitions("key", "fp")
-    return rows.mapInArrow(lambda it: _search(it, limit), "u long, v long")
+    return map_stream(rows, lambda it: _search(it, limit), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, limit: int = MAX_BITS, heavy: int = HEAVY) -> DataFrame:

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from rarefold.session import ensure_checkpoint_dir
 
@@ -49,23 +51,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """``step`` turns an Arrow batch into columns named as in ``schema``; empty batches are skipped."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``step`` turns an Arrow batch into columns named as in ``schema``; empty batches are skipped.
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    Columns named in ``carry`` come first, with the types they have in ``df``.
+    """
+    schema = StructType([*(df.schema[c] for c in carry), *StructType.fromDDL(schema)])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = step(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+                out = step(batch) | {c: batch.column(c) for c in carry}
+                yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return map_stream(df, run, schema)
 

@@ -133,18 +133,15 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], carry: tuple[st
         for part, codes, cells in _counts(texts, np.arange(len(texts)), len(texts)):
             total[part] += cells @ run_vectors(codes, letters)
         length = np.linalg.norm(total.astype(np.float64), axis=1)
-        out = {c: batch.column(c) for c in carry}
         if not names:
-            return out | {"lang_pred": [UNKNOWN] * len(texts), "score": np.zeros(len(texts))}
+            return {"lang_pred": [UNKNOWN] * len(texts), "score": np.zeros(len(texts))}
         cosine = np.round(total @ matrix.T.astype(np.float64) / np.maximum(length, 1e-300)[:, None], 12)
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best], 0, 1)
         lettered = [length[i] > 0 or len(letter_runs(t)) > 0 for i, t in enumerate(texts)]
-        return out | {"lang_pred": [names[b] if k else UNKNOWN for b, k in zip(best, lettered, strict=True)], "score": np.where(lettered, score, 0.0)}
+        return {"lang_pred": [names[b] if k else UNKNOWN for b, k in zip(best, lettered, strict=True)], "score": np.where(lettered, score, 0.0)}
 
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in carry) + ", lang_pred string, score double"
-    return map_batches(docs.select(*carry, "text"), step, schema)
+    return map_batches(docs.select(*dict.fromkeys((*carry, "text"))), step, "lang_pred string, score double", carry)
 
 
 def held_out(doc_id: str, mod: int, rest: int):

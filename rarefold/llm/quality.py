@@ -163,10 +163,9 @@ def score(docs: DataFrame, machine: Machine, carry: tuple[str, ...] = ("doc_id",
         m, texts = Machine(*sent.value), texts_of(batch.column("text"))
         p = np.concatenate([1 / (1 + np.exp(-np.clip(m.margin(*features(texts[lo:hi])), -30, 30).astype(float))) for lo, hi in blocks(texts)])
         p = np.round(p, 6)
-        return {c: batch.column(c) for c in carry} | {"score": p, "predicted": (p >= THRESHOLD).astype(np.int32)}
+        return {"score": p, "predicted": (p >= THRESHOLD).astype(np.int32)}
 
-    types = dict(docs.dtypes)
-    return map_batches(docs.select(*carry, "text"), step, ", ".join(f"`{c}` {types[c]}" for c in carry) + ", score double, predicted int")
+    return map_batches(docs.select(*dict.fromkeys((*carry, "text"))), step, "score double, predicted int", carry)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -64,12 +64,12 @@ def fingerprints_of(texts: list[bytes], words: int = WORDS) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+    """(doc_id, fp long) of every row; doc_id of any type that has an order."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "fp": fingerprints_of(texts_of(batch.column("text")), words).view(np.int64)}
+        return {"fp": fingerprints_of(texts_of(batch.column("text")), words).view(np.int64)}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), step, "doc_id long, fp long")
+    return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), step, "fp long", ("doc_id",))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rarefold.llm import htmlcut, langid, mixing, packing, quality, simhash, sketch, tokens
+from rarefold.llm import ann, htmlcut, langid, mixing, packing, quality, simhash, sketch, tokens
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
     "op2_langid": langid.op2_langid,
     "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,

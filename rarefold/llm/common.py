@@ -127,10 +127,11 @@ def word_spans(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buf, edges[::2], edges[1::2]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], ends: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts in order, and each text's range of them.
 
-    A prefix-sum polynomial hash: one multiply and one add a byte, whatever the words.
+    A prefix-sum polynomial hash: one multiply and one add a byte, whatever the words. ``ends`` gets arrays
+    of the words' last two bytes (the one before a one-byte word is white space).
     """
     out, counts = [], np.zeros(len(texts) + 1, np.int64)
     for lo, hi in blocks(texts):
@@ -142,8 +143,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             total = np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)
             h = (total[e - 1] - total[s - 1]) * down[s]
             out.append(mix64(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-            ends = np.cumsum([len(x) + 1 for x in group])
-            per = np.diff(np.searchsorted(s, ends + 1), prepend=0)
+            if ends is not None:
+                ends.append(buf[e - 1].astype(np.int64) << 8 | buf[e - 2])
+            stops = np.cumsum([len(x) + 1 for x in group])
+            per = np.diff(np.searchsorted(s, stops + 1), prepend=0)
             counts[lo + 1 : lo + 1 + len(group)] += per if hi - lo > 1 else [per.sum()]
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.cumsum(counts)
 

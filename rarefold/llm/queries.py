@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rarefold.llm import ann, htmlcut, langid, mixing, packing, quality, simhash, sketch, tokens
+from rarefold.llm import ann, ctxmix, htmlcut, langid, mixing, packing, quality, simhash, sketch, tokens
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
     "op2_langid": langid.op2_langid,
+    "op3_ctxmix": ctxmix.op3_ctxmix,
     "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_counts": tokens.op6_token_counts,

@@ -49,7 +49,12 @@ def run_vectors(runs: np.ndarray, letters: np.ndarray) -> np.ndarray:
 
 def letter_runs(text: str) -> np.ndarray:
     """Codes of the three-letter runs of a text; what is no letter counts as one gap."""
-    points = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+    return _inner_runs(" " + text.lower() + " ")
+
+
+def _inner_runs(low: str) -> np.ndarray:
+    """Runs around every character but the first and the last."""
+    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")
     slot = SLOT_OF[np.minimum(points, 0xFFFF)].astype(np.int32)
     beyond = np.flatnonzero(points > 0xFFFF)
     if len(beyond):
@@ -59,11 +64,17 @@ def letter_runs(text: str) -> np.ndarray:
     return runs[slot[1:-1] != 0]
 
 
+def _part_runs(text: str) -> list[np.ndarray]:
+    """The runs of a long text, part by part."""
+    low = f" {text.lower()} "
+    return [_inner_runs(low[k : k + BLOCK_CHARS + 2]) for k in range(0, max(1, len(low) - 2), BLOCK_CHARS)]
+
+
 def _counts(texts: list[str], owner: np.ndarray, n: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Tables (rows, run codes, counts) of texts; a text's row may come in several tables that add up."""
     lut = np.zeros(SLOTS**3, np.int32)
     for lo, hi in blocks(texts, BLOCK_CHARS):
-        parts = [letter_runs(texts[lo][max(0, k - 1) : k + BLOCK_CHARS + 1]) for k in range(0, max(1, len(texts[lo])), BLOCK_CHARS)] if hi - lo == 1 else [letter_runs(x) for x in texts[lo:hi]]
+        parts = _part_runs(texts[lo]) if hi - lo == 1 else [letter_runs(x) for x in texts[lo:hi]]
         size = [sum(map(len, parts))] if hi - lo == 1 else list(map(len, parts))
         runs, row = np.concatenate(parts), np.repeat(owner[lo:hi], size)
         if not len(runs):

@@ -94,7 +94,7 @@ def fit(index: np.ndarray, value: np.ndarray, at: np.ndarray, label: np.ndarray)
     rng = np.random.default_rng(7)
     m = Machine(0.0, np.zeros(FEATURES), rng.normal(0, 0.01, (FEATURES, RANK)))
     if len(label) == 0 or label.min() == label.max():
-        m.w0 = 0.0 if len(label) == 0 else (6.0 if label[0] else -6.0)
+        m.w0, m.v = (0.0 if len(label) == 0 else 6.0 if label[0] else -6.0), np.zeros_like(m.v)
         return m
     weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
     g0, gw, gv = 1e-8, np.full(FEATURES, 1e-8), np.full((FEATURES, RANK), 1e-8)
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 def score(docs: DataFrame, machine: Machine, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns, score and predicted of every row. A null text is scored as an empty one.
 
-    Repeated rows score alike; extra columns are ignored; with no labels every score is 0.5.
+    Repeated rows score alike; extra columns are ignored; with no labels every score is 0.5, with one class only it is that class's.
     """
     w0, w, v = machine.w0, machine.w.astype(np.float32), machine.v.astype(np.float32)
     sent = docs.sparkSession.sparkContext.broadcast((w0, w, v))  # FEATURES x (RANK + 1) numbers, whatever the data

@@ -9,8 +9,6 @@ registers it; ``release`` unpersists everything kept since the last call.
 
 from __future__ import annotations
 
-import os
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
@@ -18,8 +16,6 @@ _KEPT: list[DataFrame] = []
 
 
 def keep(df: DataFrame) -> DataFrame:
-    if os.environ.get("RAREFOLD_NO_CACHE") == "1":
-        return df
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     _KEPT.append(df)
     return df

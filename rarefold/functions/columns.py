@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,10 +73,3 @@ def threshold_bucket(score: Column, n: int = 1000) -> Column:
         .otherwise(c)
     )
     return F.greatest(F.least(adj, F.lit(n)), F.lit(-1))
-
-
-def sql_double(x: float) -> str:
-    """A double literal readable identically by Spark SQL and DuckDB."""
-    if math.isnan(x):
-        return "CAST('NaN' AS DOUBLE)"
-    return f"CAST('{x!r}' AS DOUBLE)"

@@ -31,11 +31,13 @@ def float_bucket(c: Column) -> Column:
 
     ``floor(|v| * 1024 / 2^e) + (e - 1) * 1024`` is continuous across a
     mis-rounded ``floor(log2(|v|))`` so it stays monotone; negatives mirror.
-    At most ~4M distinct keys whatever the data volume.
+    At most ~4M distinct keys whatever the data volume; infinities take the two ends.
     """
     a = F.abs(c)
     e = F.floor(F.log2(a))
     k = F.floor(a / F.pow(F.lit(2.0), e) * _MANTISSA_STEPS) + (e - 1) * _MANTISSA_STEPS + _OFFSET
+    end = F.lit(float("inf"))
+    k = F.when(a == end, F.lit(1 << 40)).otherwise(F.when(a < end, k))
     return F.when(c > 0, k).when(c < 0, -k).otherwise(F.lit(0)).cast("long")
 
 

@@ -16,6 +16,8 @@ from rarefold.functions.columns import reason_value
 from rarefold.spec import ContractError, DatasetSpec, Field, QualityThresholds, QuarantineNotEmpty, Rule
 
 REASON = "quarantine_reason"
+#: Column with the reasons a text scan found before the rules (bad cells, short or long rows); null for none.
+TYPE_REASON = "type_reason"
 
 
 def _fmt(v: object) -> str:
@@ -83,12 +85,14 @@ def violation_items(spec: DatasetSpec) -> list[tuple[str, str, Column, Column]]:
     return items
 
 
-def reason_expr(spec: DatasetSpec) -> Column:
+def reason_expr(spec: DatasetSpec, typed: bool = False) -> Column:
     """B6: '<col>=<value> incumple <check>' joined by '; ', null for a valid row."""
     parts = [
         F.when(viol, F.concat(F.lit(f"{col}="), val, F.lit(f" incumple {chk}")))
         for col, chk, viol, val in violation_items(spec)
     ]
+    if typed:
+        parts.insert(0, F.col(TYPE_REASON))
     return F.nullif(F.concat_ws("; ", *parts), F.lit(""))
 
 
@@ -120,7 +124,9 @@ def valid_predicate(spec: DatasetSpec) -> Column:
 
 def tag(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Add the quarantine reason column (null = valid row)."""
-    return df.withColumn(REASON, reason_expr(spec))
+    typed = TYPE_REASON in df.columns
+    out = df.withColumn(REASON, reason_expr(spec, typed))
+    return out.drop(TYPE_REASON) if typed else out
 
 
 def split(df: DataFrame, spec: DatasetSpec, tagged: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -128,9 +134,12 @@ def split(df: DataFrame, spec: DatasetSpec, tagged: DataFrame | None = None) ->
     if tagged is not None:
         return tagged.filter(F.col(REASON).isNull()).drop(REASON), tagged.filter(F.col(REASON).isNotNull())
     pred = valid_predicate(spec)
+    typed = TYPE_REASON in df.columns
+    if typed:
+        pred = pred & F.col(TYPE_REASON).isNull()
     valid = df.filter(pred)
-    bad = df.filter(~pred).withColumn(REASON, reason_expr(spec))
-    return valid, bad
+    bad = df.filter(~pred).withColumn(REASON, reason_expr(spec, typed))
+    return (valid.drop(TYPE_REASON), bad.drop(TYPE_REASON)) if typed else (valid, bad)
 
 
 def violations_long(df: DataFrame, spec: DatasetSpec, kinds: tuple[str, ...] | None = None, key: str = "row_id") -> DataFrame:
@@ -169,7 +178,7 @@ def type_violations(raw: DataFrame, spec: DatasetSpec, key: str = "row_id") -> D
         if isinstance(f.dtype, T.StringType):
             continue
         c = F.col(f.name).cast("string")
-        bad = c.isNotNull() & F.trim(c).cast(f.dtype).isNull()
+        bad = c.isNotNull() & F.trim(c).try_cast(f.dtype).isNull()
         items.append((f, bad))
     if not items:
         return raw.sparkSession.createDataFrame([], f"{key} string, column string, value string")
@@ -191,7 +200,7 @@ def assert_columns_parse(raw: DataFrame, spec: DatasetSpec) -> None:
             continue
         c = F.col(f.name).cast("string")
         aggs.append(F.count(c).alias(f"n_{f.name}"))
-        aggs.append(F.count(F.trim(c).cast(f.dtype)).alias(f"ok_{f.name}"))
+        aggs.append(F.count(F.trim(c).try_cast(f.dtype)).alias(f"ok_{f.name}"))
         names.append(f.name)
     if not aggs:
         return
@@ -223,10 +232,16 @@ def quality_gate(tagged: DataFrame, enforce: bool = True) -> int:
     return n
 
 
+def positive_value(spec: DatasetSpec) -> str:
+    """Text of the positive target value as the contract admits it: the label, or 1 where the target is a 0/1 flag."""
+    allowed = [str(v) for f in spec.fields if f.name == spec.target for r in f.rules if r.kind == "isin" for v in r.value]
+    return spec.positive_label if not allowed or spec.positive_label in allowed else "1"
+
+
 def warn_prevalence(valid: DataFrame, spec: DatasetSpec, th: QualityThresholds = QualityThresholds()) -> DataFrame:
     """Prevalence of the positive label and whether it is outside the closed warning range."""
     y = F.col(spec.target).cast("string")
-    agg = valid.agg(F.count(F.lit(1)).alias("n"), F.count_if(y == spec.positive_label).alias("n_positive"))
+    agg = valid.agg(F.count(F.lit(1)).alias("n"), F.count_if(y == positive_value(spec)).alias("n_positive"))
     prev = F.when(F.col("n") > 0, F.col("n_positive") / F.col("n"))
     return agg.select(
         "n",

@@ -1,29 +1,29 @@
-"""S3: batched L2-penalised logistic regression (IRLS / Newton) for many cells at once.
+"""S3: batched L2-penalised logistic regression (Newton) for many cells at once.
 
-A *cell* is one training problem: (model variant, C, rep, outer fold, inner fold, ...).
-All cells are solved together: each Newton step is ONE grouped aggregation over
-the (persisted) expanded training rows that returns, per cell, the gradient and
-the Hessian's upper triangle -- (d+1) + (d+1)(d+2)/2 sums.  Only those sums
-(cells x ~30 numbers) cross to the driver; numpy solves the (d+1)x(d+1) systems
-and the new coefficients go back as a small broadcast table keyed by cell.
-Lineage does not grow across iterations: every step reads the same persisted rows.
+A *cell* is one training problem (outer fold, inner fold, C, ...).  The training rows of all cells are an
+in-flight expansion of the base rows (a broadcast join with the small cell table); nothing expanded is ever
+stored.  Each Newton step is ONE grouped aggregation with map-side combine that returns, per cell, the loss,
+the gradient and the Hessian's upper triangle; only those sums reach the driver.
 
 Objective per cell (the metric library's convention, intercept not penalised):
     sum_i w_i * logloss(y_i, p_i) + ||beta||^2 / (2 C)
-``y`` may be fractional (Platt targets).
+``y`` may be fractional (Platt targets).  Guards: margins are clipped to +-MARGIN for the probabilities, a
+step that raises the loss is halved, and every cell carries ``converged`` into its result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rarefold.functions.cache import keep
+MARGIN = 30.0
+MAX_ITER, TOL = 40, 1e-7
 
 
-def _cell_key(row, key):
-    return tuple(row[k] for k in key)
+def sigmoid(c: Column) -> Column:
+    return 1 / (1 + F.exp(-F.greatest(F.least(c, F.lit(MARGIN)), F.lit(-MARGIN))))
 
 
 def fit_logistic(
@@ -33,76 +33,71 @@ def fit_logistic(
     label: str = "y",
     weight: str | None = None,
     C: float | str = 1.0,
-    max_iter: int = 30,
-    tol: float = 1e-7,
+    max_iter: int = MAX_ITER,
+    tol: float = TOL,
     penalize: bool = True,
 ) -> DataFrame:
-    """Return (key..., b0, b1..bd, converged, iterations) for every cell.
+    """(key..., b0..bd, converged, iterations) of every cell; ``C``: a number or a per-cell column.
 
-    ``C`` is a number or the name of a per-cell column (grid search).
+    ``train`` is read once per step and never stored: pass a cheap expansion of stored base rows.
     """
-    spark = train.sparkSession
-    d = len(feats)
-    w = F.col(weight) if weight else F.lit(1.0)
-    cvals = F.col(C) if isinstance(C, str) else F.lit(float(C))
-    base = keep(train.select(*key, *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(feats)],
-                             F.col(label).cast("double").alias("_y"), w.cast("double").alias("_w"), cvals.alias("_C")))
-    cinfo = {_cell_key(r, key): r["_C"] for r in base.groupBy(*key).agg(F.first("_C").alias("_C")).collect()}
-    cells = sorted(cinfo)
-    beta = {c: np.zeros(d + 1) for c in cells}
-    done = {c: False for c in cells}
-    iters = {c: 0 for c in cells}
+    spark, d = train.sparkSession, len(feats)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    cval = F.col(C).cast("double") if isinstance(C, str) else F.lit(float(C))
+    base = train.select(*key, *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(feats)], F.col(label).cast("double").alias("_y"), w.alias("_w"), cval.alias("_C"))
+    kinds = {f.name: f.dataType for f in base.schema.fields}
+    schema = T.StructType([T.StructField(k, kinds[k]) for k in key] + [T.StructField(f"b{j}", T.DoubleType()) for j in range(d + 1)])
     xs = [F.lit(1.0)] + [F.col(f"x{i}") for i in range(d)]
-    key_types = {f.name: f.dataType for f in base.schema.fields if f.name in key}
-    from pyspark.sql import types as T
-
-    bschema = T.StructType([T.StructField(k, key_types[k]) for k in key] + [T.StructField(f"b{j}", T.DoubleType()) for j in range(d + 1)])
-    import os
-    import time
 
-    debug = os.environ.get("RAREFOLD_DEBUG") == "1"
-    for it in range(max_iter):
-        t0 = time.time()
-        active = [c for c in cells if not done[c]]
-        if not active:
-            break
-        btab = spark.createDataFrame([tuple(c) + tuple(float(v) for v in beta[c]) for c in active], bschema)
-        j = base.join(F.broadcast(btab), key)
-        eta = sum((F.col(f"b{k}") * xs[k] for k in range(d + 1)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-eta))
-        s = F.col("_w") * p * (1 - p)
-        r = F.col("_w") * (p - F.col("_y"))
-        aggs = [F.sum(r * xs[a]).alias(f"g{a}") for a in range(d + 1)]
-        aggs += [F.sum(s * xs[a] * xs[b]).alias(f"h{a}_{b}") for a in range(d + 1) for b in range(a, d + 1)]
-        rows = j.groupBy(*key).agg(*aggs).collect()
+    def sums(rows: DataFrame, eta: Column) -> list:
+        rows = rows.withColumn("_e", F.greatest(F.least(eta, F.lit(MARGIN)), F.lit(-MARGIN)))
+        p = 1 / (1 + F.exp(-F.col("_e")))
+        s, r = F.col("_w") * p * (1 - p), F.col("_w") * (p - F.col("_y"))
+        loss = F.col("_w") * (F.log1p(F.exp(-F.abs(F.col("_e")))) + F.greatest(F.col("_e"), F.lit(0.0)) - F.col("_y") * F.col("_e"))
+        rows = rows.withColumn("_s", s).withColumn("_r", r)
+        aggs = [F.sum(loss).alias("loss"), F.max("_C").alias("C")] + [F.sum(F.col("_r") * xs[a]).alias(f"g{a}") for a in range(d + 1)]
+        aggs += [F.sum(F.col("_s") * xs[a] * xs[b]).alias(f"h{a}_{b}") for a in range(d + 1) for b in range(a, d + 1)]
+        return rows.groupBy(*key).agg(*aggs).collect()
+
+    beta: dict = {}
+    step: dict = {}
+    last: dict = {}
+    done: dict = {}
+    iters: dict = {}
+    for it in range(max_iter + 1):
+        if it == 0:
+            rows = sums(base, F.lit(0.0))
+        else:
+            active = [c for c in beta if not done[c]]
+            if not active:
+                break
+            table = spark.createDataFrame([tuple(c) + tuple(map(float, beta[c])) for c in active], schema)
+            rows = sums(base.join(F.broadcast(table), key), sum((F.col(f"b{k}") * xs[k] for k in range(1, d + 1)), F.col("b0")))
         for row in rows:
-            c = _cell_key(row, key)
-            g = np.array([row[f"g{a}"] for a in range(d + 1)], dtype=float)
-            H = np.zeros((d + 1, d + 1))
-            for a in range(d + 1):
-                for b in range(a, d + 1):
-                    H[a, b] = H[b, a] = row[f"h{a}_{b}"]
-            if penalize:
-                lam = 1.0 / float(cinfo[c])
-                pen = np.full(d + 1, lam)
-                pen[0] = 0.0
-                g = g + pen * beta[c]
-                H = H + np.diag(pen)
-            try:
-                step = np.linalg.solve(H + 1e-12 * np.eye(d + 1), g)
-            except np.linalg.LinAlgError:
-                step = np.linalg.lstsq(H, g, rcond=None)[0]
-            beta[c] = beta[c] - step
-            iters[c] = it + 1
-            if np.max(np.abs(step)) < tol:
+            c = tuple(row[k] for k in key)
+            b = beta.setdefault(c, np.zeros(d + 1))
+            pen = np.full(d + 1, 1.0 / float(row["C"]) if penalize else 0.0)
+            pen[0] = 0.0
+            loss = row["loss"] + 0.5 * float(pen @ (b * b))
+            if c in last and loss > last[c] + 1e-9 * abs(last[c]) and np.max(np.abs(step[c])) > tol:
+                step[c] = step[c] / 2
+                beta[c] = b + step[c]
+                iters[c] = it
+                continue
+            if c in last and np.max(np.abs(step[c])) <= tol:
                 done[c] = True
-        if debug:
-            print(f"irls iter {it} cells {len(active)} {time.time() - t0:.2f}s", flush=True)
-    out = spark.createDataFrame(
-        [tuple(c) + tuple(float(v) for v in beta[c]) + (bool(done[c]), int(iters[c])) for c in cells],
-        T.StructType(list(bschema.fields) + [T.StructField("converged", T.BooleanType()), T.StructField("iterations", T.IntegerType())]),
-    )
-    return out
+                continue
+            g = np.array([row[f"g{a}"] for a in range(d + 1)]) + pen * b
+            h = np.zeros((d + 1, d + 1))
+            for a in range(d + 1):
+                for k in range(a, d + 1):
+                    h[a, k] = h[k, a] = row[f"h{a}_{k}"]
+            h += np.diag(pen) + 1e-12 * np.eye(d + 1)
+            s = np.linalg.lstsq(h, g, rcond=None)[0] if np.linalg.cond(h) > 1e14 else np.linalg.solve(h, g)
+            last[c], step[c], done[c], iters[c] = loss, s, bool(np.max(np.abs(s)) <= tol), it + 1
+            beta[c] = b - s
+    full = T.StructType([*schema.fields, T.StructField("converged", T.BooleanType()), T.StructField("iterations", T.IntegerType())])
+    return spark.createDataFrame([tuple(c) + tuple(map(float, beta[c])) + (bool(done[c]), int(iters[c])) for c in sorted(beta)], full)
 
 
 def margin(rows: DataFrame, coefs: DataFrame, key: list[str], feats: list[str], out: str = "margin") -> DataFrame:
@@ -111,7 +106,3 @@ def margin(rows: DataFrame, coefs: DataFrame, key: list[str], feats: list[str],
     j = rows.join(F.broadcast(coefs.select(*key, *[f"b{k}" for k in range(d + 1)])), key)
     eta = F.col("b0") + sum((F.col(f"b{k + 1}") * F.col(f).cast("double") for k, f in enumerate(feats)), F.lit(0.0))
     return j.withColumn(out, eta).drop(*[f"b{k}" for k in range(d + 1)])
-
-
-def sigmoid(c):
-    return 1 / (1 + F.exp(-c))

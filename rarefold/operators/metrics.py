@@ -203,7 +203,7 @@ def best_model(summary: DataFrame) -> DataFrame:
     )
 
 
-def beats_dummy(summary: DataFrame, dummies: tuple[str, ...] = ("dummy_majority", "dummy_stratified")) -> DataFrame:
+def beats_dummy(summary: DataFrame, dummies: tuple[str, ...] = ("dummy_most_frequent", "dummy_majority", "dummy_stratified")) -> DataFrame:
     """Each non-dummy model's mean AP against the best dummy's."""
     ap = summary.filter(F.col("metric") == "average_precision")
     d = ap.filter(F.col("model").isin(*dummies)).agg(F.max("mean").alias("best_dummy_ap"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rarefold.functions.brackets import clean, set_ranks
+from rarefold.functions.columns import nan_to_null
 from rarefold.functions.ranks import exclusive_prefix, float_bucket
 from rarefold.operators.resample import fold_expansion
 
@@ -34,20 +36,19 @@ def exact_quantiles_counted(cnt: DataFrame, group: list[str], qs: list[float], v
     return sel.select(*group, "q", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value"), "n")
 
 
+def _outer_sets(folded: DataFrame, k: int) -> dict:
+    reps = [r["rep"] for r in folded.select("rep").distinct().collect()]  # the repeats of the CV design
+    return {(rep, o): (lambda g, rep=rep, o=o: g[0] == rep and g[1] != o) for rep in reps for o in range(k)}
+
+
 def foldwise_medians(folded: DataFrame, features: list[str], k: int) -> DataFrame:
-    """G1: (rep, outer, attr, median, n_fit) -- median of each feature over the outer fold's train rows."""
-    long = folded.select("rep", "fold", *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
-        ["rep", "fold"], features, "attr", "v"
-    )
-    per = long.filter(F.col("v").isNotNull()).groupBy("rep", "attr", "v", "fold").agg(F.count(F.lit(1)).alias("c"))
-    tot = per.groupBy("rep", "attr", "v").agg(F.sum("c").alias("c_all"), F.map_from_entries(F.collect_list(F.struct("fold", "c"))).alias("by_fold"))
-    spark = folded.sparkSession
-    outer = F.broadcast(spark.range(k).select(F.col("id").cast("int").alias("outer")))
-    train_cnt = tot.crossJoin(outer).select(
-        "rep", "outer", "attr", "v", (F.col("c_all") - F.coalesce(F.col("by_fold")[F.col("outer")], F.lit(0))).alias("c")
-    ).filter(F.col("c") > 0)
-    med = exact_quantiles_counted(train_cnt, ["rep", "outer", "attr"], [0.5])
-    return med.select("rep", "outer", "attr", F.col("value").alias("median"), F.col("n").alias("n_fit"))
+    """G1: (rep, outer, attr, median, n_fit) -- median of each feature over the outer fold's train rows.
+
+    Train rows are unions of folds: ``brackets.set_ranks`` counts each fold once, no row is copied."""
+    sets = _outer_sets(folded, k)
+    found, sizes = set_ranks(folded, ["rep", "fold"], features, sets, lambda _, n: [(n - 1) // 2, n // 2])
+    rows = [(rep, o, a, (found[(rep, o), a, (n - 1) // 2] + found[(rep, o), a, n // 2]) / 2, n) for rep, o in sets for a in features if (n := sizes.get(((rep, o), a), 0))]
+    return folded.sparkSession.createDataFrame(rows, "rep int, outer int, attr string, median double, n_fit long")
 
 
 def impute(folded_expanded: DataFrame, medians: DataFrame, features: list[str]) -> DataFrame:
@@ -63,29 +64,37 @@ def impute(folded_expanded: DataFrame, medians: DataFrame, features: list[str])
 
 def foldwise_standardize(folded: DataFrame, features: list[str], k: int) -> DataFrame:
     """(rep, outer, attr, mean, sd) of the imputed train rows, population sd, 0 -> 1."""
-    med = foldwise_medians(folded, features, k)
-    ex = fold_expansion(folded, k).filter(F.col("role") == "train")
-    imp = impute(ex, med, features)
-    long = imp.select("rep", "outer", *features).unpivot(["rep", "outer"], features, "attr", "v")
-    st = long.groupBy("rep", "outer", "attr").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd_raw"))
-    return st.select("rep", "outer", "attr", "mean", F.when(F.col("sd_raw") == 0, F.lit(1.0)).otherwise(F.col("sd_raw")).alias("sd"))
+    med = {(r["rep"], r["outer"], r["attr"]): r["median"] for r in foldwise_medians(folded, features, k).collect()}
+    x = folded.select("rep", "fold", *[clean(F.col(f)).alias(f) for f in features])
+    mid = x.agg(*[F.coalesce(F.avg(f), F.lit(0.0)).alias(f) for f in features]).first()
+    aggs = [F.count("*").alias("_n")]
+    for f in features:
+        d = F.col(f) - F.lit(mid[f])
+        aggs += [F.count(f).alias(f"n_{f}"), F.coalesce(F.sum(d), F.lit(0.0)).alias(f"s_{f}"), F.coalesce(F.sum(d * d), F.lit(0.0)).alias(f"q_{f}")]
+    parts = x.groupBy("rep", "fold").agg(*aggs).collect()  # repeats x folds rows
+    rows = []
+    for (rep, o), member in _outer_sets(folded, k).items():
+        mine = [r for r in parts if member((r["rep"], r["fold"]))]
+        n = sum(r["_n"] for r in mine)
+        for f in features:
+            if (rep, o, f) in med:
+                have, s, q = (sum(r[f"{t}_{f}"] for r in mine) for t in "nsq")
+                m = med[rep, o, f] - mid[f]
+                mean = (s + (n - have) * m) / n
+                sd = max((q + (n - have) * m * m) / n - mean * mean, 0.0) ** 0.5
+                rows.append((rep, o, f, float(mid[f] + mean), float(sd) if sd > 1e-12 * max(1.0, abs(mid[f])) else 1.0))
+    return folded.sparkSession.createDataFrame(rows, "rep int, outer int, attr string, mean double, sd double")
 
 
 def naive_medians(df: DataFrame, features: list[str]) -> DataFrame:
     """G3 (counter-example): whole-table medians, leaking test rows into the fit."""
-    long = df.select(*[F.col(f).cast("double").alias(f) for f in features]).unpivot([], features, "attr", "v")
+    long = df.select(*[nan_to_null(F.col(f).cast("double")).alias(f) for f in features]).unpivot([], features, "attr", "v")
     cnt = long.filter(F.col("v").isNotNull()).groupBy("attr", "v").agg(F.count(F.lit(1)).alias("c"))
     q = exact_quantiles_counted(cnt, ["attr"], [0.5])
     nulls = long.groupBy("attr").agg(F.count_if(F.col("v").isNull()).alias("filled"))
     return q.select("attr", F.col("value").alias("median"), F.col("n").alias("n_fit")).join(nulls, "attr")
 
 
-def naive_impute(df: DataFrame, features: list[str]) -> DataFrame:
-    """``na.fill`` with the collected 1-row median aggregate (d numbers cross to the driver)."""
-    med = {r["attr"]: r["median"] for r in naive_medians(df, features).collect()}
-    return df.na.fill({f: med[f] for f in features if med.get(f) is not None})
-
-
 def leak_audit(folded: DataFrame, k: int) -> DataFrame:
     """Rows each fold's fit saw vs the table size: must be n (k-1)/k, never n."""
     ex = fold_expansion(folded, k)

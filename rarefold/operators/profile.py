@@ -13,6 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rarefold.functions.columns import nan_to_null
 from rarefold.functions.ranks import exclusive_prefix, float_bucket
 from rarefold.functions.stats import erfc_two_sided_p
 from rarefold.spec import DatasetSpec
@@ -21,7 +22,7 @@ from rarefold.spec import DatasetSpec
 def long_form(df: DataFrame, attrs: list[str], ids: list[str] | None = None) -> DataFrame:
     """(ids..., attr, v double) -- one row per (row, attribute)."""
     ids = ids or []
-    cast = df.select(*ids, *[F.col(a).cast("double").alias(a) for a in attrs])
+    cast = df.select(*ids, *[nan_to_null(F.col(a).cast("double")).alias(a) for a in attrs])
     return cast.unpivot(ids, attrs, "attr", "v")
 
 

@@ -32,12 +32,13 @@ def rank_in_class(df: DataFrame, part: list[str], h: Column, key: str = "row_id"
     return r.withColumnRenamed("_one_before", out).drop("_h", "_one")
 
 
-def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, rep: int | Column = 0, key: str = "row_id") -> DataFrame:
-    """add ``fold`` in [0, k): rank inside the class by md5(seed|rep|key), modulo k."""
+def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, rep: int | Column = 0, key: str = "row_id", keep_rank: bool = False) -> DataFrame:
+    """add ``fold`` in [0, k): rank inside the class (``rank0``) by md5(seed|rep|key), modulo k."""
     rep_c = rep if isinstance(rep, Column) else F.lit(rep)
     x = df.withColumn("rep", rep_c.cast("int"))
     r = rank_in_class(x, ["rep", label], _hash(F.lit(seed), F.col("rep"), F.col(key)), key)
-    return r.withColumn("fold", F.pmod(F.col("rank0"), F.lit(k)).cast("int")).drop("rank0")
+    r = r.withColumn("fold", F.pmod(F.col("rank0"), F.lit(k)).cast("int"))
+    return r if keep_rank else r.drop("rank0")
 
 
 def repeated_folds(df: DataFrame, label: str, k: int = 5, repeats: int = 10, seed: int = 42, key: str = "row_id") -> DataFrame:

@@ -1,28 +1,30 @@
 """H, J1, J2: the model zoo under leakage-free cross-validation.
 
-Rows are expanded per CV cell with a broadcast k-row table (never materialised k
-times: everything downstream is aggregation or a keyed join).  Preprocessing
-statistics (median imputation, population standardisation) are fitted per cell
-on that cell's training rows only and applied through a small broadcast table.
-
-* logistic models: batched IRLS (``linear.fit_logistic``) -- all cells in one
-  aggregation per Newton step;
-* trees / forest / boosting: Spark ML estimators, one fit per cell, cells run
-  from a small driver thread pool (each fit is itself a distributed job).
+The base rows (key, rep, fold, rank inside the class, label, features) are stored once. A CV cell is a
+set of rows given by closed forms of the stratified rank, at up to three levels (outer fold, inner fold,
+calibration fold), so no fold copy is ever stored or shuffled:
+
+* preprocessing of every cell (median, mean, sd, class weights) comes from one aggregation by (fold,
+  residue, label) and ``brackets.set_quantiles``;
+* logistic models: batched Newton (``linear.fit_logistic``) over an in-flight broadcast expansion;
+* calibrators are fitted for all cells at once, isotonic ones on bounded score bins;
+* trees / forest / boosting: Spark ML estimators, one fit per outer fold on a filter of the base rows.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rarefold.functions.brackets import clean, set_quantiles
 from rarefold.functions.cache import keep
 from rarefold.functions.columns import md5_uniform
 from rarefold.operators import linear
-from rarefold.operators.prep import exact_quantiles_counted
-from rarefold.operators.resample import fold_expansion
 
 # Model names in report order (dummies first).
 MODEL_NAMES = (
@@ -31,6 +33,8 @@ MODEL_NAMES = (
 )
 # Fixed value: regularisation grid of the nested search.
 C_GRID = (0.01, 0.1, 1.0, 10.0)
+#: Score bins of the isotonic calibrator.
+SCORE_BINS = 4096
 
 
 def get_model(name: str) -> str:
@@ -39,159 +43,338 @@ def get_model(name: str) -> str:
     return name
 
 
+# ------------------------------------------------------------ cells
+
+@dataclass(frozen=True)
+class Cell:
+    """Training rows: not in ``outer``, nor (if >= 0) in ``inner`` of the rest, nor in ``cal`` of what is left."""
+
+    rep: int
+    outer: int
+    inner: int = -1
+    cal: int = -1
+    C: float = 1.0
+    size: int = -1  # learning curve: number of its subset
+
+    def child(self, j: int) -> Cell:
+        return Cell(self.rep, self.outer, j, -1, self.C) if self.inner < 0 else Cell(self.rep, self.outer, self.inner, j, self.C)
+
+
+@dataclass
+class Folded:
+    """Base rows stored once, and what is known of the groups that make up every cell."""
+
+    base: DataFrame  # row_id, rep, fold, rank0, y, features (NaN read as null)
+    feats: list[str]
+    k: int
+    k_inner: int = 3
+    k_cal: int = 3
+    label: str = "y"
+    groups: dict = field(default_factory=dict)
+
+    @property
+    def period(self) -> int:
+        return self.k_inner * self.k_cal
+
+    def reps(self) -> list[int]:
+        return sorted({g[0] for g in self.counts()})
+
+    def group(self) -> DataFrame:
+        return self.base.withColumn("qm", F.pmod(F.floor(F.col("rank0") / self.k), F.lit(self.period)).cast("int"))
+
+    def counts(self) -> dict:
+        """(rep, fold, qm, y) -> counts, nulls and centred sums of the features; one aggregation."""
+        if not self.groups:
+            mid = self.base.agg(*[F.coalesce(F.avg(f), F.lit(0.0)).alias(f) for f in self.feats]).first()
+            self.centre = [mid[f] for f in self.feats]
+            aggs = [F.count("*").alias("n")]
+            for f, c in zip(self.feats, self.centre, strict=True):
+                x = F.col(f) - F.lit(c)
+                aggs += [F.count(f).alias(f"n_{f}"), F.coalesce(F.sum(x), F.lit(0.0)).alias(f"s_{f}"), F.coalesce(F.sum(x * x), F.lit(0.0)).alias(f"q_{f}")]
+            for r in self.group().groupBy("rep", "fold", "qm", self.label).agg(*aggs).collect():
+                self.groups[r["rep"], r["fold"], r["qm"], r[self.label]] = (r["n"], [(r[f"n_{f}"], r[f"s_{f}"], r[f"q_{f}"]) for f in self.feats])
+        return self.groups
+
+    def trains(self, cell: Cell, g: tuple) -> bool:
+        rep, fold, qm = g[:3]
+        if rep != cell.rep or fold == cell.outer:
+            return False
+        r = fold + self.k * qm
+        p = r - (r + self.k - 1 - cell.outer) // self.k
+        if cell.inner < 0:
+            return True
+        if p % self.k_inner == cell.inner:
+            return False
+        if cell.cal < 0:
+            return True
+        s = p - (p + self.k_inner - 1 - cell.inner) // self.k_inner
+        return s % self.k_cal != cell.cal
+
+
+@dataclass
+class Prefixes(Folded):
+    """Cells whose training rows are those of the other folds up to a cut of the column ``lc``."""
+
+    cuts: dict = field(default_factory=dict)  # Cell -> cut
+
+    def group(self) -> DataFrame:
+        edges = sorted(set(self.cuts.values()))
+        above = sum((F.when(F.col("lc") > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
+        return self.base.withColumn("qm", above.cast("int"))
+
+    def trains(self, cell: Cell, g: tuple) -> bool:
+        edges = sorted(set(self.cuts.values()))
+        return g[0] == cell.rep and g[1] != cell.outer and g[2] <= edges.index(self.cuts[cell])
+
+
+def folded_base(folded: DataFrame, feats: list[str], k: int, k_inner: int = 3, k_cal: int = 3, extra: Iterable[str] = ()) -> Folded:
+    """``folded`` (row_id, rep, fold, rank0, y, features) as base rows; stored once, columns cut to these."""
+    cols = ["row_id", "rep", "fold", "rank0", F.col("y").cast("int").alias("y"), *[clean(F.col(f)).alias(f) for f in feats], *extra]
+    return Folded(keep(folded.select(*cols)), list(feats), k, k_inner, k_cal)
+
+
+def without(r: Column, fold: Column, k: int) -> Column:
+    """Rank among the rows that are not in ``fold``, of the rows ranked ``r`` and dealt by r mod k."""
+    return r - F.floor((r + F.lit(k - 1) - fold) / F.lit(k))
+
+
+def outer_cells(f: Folded, C: float = 1.0) -> list[Cell]:
+    return [Cell(rep, o, C=C) for rep in f.reps() for o in range(f.k)]
+
+
+def inner_cells(f: Folded, cells: list[Cell], grid: Iterable[float] | None = None) -> list[Cell]:
+    n = f.k_inner if cells and cells[0].inner < 0 else f.k_cal
+    return [Cell(x.rep, x.outer, x.inner, x.cal, c) for p in cells for j in range(n) for x in [p.child(j)] for c in (grid or (p.C,))]
+
+
 # ------------------------------------------------------------ preprocessing
 
-def fit_prep(train: DataFrame, cell: list[str], feats: list[str], scale: bool) -> DataFrame:
-    """(cell..., attr, median, mean, sd) fitted on the given training rows of every cell."""
-    long = train.select(*cell, *[F.col(f).cast("double").alias(f) for f in feats]).unpivot(cell, feats, "attr", "v")
-    cnt = long.filter(F.col("v").isNotNull()).groupBy(*cell, "attr", "v").agg(F.count(F.lit(1)).alias("c"))
-    med = exact_quantiles_counted(cnt, [*cell, "attr"], [0.5]).select(*cell, "attr", F.col("value").alias("median"))
-    if not scale:
-        return med.withColumn("mean", F.lit(0.0)).withColumn("sd", F.lit(1.0))
-    j = long.join(F.broadcast(med), [*cell, "attr"]).withColumn("v", F.coalesce("v", "median"))
-    st = j.groupBy(*cell, "attr").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd_raw"))
-    st = st.withColumn("sd", F.when(F.col("sd_raw") == 0, F.lit(1.0)).otherwise(F.col("sd_raw"))).drop("sd_raw")
-    return med.join(st, [*cell, "attr"])
+def fit_prep(f: Folded, cells: list[Cell]) -> dict[Cell, dict]:
+    """Per cell: medians, means and population sd after imputation (0 -> 1), rows and positives; no row is copied."""
+    counts = f.counts()
+    shape = {replace(c, C=1.0) for c in cells}
+    med = set_quantiles(f.group(), ["rep", "fold", "qm"], f.feats, {c: (lambda g, c=c: f.trains(c, g)) for c in shape})
+    done = {}
+    for c in shape:
+        mine = [(g, v) for g, v in counts.items() if f.trains(c, g)]
+        n = sum(v[0] for _, v in mine)
+        pos = sum(v[0] for g, v in mine if g[3] == 1)
+        stat = {"n": n, "pos": pos, "median": [], "mean": [], "sd": []}
+        for i, (x, mid) in enumerate(zip(f.feats, f.centre, strict=True)):
+            m = med.get((c, x, 0.5))
+            m = mid if m is None else m
+            have, s, q = (sum(v[1][i][j] for _, v in mine) for j in range(3))
+            miss = n - have
+            mean = (s + miss * (m - mid)) / max(n, 1)
+            var = max((q + miss * (m - mid) ** 2) / max(n, 1) - mean * mean, 0.0)
+            sd = var**0.5
+            stat["median"].append(float(m)), stat["mean"].append(float(mid + mean)), stat["sd"].append(float(sd) if sd > 1e-12 * max(1.0, abs(mid)) else 1.0)
+        done[c] = stat
+    return {c: done[replace(c, C=1.0)] for c in cells}
+
+
+def cell_table(f: Folded, prep: dict[Cell, dict], balanced: bool = False, more: dict[Cell, dict] | None = None) -> DataFrame:
+    """One row per cell: its folds, C, class weights and feature statistics (``more``: further doubles)."""
+    names, rows = None, []
+    for i, (c, s) in enumerate(prep.items()):
+        w = (s["n"] / (2.0 * max(s["n"] - s["pos"], 1)), s["n"] / (2.0 * max(s["pos"], 1))) if balanced else (1.0, 1.0)
+        extra = (more or {}).get(c, {})
+        names = list(extra)
+        rows.append((i, c.rep, c.outer, c.inner, c.cal, float(c.C), *w, *[float(x) for j in range(len(f.feats)) for x in (s["median"][j], s["mean"][j], s["sd"][j])], *extra.values()))
+    schema = "cell int, c_rep int, c_outer int, c_inner int, c_cal int, C double, w0 double, w1 double"
+    schema += "".join(f", {a}{j} double" for j in range(len(f.feats)) for a in ("_md", "_mn", "_sd"))
+    schema += "".join(f", `{n}` {'array<double>' if isinstance((more or {})[next(iter(prep))][n], list) else 'double'}" for n in names or [])
+    return f.base.sparkSession.createDataFrame(rows, schema)
+
+
+def expand(f: Folded, table: DataFrame, role: str) -> DataFrame:
+    """In-flight rows of every cell: 'train', or 'held' (the rows its deepest level leaves out); scaled to z0..zd."""
+    j = f.base.join(F.broadcast(table), F.col("rep") == F.col("c_rep"))
+    p = without(F.col("rank0"), F.col("c_outer"), f.k)
+    s = without(p, F.col("c_inner"), f.k_inner)
+    out, inn, cal = F.col("fold") == F.col("c_outer"), F.pmod(p, F.lit(f.k_inner)) == F.col("c_inner"), F.pmod(s, F.lit(f.k_cal)) == F.col("c_cal")
+    deep, flat = F.col("c_cal") >= 0, F.col("c_inner") < 0
+    if role == "train":
+        j = j.where(~out & (flat | (~inn & (~deep | ~cal))))
+    else:
+        j = j.where(F.when(flat, out).when(~deep, ~out & inn).otherwise(~out & ~inn & cal))
+    j = j.withColumn("w", F.when(F.col("y") == 1, F.col("w1")).otherwise(F.col("w0")))
+    for i, x in enumerate(f.feats):
+        j = j.withColumn(f"z{i}", (F.coalesce(F.col(x), F.col(f"_md{i}")) - F.col(f"_mn{i}")) / F.col(f"_sd{i}"))
+    return j
+
+
+def zs(f: Folded) -> list[str]:
+    return [f"z{i}" for i in range(len(f.feats))]
 
 
-def apply_prep(rows: DataFrame, stats: DataFrame, cell: list[str], feats: list[str]) -> DataFrame:
-    """Impute and scale the features of ``rows`` with their cell's statistics (broadcast, cells x d)."""
-    wide = stats.groupBy(*cell).pivot("attr", feats).agg(F.first(F.struct("median", "mean", "sd")))
-    j = rows.join(F.broadcast(wide.select(*cell, *[F.col(f).alias(f"_s_{f}") for f in feats])), cell)
-    out = j
-    for f in feats:
-        s = F.col(f"_s_{f}")
-        out = out.withColumn(f, (F.coalesce(F.col(f).cast("double"), s["median"]) - s["mean"]) / s["sd"])
-    return out.drop(*[f"_s_{f}" for f in feats])
+def fit_cells(f: Folded, prep: dict[Cell, dict], balanced: bool) -> dict[Cell, dict]:
+    """Newton fits of all cells; coefficients, ``converged``."""
+    rows = linear.fit_logistic(expand(f, cell_table(f, prep, balanced), "train"), ["cell"], zs(f), "y", "w", "C").collect()
+    by = {r["cell"]: r for r in rows}
+    d = len(f.feats)
+    return {c: {**{f"b{j}": by[i][f"b{j}"] for j in range(d + 1)}, "conv": float(by[i]["converged"])} for i, c in enumerate(prep) if i in by}
 
 
-def balanced_weight(rows: DataFrame, cell: list[str], label: str = "y") -> DataFrame:
-    """Add ``w`` = n / (2 n_c) computed on each cell's rows (class_weight='balanced')."""
-    c = rows.groupBy(*cell, label).agg(F.count(F.lit(1)).alias("_nc"))
-    t = c.groupBy(*cell).agg(F.sum("_nc").alias("_n"))
-    wt = c.join(t, cell).select(*cell, label, (F.col("_n") / (2.0 * F.col("_nc"))).alias("w"))
-    return rows.join(F.broadcast(wt), [*cell, label])
+def eta(f: Folded, suffix: str = "") -> Column:
+    return sum((F.col(f"b{j + 1}{suffix}") * F.col(f"z{j}{suffix}") for j in range(len(f.feats))), F.col(f"b0{suffix}"))
 
 
-# ------------------------------------------------------------ logistic (batched IRLS)
+def _scored(rows: DataFrame, name: str | Column, score: Column) -> DataFrame:
+    model = name if isinstance(name, Column) else F.lit(name)
+    return rows.withColumn("score", score).select(
+        model.alias("model"), "rep", F.col("c_outer").alias("fold"), "row_id", "y", "score", (F.col("score") > 0.5).cast("int").alias("pred"), (F.col("conv") == 1).alias("converged"))
 
-def _cv_cells(folded: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    ex = fold_expansion(folded, k)
-    return ex.filter(F.col("role") == "train"), ex.filter(F.col("role") == "test")
 
+# ------------------------------------------------------------ logistic models
 
-def logistic_cv(folded: DataFrame, feats: list[str], k: int, balanced: bool, C: float = 1.0, name: str | None = None) -> DataFrame:
+def logistic_scores(f: Folded, cells: list[Cell], balanced: bool, name: str) -> DataFrame:
+    """Scores of the rows each cell holds out."""
+    prep = fit_prep(f, cells)
+    table = cell_table(f, prep, balanced, fit_cells(f, prep, balanced))
+    return _scored(expand(f, table, "held"), name, linear.sigmoid(eta(f)))
+
+
+def logistic_cv(f: Folded, balanced: bool, C: float = 1.0, name: str | None = None) -> DataFrame:
     """Out-of-fold scores of plain / balanced logistic regression for every (rep, outer) cell."""
-    cell = ["rep", "outer"]
-    train, test = _cv_cells(folded, k)
-    stats = keep(fit_prep(train, cell, feats, scale=True))
-    tr = apply_prep(train, stats, cell, feats)
-    if balanced:
-        tr = balanced_weight(tr, cell)
-    coefs = linear.fit_logistic(tr, cell, feats, "y", "w" if balanced else None, C)
-    te = apply_prep(test, stats, cell, feats)
-    m = linear.margin(te, coefs, cell, feats)
-    score = linear.sigmoid(F.col("margin"))
-    model = name or ("logistic_balanced" if balanced else "logistic_plain")
-    return m.select(F.lit(model).alias("model"), "rep", F.col("outer").alias("fold"), "row_id", "y",
-                    score.alias("score"), (score > 0.5).cast("int").alias("pred"))
-
-
-def inner_folds(folded: DataFrame, k_outer: int, k_inner: int, seed: int = 42) -> DataFrame:
-    """Outer-train rows with a stratified inner fold: (rep, outer, row_id, y, feats..., inner)."""
-    from rarefold.operators.resample import nested_folds
-
-    return nested_folds(folded, "y", k_outer, k_inner, seed)
-
-
-def inner_oof_logistic(folded: DataFrame, feats: list[str], k_outer: int, k_inner: int = 3, balanced: bool = False, C: float = 1.0) -> DataFrame:
-    """Inner out-of-fold scores of every outer TRAINING row: (rep, outer, row_id, y, score)."""
-    nf = keep(inner_folds(folded, k_outer, k_inner))
-    cell = ["rep", "outer", "inner"]
-    ex = nf.crossJoin(F.broadcast(folded.sparkSession.range(k_inner).select(F.col("id").cast("int").alias("_v"))))
-    ex = ex.withColumn("role", F.when(F.col("inner") == F.col("_v"), "test").otherwise("train")).drop("inner").withColumnRenamed("_v", "inner")
-    tr, te = ex.filter(F.col("role") == "train"), ex.filter(F.col("role") == "test")
-    stats = keep(fit_prep(tr, cell, feats, scale=True))
-    trp = apply_prep(tr, stats, cell, feats)
-    if balanced:
-        trp = balanced_weight(trp, cell)
-    coefs = linear.fit_logistic(trp, cell, feats, "y", "w" if balanced else None, C)
-    m = linear.margin(apply_prep(te, stats, cell, feats), coefs, cell, feats)
-    return m.select("rep", "outer", "row_id", "y", linear.sigmoid(F.col("margin")).alias("score"))
-
-
-def grid_search_c(folded: DataFrame, feats: list[str], k_outer: int, k_inner: int = 3, grid=C_GRID, balanced: bool = False) -> DataFrame:
-    """Mean inner-fold AP per (rep, outer, C); best C = highest mean AP, first in grid order on ties."""
+    return logistic_scores(f, outer_cells(f, C), balanced, name or ("logistic_balanced" if balanced else "logistic_plain"))
+
+
+def grid_search_c(f: Folded, grid=C_GRID, balanced: bool = True) -> DataFrame:
+    """Mean inner-fold AP per (rep, outer, C) of the balanced logistic model."""
     from rarefold.operators.metrics import average_precision
 
-    nf = keep(inner_folds(folded, k_outer, k_inner))
-    cell = ["rep", "outer", "inner"]
-    ex = nf.crossJoin(F.broadcast(folded.sparkSession.range(k_inner).select(F.col("id").cast("int").alias("_v"))))
-    ex = ex.withColumn("role", F.when(F.col("inner") == F.col("_v"), "test").otherwise("train")).drop("inner").withColumnRenamed("_v", "inner")
-    tr, te = ex.filter(F.col("role") == "train"), ex.filter(F.col("role") == "test")
-    stats = keep(fit_prep(tr, cell, feats, scale=True))
-    spark = folded.sparkSession
-    cgrid = F.broadcast(spark.createDataFrame([(float(c), i) for i, c in enumerate(grid)], "C double, c_order int"))
-    trc = apply_prep(tr, stats, cell, feats).crossJoin(cgrid)
-    if balanced:
-        trc = balanced_weight(trc, [*cell, "C"])
-    coefs = linear.fit_logistic(trc, [*cell, "C"], feats, "y", "w" if balanced else None, "C")
-    tec = apply_prep(te, stats, cell, feats).crossJoin(cgrid)
-    m = linear.margin(tec, coefs, [*cell, "C"], feats).withColumn("score", linear.sigmoid(F.col("margin")))
-    ap = average_precision(m, ["rep", "outer", "inner", "C", "c_order"])
-    return ap.groupBy("rep", "outer", "C", "c_order").agg(F.avg("average_precision").alias("mean_ap"))
+    cells = inner_cells(f, outer_cells(f), grid)
+    prep = fit_prep(f, cells)
+    table = cell_table(f, prep, balanced, fit_cells(f, prep, balanced))
+    held = expand(f, table, "held").select("rep", F.col("c_outer").alias("outer"), F.col("c_inner").alias("inner"), "C", "y", linear.sigmoid(eta(f)).alias("score"), "conv")
+    order = F.array_position(F.array(*[F.lit(float(c)) for c in grid]), F.col("C")) - 1
+    ap = average_precision(held, ["rep", "outer", "inner", "C"])
+    fits = table.groupBy(F.col("c_rep").alias("rep"), F.col("c_outer").alias("outer"), "C").agg((F.min("conv") == 1).alias("converged"))
+    out = ap.groupBy("rep", "outer", "C").agg(F.avg("average_precision").alias("mean_ap"))
+    return out.join(fits, ["rep", "outer", "C"]).select("rep", "outer", "C", order.cast("int").alias("c_order"), "mean_ap", "converged")
 
 
 def best_c(grid_table: DataFrame) -> DataFrame:
+    """Highest mean AP, first in grid order on ties."""
     return grid_table.groupBy("rep", "outer").agg(
         F.max_by("C", F.struct(F.col("mean_ap"), -F.col("c_order"))).alias("best_C"),
         F.max("mean_ap").alias("best_inner_ap"),
     )
 
 
-def nested_cv(folded: DataFrame, feats: list[str], k_outer: int, k_inner: int = 3, grid=C_GRID) -> tuple[DataFrame, DataFrame]:
-    """Refit each outer training part with its best C; (scored outer test rows, best C table)."""
-    bc = keep(best_c(grid_search_c(folded, feats, k_outer, k_inner, grid)))
-    cell = ["rep", "outer"]
-    train, test = _cv_cells(folded, k_outer)
-    stats = keep(fit_prep(train, cell, feats, scale=True))
-    tr = apply_prep(train, stats, cell, feats).join(F.broadcast(bc.select(*cell, "best_C")), cell)
-    coefs = linear.fit_logistic(tr, cell, feats, "y", None, "best_C")
-    m = linear.margin(apply_prep(test, stats, cell, feats), coefs, cell, feats)
-    score = linear.sigmoid(F.col("margin"))
-    scored = m.select(F.lit("logistic_nested").alias("model"), "rep", F.col("outer").alias("fold"), "row_id", "y",
-                      score.alias("score"), (score > 0.5).cast("int").alias("pred"))
-    return scored, bc
-
-
-def platt_cv(folded: DataFrame, feats: list[str], k_outer: int, k_cal: int = 3) -> DataFrame:
-    """Plain logistic wrapped in sigmoid calibration with an internal k_cal-fold CV; the
-    calibrated probabilities of the k_cal (model, calibrator) pairs are averaged."""
-    nf = keep(inner_folds(folded, k_outer, k_cal))
-    cell = ["rep", "outer", "inner"]
-    spark = folded.sparkSession
-    inner_tab = F.broadcast(spark.range(k_cal).select(F.col("id").cast("int").alias("_v")))
-    ex = nf.crossJoin(inner_tab).withColumn("role", F.when(F.col("inner") == F.col("_v"), "cal").otherwise("train"))
-    ex = ex.drop("inner").withColumnRenamed("_v", "inner")
-    tr, cal = ex.filter(F.col("role") == "train"), ex.filter(F.col("role") == "cal")
-    stats = keep(fit_prep(tr, cell, feats, scale=True))
-    coefs = keep(linear.fit_logistic(apply_prep(tr, stats, cell, feats), cell, feats, "y", None, 1.0))
-    cm = linear.margin(apply_prep(cal, stats, cell, feats), coefs, cell, feats)
-    # Platt targets (N+ + 1)/(N+ + 2) and 1/(N- + 2) per calibration cell
-    cnt = cm.groupBy(*cell).agg(F.sum("y").alias("_np"), F.sum(1 - F.col("y")).alias("_nn"))
-    cm = cm.join(F.broadcast(cnt), cell).withColumn(
-        "t", F.when(F.col("y") == 1, (F.col("_np") + 1) / (F.col("_np") + 2)).otherwise(1 / (F.col("_nn") + 2))
-    )
-    platt = linear.fit_logistic(cm, cell, ["margin"], "t", None, 1.0, penalize=False).select(
-        *cell, F.col("b0").alias("a0"), F.col("b1").alias("a1")
-    )
-    _, test = _cv_cells(folded, k_outer)
-    te = test.crossJoin(inner_tab).withColumnRenamed("_v", "inner")
-    tm = linear.margin(apply_prep(te, stats, cell, feats), coefs, cell, feats).join(F.broadcast(platt), cell)
-    p = linear.sigmoid(F.col("a0") + F.col("a1") * F.col("margin"))
-    avg = tm.groupBy("rep", "outer", "row_id", "y").agg(F.avg(p).alias("score"))
-    return avg.select(F.lit("logistic_plain_platt").alias("model"), "rep", F.col("outer").alias("fold"), "row_id", "y",
-                      "score", (F.col("score") > 0.5).cast("int").alias("pred"))
+def nested_cv(f: Folded, grid=C_GRID, balanced: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Refit each outer training part with its best C; (scored outer test rows, best C with how often it won)."""
+    bc = keep(best_c(grid_search_c(f, grid, balanced)))
+    won = {(r["rep"], r["outer"]): r["best_C"] for r in bc.collect()}
+    cells = [Cell(rep, o, C=won[rep, o]) for rep, o in sorted(won)]
+    wins = bc.groupBy("best_C").agg(F.count("*").alias("c_wins"))
+    return logistic_scores(f, cells, balanced, "logistic_nested"), bc.join(F.broadcast(wins), "best_C")
+
+
+# ------------------------------------------------------------ calibration
+
+def _pava(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted non-decreasing fit."""
+    values, weights, sizes = [], [], []
+    for a, b in zip(y, w, strict=True):
+        values.append(float(a)), weights.append(float(b)), sizes.append(1)
+        while len(values) > 1 and values[-2] >= values[-1]:
+            v = (values[-2] * weights[-2] + values[-1] * weights[-1]) / (weights[-2] + weights[-1])
+            values[-2:], weights[-2:], sizes[-2:] = [v], [weights[-2] + weights[-1]], [sizes[-2] + sizes[-1]]
+    return np.repeat(values, sizes)
+
+
+def calibrators(f: Folded, parents: list[Cell], kinds: tuple[str, ...]) -> dict[Cell, dict]:
+    """Per parent cell the coefficients of its calibration models and their sigmoid / isotonic maps.
+
+    All models of all parents are one batch of Newton steps, all sigmoids another; isotonic maps come from
+    one aggregation into SCORE_BINS score bins per cell, read by linear interpolation, ends held.
+    """
+    cells = inner_cells(f, parents)
+    prep = fit_prep(f, cells)
+    coefs = fit_cells(f, prep, False)
+    table = cell_table(f, prep, False, coefs)
+    held = expand(f, table, "held").withColumn("margin", eta(f))
+    more: dict[Cell, dict] = {c: dict(coefs[c]) for c in cells}
+    order = list(prep)
+    if "platt" in kinds:
+        n = {r["cell"]: (r["p"], r["n"]) for r in held.groupBy("cell").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()}
+        targets = f.base.sparkSession.createDataFrame([(i, (p + 1.0) / (p + 2.0), 1.0 / (t - p + 2.0)) for i, (p, t) in n.items()], "cell int, t1 double, t0 double")
+        aim = held.join(F.broadcast(targets), "cell").withColumn("t", F.when(F.col("y") == 1, F.col("t1")).otherwise(F.col("t0")))
+        for r in linear.fit_logistic(aim, ["cell"], ["margin"], "t", None, 1.0, penalize=False).collect():
+            c = order[r["cell"]]
+            more[c] |= {"a0": r["b0"], "a1": r["b1"], "conv": more[c]["conv"] * float(r["converged"])}
+    if "isotonic" in kinds:
+        s = linear.sigmoid(F.col("margin"))
+        bins = held.withColumn("s", s).groupBy("cell", F.least(F.floor(F.col("s") * SCORE_BINS), F.lit(SCORE_BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("p"), F.avg("s").alias("s")).collect()
+        mid = (np.arange(SCORE_BINS) + 0.5) / SCORE_BINS
+        for i, c in enumerate(order):
+            mine = sorted((r["s"], r["p"] / r["n"], r["n"]) for r in bins if r["cell"] == i)
+            x, y, w = (np.array(v, float) for v in zip(*mine, strict=True)) if mine else (np.zeros(1), np.zeros(1), np.ones(1))
+            more[c]["iso"] = np.interp(mid, x, _pava(x, y, w)).tolist()
+    out = {}
+    for p in parents:
+        wide: dict = {}
+        for j in range(f.k_inner if p.inner < 0 else f.k_cal):
+            c = p.child(j)
+            s = prep[c]
+            wide |= {f"{k}_{j}": v for k, v in more[c].items()}
+            wide |= {f"{a}{i}_{j}": float(s[b][i]) for i in range(len(f.feats)) for a, b in (("_md", "median"), ("_mn", "mean"), ("_sd", "sd"))}
+        wide["conv"] = min(more[p.child(j)]["conv"] for j in range(f.k_inner if p.inner < 0 else f.k_cal))
+        out[p] = wide
+    return out
+
+
+def calibrated_scores(f: Folded, parents: list[Cell], kinds: tuple[str, ...], plain: bool = False, balanced: bool = False) -> DataFrame:
+    """Scores of the rows each parent holds out, one row per (row, model): the mean of its calibration models' probabilities.
+
+    ``plain`` / ``balanced`` add the uncalibrated logistic models. One pass over the base rows scores all of them.
+    """
+    prep = fit_prep(f, parents)
+    more = calibrators(f, parents, kinds) if kinds else {p: {"conv": 1.0} for p in parents}
+    d = len(f.feats)
+    for tag, wanted in (("plain", plain), ("even", balanced)):
+        if wanted:
+            for p, c in fit_cells(f, prep, tag == "even").items():
+                more[p] |= {f"{tag}{j}": c[f"b{j}"] for j in range(d + 1)} | {"conv": min(more[p]["conv"], c["conv"])}
+    rows = expand(f, cell_table(f, prep, False, more), "held")
+    n = f.k_inner if parents[0].inner < 0 else f.k_cal
+    scores: list[Column] = []
+    for tag, wanted, name in (("plain", plain, "logistic_plain"), ("even", balanced, "logistic_balanced")):
+        if wanted:
+            e = sum((F.col(f"{tag}{j + 1}") * F.col(f"z{j}") for j in range(d)), F.col(f"{tag}0"))
+            scores.append(F.struct(F.lit(name).alias("model"), linear.sigmoid(e).alias("score")))
+    if kinds:
+        for j in range(n):
+            z = [(F.coalesce(F.col(x), F.col(f"_md{i}_{j}")) - F.col(f"_mn{i}_{j}")) / F.col(f"_sd{i}_{j}") for i, x in enumerate(f.feats)]
+            rows = rows.withColumn(f"m_{j}", sum((F.col(f"b{i + 1}_{j}") * z[i] for i in range(d)), F.col(f"b0_{j}")))
+    for kind in kinds:
+        if kind == "platt":
+            each = [linear.sigmoid(F.col(f"a0_{j}") + F.col(f"a1_{j}") * F.col(f"m_{j}")) for j in range(n)]
+        else:
+            at = [F.least(F.floor(linear.sigmoid(F.col(f"m_{j}")) * SCORE_BINS), F.lit(SCORE_BINS - 1)).cast("int") + 1 for j in range(n)]
+            each = [F.element_at(F.col(f"iso_{j}"), at[j]) for j in range(n)]
+        scores.append(F.struct(F.lit(f"logistic_plain_{kind}").alias("model"), (sum(each[1:], each[0]) / n).alias("score")))
+    rows = rows.select("rep", "c_outer", "c_inner", "row_id", "y", "conv", F.explode(F.array(*scores)).alias("s")).select("*", F.col("s.model").alias("model_name"), F.col("s.score").alias("s_score"))
+    return _scored(rows, F.col("model_name"), F.col("s_score"))
+
+
+def platt_cv(f: Folded) -> DataFrame:
+    """Plain logistic wrapped in sigmoid calibration with an internal CV."""
+    return calibrated_scores(f, outer_cells(f), ("platt",))
+
+
+def isotonic_cv(f: Folded) -> DataFrame:
+    """Plain logistic wrapped in isotonic calibration with an internal CV."""
+    return calibrated_scores(f, outer_cells(f), ("isotonic",))
+
+
+def cost_variant_scores(f: Folded) -> tuple[DataFrame, DataFrame]:
+    """(inner out-of-fold scores of every outer training part, outer test scores) of the four variants."""
+    outer = outer_cells(f)
+    both = ("platt", "isotonic")
+    return calibrated_scores(f, inner_cells(f, outer), both, True, True), calibrated_scores(f, outer, both, True, True)
 
 
 # ------------------------------------------------------------ dummies
@@ -214,65 +397,69 @@ def dummy_cv(folded: DataFrame, k: int, strategy: str, seed: int = 42) -> DataFr
 
 # ------------------------------------------------------------ Spark ML trees
 
-def _estimator(name: str, seed: int, weighted: bool):
+#: Depths (None: Spark's largest, 30), bins and trees; a deeper tree would need another engine and is reported as capped.
+TREE_DEPTH, FOREST_DEPTH, TREE_BINS, FOREST_BINS, TREES, BOOST_ROUNDS, TREE_MEMORY_MB = 30, 10, 256, 64, 100, 100, 1024
+
+
+def _estimator(name: str, seed: int, depth: int | None = None):
     from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 
-    common = dict(featuresCol="features", labelCol="y", seed=seed)
+    common = {"featuresCol": "features", "labelCol": "y", "seed": seed, "maxMemoryInMB": TREE_MEMORY_MB, "cacheNodeIds": False}
     if name == "tree_default":
-        return DecisionTreeClassifier(maxDepth=30, minInstancesPerNode=1, maxBins=256, **common)
+        return DecisionTreeClassifier(maxDepth=depth or TREE_DEPTH, minInstancesPerNode=1, maxBins=TREE_BINS, **common)
     if name == "tree_shallow_balanced":
-        return DecisionTreeClassifier(maxDepth=3, minInstancesPerNode=5, maxBins=256, weightCol="w", **common)
+        return DecisionTreeClassifier(maxDepth=3, minInstancesPerNode=5, maxBins=TREE_BINS, weightCol="w", **common)
     if name == "rf_balanced":
-        return RandomForestClassifier(numTrees=100, maxDepth=20, maxBins=128, featureSubsetStrategy="sqrt", weightCol="w", **common)
+        return RandomForestClassifier(numTrees=TREES, maxDepth=depth or FOREST_DEPTH, maxBins=FOREST_BINS, featureSubsetStrategy="sqrt", weightCol="w", **common)
     if name == "gradient_boosting":
-        return GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, maxBins=128, **common)
+        return GBTClassifier(maxIter=BOOST_ROUNDS, stepSize=0.1, maxDepth=3, maxBins=FOREST_BINS, **common)
     raise KeyError(name)
 
 
-def spark_ml_cv(folded: DataFrame, feats: list[str], k: int, name: str, seed: int = 42, threads: int = 4) -> DataFrame:
-    """Out-of-fold scores of a Spark ML tree model: one fit per (rep, outer) cell."""
+def _vectors(rows: DataFrame, f: Folded, stat: dict) -> DataFrame:
+    """Features imputed with the cell's medians, as a vector; class-balanced weights."""
     from pyspark.ml.feature import VectorAssembler
+
+    x = rows.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in zip(f.feats, stat["median"], strict=True)})
+    w = F.when(F.col("y") == 1, stat["n"] / (2.0 * max(stat["pos"], 1))).otherwise(stat["n"] / (2.0 * max(stat["n"] - stat["pos"], 1)))
+    return VectorAssembler(inputCols=f.feats, outputCol="features").transform(x.withColumn("w", w).withColumn("y", F.col("y").cast("double")))
+
+
+def spark_ml_cv(f: Folded, name: str, seed: int = 42, depth: int | None = None) -> DataFrame:
+    """Out-of-fold scores of a Spark ML tree model: one fit per outer fold, one after the other, on the stored base rows.
+
+    ``capped`` says that a tree of the fit reached the depth limit.
+    """
     from pyspark.ml.functions import vector_to_array
 
     get_model(name)
-    cell = ["rep", "outer"]
-    train, test = _cv_cells(folded, k)
-    stats = keep(fit_prep(train, cell, feats, scale=False))
-    weighted = name in ("tree_shallow_balanced", "rf_balanced")
-    tr = apply_prep(train, stats, cell, feats)
-    tr = balanced_weight(tr, cell) if weighted else tr.withColumn("w", F.lit(1.0))
-    asm = VectorAssembler(inputCols=feats, outputCol="features")
-    tr = keep(asm.transform(tr).select(*cell, "features", F.col("y").cast("double").alias("y"), "w"))
-    te = keep(asm.transform(apply_prep(test, stats, cell, feats)).select(*cell, "row_id", "features", F.col("y").alias("y_true")))
-    cells = [(r["rep"], r["outer"]) for r in tr.select(*cell).distinct().collect()]
-
-    def run(c):
-        rep, outer = c
-        est = _estimator(name, seed, weighted)
-        model = est.fit(tr.filter((F.col("rep") == rep) & (F.col("outer") == outer)))
-        out = model.transform(te.filter((F.col("rep") == rep) & (F.col("outer") == outer)))
-        return out.select("rep", "outer", "row_id", "y_true", vector_to_array("probability")[1].alias("score"))
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        parts = list(pool.map(run, sorted(cells)))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return scored.select(F.lit(name).alias("model"), "rep", F.col("outer").alias("fold"), "row_id", F.col("y_true").alias("y"),
-                         "score", (F.col("score") > 0.5).cast("int").alias("pred"))
+    prep, out = fit_prep(f, outer_cells(f)), None
+    for c, stat in prep.items():
+        rows = f.base.where(F.col("rep") == c.rep)
+        est = _estimator(name, seed, depth)
+        model = est.fit(_vectors(rows.where(F.col("fold") != c.outer), f, stat).select("features", "y", "w"))
+        deepest = max((t.depth for t in model.trees), default=0) if hasattr(model, "trees") else model.depth
+        capped = name in ("tree_default", "rf_balanced") and deepest >= est.getMaxDepth()
+        part = model.transform(_vectors(rows.where(F.col("fold") == c.outer), f, stat))
+        part = part.select(F.lit(name).alias("model"), "rep", "fold", "row_id", F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"), F.lit(capped).alias("capped"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("pred", (F.col("score") > 0.5).cast("int"))
+
+
+def whole(df: DataFrame, feats: list[str]) -> tuple[Folded, Cell, dict]:
+    """All rows as the training part of one cell (explanation fits only)."""
+    base = df.withColumn("rep", F.lit(0)).withColumn("fold", F.lit(0)).withColumn("rank0", F.lit(0).cast("long"))
+    f, c = folded_base(base, feats, 1), Cell(0, -1)
+    return f, c, fit_prep(f, [c])[c]
 
 
 def tree_leaf_table(df: DataFrame, feats: list[str], seed: int = 42) -> tuple[DataFrame, dict]:
     """Shallow balanced tree fitted on ALL rows (explanation only): rows and positives
     per leaf, plus depth, leaf count, root attribute and importances."""
     from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import VectorAssembler
 
-    one = df.withColumn("_cell", F.lit(0))
-    stats = fit_prep(one, ["_cell"], feats, scale=False)
-    x = apply_prep(one, stats, ["_cell"], feats)
-    x = balanced_weight(x, ["_cell"])
-    x = keep(VectorAssembler(inputCols=feats, outputCol="features").transform(x).withColumn("y", F.col("y").cast("double")))
+    f, _, stat = whole(df, feats)
+    x = keep(_vectors(f.base, f, stat))
     est = DecisionTreeClassifier(maxDepth=3, minInstancesPerNode=5, maxBins=256, weightCol="w", featuresCol="features",
                                  labelCol="y", seed=seed, leafCol="leaf")
     model = est.fit(x)
@@ -288,42 +475,3 @@ def tree_leaf_table(df: DataFrame, feats: list[str], seed: int = 42) -> tuple[Da
         "rules": model.toDebugString,
     }
     return leaves, info
-
-
-def isotonic_cv(folded: DataFrame, feats: list[str], k_outer: int, k_cal: int = 3, threads: int = 4) -> DataFrame:
-    """Plain logistic wrapped in isotonic calibration (Spark ML's distributed PAVA, linear
-    interpolation, clipped ends) with an internal k_cal-fold CV; calibrated probabilities of
-    the k_cal (model, calibrator) pairs are averaged."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    nf = keep(inner_folds(folded, k_outer, k_cal))
-    cell = ["rep", "outer", "inner"]
-    spark = folded.sparkSession
-    inner_tab = F.broadcast(spark.range(k_cal).select(F.col("id").cast("int").alias("_v")))
-    ex = nf.crossJoin(inner_tab).withColumn("role", F.when(F.col("inner") == F.col("_v"), "cal").otherwise("train"))
-    ex = ex.drop("inner").withColumnRenamed("_v", "inner")
-    tr, cal = ex.filter(F.col("role") == "train"), ex.filter(F.col("role") == "cal")
-    stats = keep(fit_prep(tr, cell, feats, scale=True))
-    coefs = keep(linear.fit_logistic(apply_prep(tr, stats, cell, feats), cell, feats, "y", None, 1.0))
-    asm = VectorAssembler(inputCols=["margin"], outputCol="mf")
-    cm = keep(asm.transform(linear.margin(apply_prep(cal, stats, cell, feats), coefs, cell, feats)).withColumn("yd", F.col("y").cast("double")))
-    _, test = _cv_cells(folded, k_outer)
-    te = test.crossJoin(inner_tab).withColumnRenamed("_v", "inner")
-    tm = keep(asm.transform(linear.margin(apply_prep(te, stats, cell, feats), coefs, cell, feats)))
-    cells = [tuple(r) for r in cm.select(*cell).distinct().collect()]  # materialises cm once
-    tm.count()  # materialise once before the per-cell fits read it concurrently
-
-    def run(c):
-        cond = (F.col("rep") == c[0]) & (F.col("outer") == c[1]) & (F.col("inner") == c[2])
-        model = IsotonicRegression(featuresCol="mf", labelCol="yd", predictionCol="p").fit(cm.filter(cond))
-        return model.transform(tm.filter(cond)).select("rep", "outer", "row_id", "y", "p")
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        parts = list(pool.map(run, sorted(cells)))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    avg = allp.groupBy("rep", "outer", "row_id", "y").agg(F.avg("p").alias("score"))
-    return avg.select(F.lit("logistic_plain_isotonic").alias("model"), "rep", F.col("outer").alias("fold"), "row_id", "y",
-                      "score", (F.col("score") > 0.5).cast("int").alias("pred"))

@@ -15,60 +15,65 @@ GROUP = ["model", "rep", "fold"]
 
 
 def model_folds(spark, sf, k=K):
+    """Contract-valid rows with their stratified fold and rank, the base rows of every model query."""
     v = valid(spark, sf).withColumn("y", (F.col("failure") == "yes").cast("int"))
-    f = resample.stratified_folds(v, "failure", k=k, seed=42)
-    return keep(f.select("row_id", "rep", "fold", "y", *FEATS))
+    return resample.stratified_folds(v, "failure", k=k, seed=42, keep_rank=True).select("row_id", "rep", "fold", "rank0", "y", *FEATS)
 
 
-def _metrics(scored):
-    return rounded(metrics.fold_metrics(scored, GROUP))
+def base(spark, sf, k=K):
+    return zoo.folded_base(model_folds(spark, sf, k), FEATS, k)
+
+
+def _metrics(scored, flag="converged"):
+    """Fold metrics, and whether every fit behind them converged (trees: whether one met its depth limit)."""
+    fits = scored.groupBy(*GROUP).agg((F.bool_and if flag == "converged" else F.bool_or)(flag).alias(flag))
+    return rounded(metrics.fold_metrics(scored, GROUP).join(fits, GROUP))
 
 
 def q_zoo_logistic_plain(spark, sf):
-    return _metrics(zoo.logistic_cv(model_folds(spark, sf), FEATS, K, balanced=False))
+    return _metrics(zoo.logistic_cv(base(spark, sf), balanced=False))
 
 
 def q_zoo_logistic_balanced(spark, sf):
-    return _metrics(zoo.logistic_cv(model_folds(spark, sf), FEATS, K, balanced=True))
+    return _metrics(zoo.logistic_cv(base(spark, sf), balanced=True))
 
 
 def q_zoo_tree_default(spark, sf):
-    return _metrics(zoo.spark_ml_cv(model_folds(spark, sf), FEATS, K, "tree_default"))
+    return _metrics(zoo.spark_ml_cv(base(spark, sf), "tree_default"), "capped")
 
 
 def q_zoo_tree_shallow(spark, sf):
-    return _metrics(zoo.spark_ml_cv(model_folds(spark, sf), FEATS, K, "tree_shallow_balanced"))
+    return _metrics(zoo.spark_ml_cv(base(spark, sf), "tree_shallow_balanced"), "capped")
 
 
 def q_zoo_rf(spark, sf):
-    return _metrics(zoo.spark_ml_cv(model_folds(spark, sf), FEATS, K, "rf_balanced"))
+    return _metrics(zoo.spark_ml_cv(base(spark, sf), "rf_balanced"), "capped")
 
 
 def q_zoo_gbt(spark, sf):
-    return _metrics(zoo.spark_ml_cv(model_folds(spark, sf), FEATS, K, "gradient_boosting"))
+    return _metrics(zoo.spark_ml_cv(base(spark, sf), "gradient_boosting"), "capped")
 
 
 def q_grid_search_c(spark, sf):
-    return rounded(zoo.grid_search_c(model_folds(spark, sf), FEATS, K, 3))
+    return rounded(zoo.grid_search_c(base(spark, sf)))
 
 
 def q_nested_cv(spark, sf):
-    scored, bc = zoo.nested_cv(model_folds(spark, sf), FEATS, K, 3)
-    fm = metrics.fold_metrics(scored, GROUP)
-    return rounded(fm.join(bc.withColumnRenamed("outer", "fold"), ["rep", "fold"]))
+    scored, bc = zoo.nested_cv(base(spark, sf))
+    return rounded(metrics.fold_metrics(scored, GROUP).join(bc.withColumnRenamed("outer", "fold"), ["rep", "fold"]))
 
 
 def q_calibrate_platt(spark, sf):
-    return _metrics(zoo.platt_cv(model_folds(spark, sf), FEATS, K, 3))
+    return _metrics(zoo.platt_cv(base(spark, sf)))
 
 
-def q_calibrate_isotonic(spark, sf):  # not registered: per-cell Spark ML fits too slow / failing locally (open)
-    return _metrics(zoo.isotonic_cv(model_folds(spark, sf), FEATS, K, 3))
+def q_calibrate_isotonic(spark, sf):
+    return _metrics(zoo.isotonic_cv(base(spark, sf)))
 
 
 def q_oof_predictions(spark, sf):
     """Every row is scored exactly once out of fold."""
-    s = zoo.logistic_cv(model_folds(spark, sf), FEATS, K, balanced=True)
+    s = zoo.logistic_cv(base(spark, sf), balanced=True)
     per_row = s.groupBy("model", "row_id").agg(F.count(F.lit(1)).alias("times"))
     return per_row.groupBy("model").agg(
         F.count(F.lit(1)).alias("rows_scored"), F.min("times").alias("min_times"), F.max("times").alias("max_times")
@@ -76,23 +81,53 @@ def q_oof_predictions(spark, sf):
 
 
 def q_tree_leaf_table(spark, sf):
-    f = model_folds(spark, sf)
-    leaves, info = zoo.tree_leaf_table(f, FEATS)
+    leaves, info = zoo.tree_leaf_table(model_folds(spark, sf), FEATS)
     return leaves.withColumn("root_attr", F.lit(info["root_attr"])).withColumn("depth", F.lit(info["depth"]))
 
 
+def q_tree_rules(spark, sf):
+    """The shallow tree's rules and importances as rows."""
+    _, info = zoo.tree_leaf_table(model_folds(spark, sf), FEATS)
+    lines = [(i, "rule", x.strip(), None) for i, x in enumerate(info["rules"].splitlines()[1:])]
+    lines += [(i, "importance", a, round(v, 9)) for i, (a, v) in enumerate(info["importances"].items())]
+    return spark.createDataFrame(lines, "place int, kind string, entry string, value double")
+
+
 def q_cost_variants(spark, sf):
-    """Threshold chosen on inner out-of-fold scores of each outer TRAINING part only,
-    applied to the outer test rows; per variant (plain / balanced logistic)."""
-    f = model_folds(spark, sf)
-    out = None
-    for balanced in (False, True):
-        name = "logistic_balanced" if balanced else "logistic_plain"
-        test = zoo.logistic_cv(f, FEATS, K, balanced=balanced).withColumnRenamed("fold", "outer")
-        inner = zoo.inner_oof_logistic(f, FEATS, K, 3, balanced=balanced).withColumn("model", F.lit(name))
-        part = decision.cost_variant_summary(inner, test, ["model"])
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    """Four variants; each outer fold's threshold comes from inner out-of-fold scores of its
+    TRAINING part and is applied to its test rows. H15: the balanced variant is the counter-example."""
+    inner, test = zoo.cost_variant_scores(base(spark, sf))
+    test = test.withColumnRenamed("fold", "outer")
+    out = decision.cost_variant_summary(inner.withColumnRenamed("fold", "outer"), test, ["model"])
+    quality = test.groupBy("model").agg(F.avg((F.col("score") - F.col("y")) ** 2).alias("brier"), F.bool_and("converged").alias("converged"))
+    ap = metrics.average_precision(test, ["model"])
+    return rounded(out.join(quality, "model").join(ap, "model").withColumn("counter_example", F.col("model") == "logistic_balanced"))
+
+
+def q_model_comparison(spark, sf):
+    """I13-I15 and I10 on the zoo itself: every model's fold metrics, summary, pooled confusion and whether it beats both dummies."""
+    f = base(spark, sf)
+    parts = [zoo.dummy_cv(f.base, K, s) for s in ("most_frequent", "stratified")]
+    parts += [zoo.spark_ml_cv(f, m) for m in ("tree_default", "tree_shallow_balanced", "rf_balanced", "gradient_boosting")]
+    parts += [zoo.logistic_cv(f, balanced=b) for b in (True, False)]
+    cols = ["model", "rep", "fold", "row_id", "y", "score", "pred"]
+    scored = parts[0].select(cols)
+    for p in parts[1:]:
+        scored = scored.unionByName(p.select(cols))
+    return comparison(keep(scored))
+
+
+def comparison(scored):
+    """Models in report order (dummies first) with summary, pooled confusion and dummy flags."""
+    fm = keep(metrics.fold_metrics(scored, GROUP))
+    pooled = scored.groupBy("model").agg(*[F.count_if((F.col("y") == y) & (F.col("pred") == p)).alias(n) for n, y, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))])
+    wide = fm.groupBy("model").agg(F.avg("average_precision").alias("ap_mean"), F.stddev_samp("average_precision").alias("ap_sd"), F.avg("roc_auc").alias("auc_mean"), F.avg("brier_score_loss").alias("brier_mean"), F.count("*").alias("n_folds"))
+    floor = wide.where(F.col("model").startswith("dummy_")).agg(F.max("ap_mean").alias("dummy_ap"))
+    order = F.array_position(F.array(*[F.lit(m) for m in zoo.MODEL_NAMES]), F.col("model"))
+    top = wide.where(~F.col("model").startswith("dummy_")).agg(F.max("ap_mean").alias("top_ap"))
+    out = wide.join(pooled, "model").crossJoin(F.broadcast(floor)).crossJoin(F.broadcast(top))
+    out = out.withColumn("place", order.cast("int")).withColumn("beats_dummies", F.when(F.col("model").startswith("dummy_"), F.lit(False)).otherwise(F.col("ap_mean") > F.col("dummy_ap")))
+    return rounded(out.withColumn("best", F.col("ap_mean") == F.col("top_ap")).drop("dummy_ap", "top_ap"))
 
 
 QUERIES = {
@@ -105,6 +140,9 @@ QUERIES = {
     "grid_search_c": q_grid_search_c,
     "nested_cv": q_nested_cv,
     "calibrate_platt": q_calibrate_platt,
+    "calibrate_isotonic": q_calibrate_isotonic,
+    "tree_rules": q_tree_rules,
+    "model_comparison": q_model_comparison,
     "oof_predictions": q_oof_predictions,
     "tree_leaf_table": q_tree_leaf_table,
     "cost_variants": q_cost_variants,

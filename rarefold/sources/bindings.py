@@ -3,7 +3,7 @@
 The driver tables carry no nulls, no impossible values and no rare label, so
 the observation table is *derived* from ``lineitem`` by deterministic column
 expressions (one projection, no shuffle; filters and column pruning reach the
-parquet scan).  ``OBS_SQL`` is the same derivation in SQL for the DuckDB oracle.
+parquet scan).  ``plans/oracle_base.py`` has the same derivation in SQL.
 
 Fixed derivation values: null price when ``l_linenumber = 7 and l_discount = 0``;
 label ``yes`` iff ``l_returnflag = 'R' and l_quantity >= 41 and l_discount >= 0.05``;
@@ -94,26 +94,3 @@ def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.hour("ts").cast("int").alias("hour"),
         F.when(F.col("event_type") == "error", F.lit("yes")).otherwise(F.lit("no")).alias("failure"),
     )
-
-
-OBS_SQL = """
-SELECT md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber,
-                      CAST(round(l_extendedprice * 100) AS BIGINT))) AS row_id,
-       l_quantity AS qty,
-       CASE WHEN l_linenumber = 7 AND l_discount = 0 THEN CAST(NULL AS DOUBLE) ELSE l_extendedprice END AS price,
-       l_discount AS disc,
-       l_tax AS tax,
-       CAST(l_linenumber AS INTEGER) AS line,
-       CASE WHEN l_returnflag = 'R' AND l_quantity >= 41 AND l_discount >= 0.05 THEN 'yes' ELSE 'no' END AS failure,
-       l_returnflag AS returnflag,
-       l_linestatus AS linestatus
-FROM lineitem
-"""
-
-SCORE_SQL = "round(1 / (1 + exp(-(-5.5 + 0.08 * qty + 25 * disc))), 4)"
-
-EVENTS_SQL = """
-SELECT CAST(event_id AS VARCHAR) AS row_id, value, user_id, CAST(hour(ts) AS INTEGER) AS hour,
-       CASE WHEN event_type = 'error' THEN 'yes' ELSE 'no' END AS failure
-FROM events
-"""

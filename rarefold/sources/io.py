@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,39 +37,60 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def scan_csv(spark: SparkSession, path: str, spec: DatasetSpec, key: str | None = "row_id") -> tuple[DataFrame, DataFrame]:
-    """A1 + B2: (typed frame, per-cell type violations).  Structural problems raise first.
+#: Name for the raw text of a row whose number of cells isn't the header's.
+CORRUPT = "_corrupt_row"
+
 
-    ``key=None``: the file has no key column; rows get their 0-based position as ``row_id``
-    (``zipWithIndex``: exact across partitions, two passes -- meant for small files whose row
-    numbers are reported, like the reference's positional index)."""
-    fields = [T.StructField(f.name, T.StringType()) for f in spec.fields]
+def scan_csv(spark: SparkSession, path: str, spec: DatasetSpec, key: str | None = "row_id") -> tuple[DataFrame, DataFrame]:
+    """A1 + B2: (typed frame with ``type_reason``, per-cell type violations).  Structural problems raise first.
+
+    Columns are taken by header name, in any order. A cell that isn't of its type, and a row with too few or
+    too many cells, become a reason in ``type_reason``: ``contract.split`` quarantines them, they never pass
+    as nulls. ``key=None``: rows get their 0-based position as ``row_id``."""
+    names = spark.read.option("header", True).csv(path).columns
+    held = spark.read.option("header", True).csv(path)
+    contract.check_structure(held, spec, allow=(key,) if key else (), check_types=False)
+    text = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField(CORRUPT, T.StringType())])
+    raw = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     if key is None:
-        raw0 = spark.read.schema(T.StructType(fields)).option("header", True).option("mode", "PERMISSIVE").csv(path)
-        indexed = raw0.rdd.zipWithIndex().map(lambda t: (str(t[1]),) + tuple(t[0]))
-        raw = spark.createDataFrame(indexed, T.StructType([T.StructField("row_id", T.StringType())] + fields))
-        key = "row_id"
-    else:
-        text = T.StructType([T.StructField(key, T.StringType())] + fields)
-        raw = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    contract.check_structure(spark.read.option("header", True).csv(path), spec, allow=(key,), check_types=False)
+        raw, key = _numbered(raw), "row_id"
     contract.assert_columns_parse(raw, spec)
     types = contract.type_violations(raw, spec, key)
-    typed = raw.select(key, *[F.col(f.name).try_cast(f.dtype).alias(f.name) for f in spec.fields])
-    return typed, types
-
-
-def quarantine_sink(bad: DataFrame, dataset: str, root: str) -> int:
-    """A5: append quarantined rows with a UTC run stamp, partitioned by (dataset, run_date).
-
-    Returns the number of rows written (0 -> nothing is written)."""
-    if bad.isEmpty():
-        return 0
+    parts = [F.when(F.col(CORRUPT).isNotNull(), F.lit(f"row incumple cells({len(names)})"))]
+    for f in spec.fields:
+        c = F.trim(F.col(f.name))
+        if not isinstance(f.dtype, T.StringType):
+            parts.append(F.when(c.isNotNull() & c.try_cast(f.dtype).isNull(), F.concat(F.lit(f"{f.name}='"), F.col(f.name), F.lit(f"' incumple dtype('{f.dtype.simpleString()}')"))))
+    reason = F.nullif(F.concat_ws("; ", *parts), F.lit("")).alias(contract.TYPE_REASON)
+    cells = [(F.col(f.name) if isinstance(f.dtype, T.StringType) else F.trim(F.col(f.name)).try_cast(f.dtype)).alias(f.name) for f in spec.fields]
+    return raw.select(key, *cells, reason), types
+
+
+def _numbered(raw: DataFrame) -> DataFrame:
+    """``row_id``: position in the file, from each partition's row count and the order inside it."""
+    marked = raw.withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    sizes = marked.groupBy(part.alias("_part")).count().collect()  # one row a partition
+    starts, at = [], 0
+    for r in sorted(sizes, key=lambda r: r["_part"]):
+        starts.append((r["_part"], at))
+        at += r["count"]
+    first = raw.sparkSession.createDataFrame(starts, "_part long, _first long")
+    out = marked.withColumn("_part", part.cast("long")).join(F.broadcast(first), "_part")
+    return out.withColumn("row_id", (F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("string")).drop("_id", "_part", "_first")
+
+
+def quarantine_sink(bad: DataFrame, dataset: str, root: str, run_id: str | None = None) -> int:
+    """A5: quarantined rows with a UTC run stamp, partitioned by (dataset, run_date, run_id); rows written.
+
+    One pass: the count is observed while writing. A replay with the same ``run_id`` and date overwrites its own
+    rows, so nothing is doubled; no bad row means no folder for the run."""
     out = bad.withColumn("run_ts", F.current_timestamp()).withColumn("dataset", F.lit(dataset)).withColumn(
         "run_date", F.date_format(F.col("run_ts"), "yyyyMMdd")
-    )
-    out.write.mode("append").partitionBy("dataset", "run_date").parquet(root)
-    return out.count()
+    ).withColumn("run_id", F.lit(run_id or uuid.uuid4().hex))
+    seen = Observation()
+    out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "run_date", "run_id").parquet(root)
+    return int(seen.get["n"])
 
 
 def read_quarantine(spark: SparkSession, root: str, dataset: str) -> DataFrame:
@@ -95,5 +117,7 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     """Read the report mart back; a missing path gives an empty frame."""
     try:
         return spark.read.schema(REPORT_SCHEMA).json(path)
-    except Exception:  # noqa: BLE001 - absent report degrades to empty
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], REPORT_SCHEMA)

@@ -25,15 +25,21 @@ def start_contract_stream(
     out_root: str,
     glob: str = "*.parquet",
     available_now: bool = True,
+    max_files: int | None = None,
 ):
     """Start (and, for available_now, run to completion) the streaming contract query."""
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.parquet(source_dir)
     obs = derive(stream)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read by both writes
         valid, bad = contract.split(batch, spec)
         valid.write.mode("overwrite").parquet(os.path.join(out_root, "valid", f"batch_id={batch_id}"))
         bad.write.mode("overwrite").parquet(os.path.join(out_root, "quarantine", f"batch_id={batch_id}"))
+        batch.unpersist()
 
     writer = obs.writeStream.foreachBatch(write_batch).option("checkpointLocation", os.path.join(out_root, "_checkpoint"))
     q = writer.trigger(availableNow=True).start() if available_now else writer.start()

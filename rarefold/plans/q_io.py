@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rarefold.operators import contract, profile
 from rarefold.plans.common import obs
+from rarefold.plans.oracle_base import OBS, TAGGED, with_
 from rarefold.sources import bindings, io
 from rarefold.spec import OBS as SPEC
 from rarefold.streaming.contract_stream import start_contract_stream
@@ -22,6 +23,30 @@ def q_scan_contract_csv(spark, sf):
     return summary.crossJoin(types.agg(F.count(F.lit(1)).alias("type_violations")))
 
 
+def dirty_text(spark, sf):
+    """The observations as text with bad cells planted by a fixed rule on the row's md5 key."""
+    o = obs(spark, sf).select("row_id", *[F.col(c).cast("string").alias(c) for c in SPEC.columns])
+    for col, at, text in PLANTED:
+        o = o.withColumn(col, F.when(F.substring("row_id", at, 2) == "0a", F.lit(text)).otherwise(F.col(col)))
+    return o
+
+
+#: Column, place of the two hex digits of row_id that must be ``0a``, and the text planted there.
+PLANTED = (("qty", 1, "n/a"), ("price", 3, "12,5"), ("line", 5, "two"))
+
+
+def q_type_violations(spark, sf):
+    """B2: cells of a dirty CSV that aren't of their declared type."""
+    _, types = io.scan_csv(spark, io.write_csv(dirty_text(spark, sf), io.new_path(spark, "dirty-csv")), SPEC)
+    return types
+
+
+def q_scan_contract_dirty(spark, sf):
+    """A1 + B7 on dirty text: rows with a bad cell are quarantined, never passed as nulls."""
+    typed, _ = io.scan_csv(spark, io.write_csv(dirty_text(spark, sf), io.new_path(spark, "dirty-csv")), SPEC)
+    return contract.contract_summary(contract.tag(typed, SPEC))
+
+
 def q_quarantine_sink(spark, sf):
     """A5: quarantined rows appended to the partitioned sink and read back (partition pruned)."""
     _, bad = contract.split(obs(spark, sf), SPEC)
@@ -81,9 +106,20 @@ def q_stream_contract(spark, sf):
 
 QUERIES = {
     "scan_contract_csv": q_scan_contract_csv,
+    "type_violations": q_type_violations,
+    "scan_contract_dirty": q_scan_contract_dirty,
     "quarantine_sink": q_quarantine_sink,
     "report_mart_json": q_report_mart_json,
     "report_readback": q_report_readback,
     "stream_contract": q_stream_contract,
 }
-ORACLE: dict[str, str] = {}
+_BAD = {c: f"substr(row_id, {at}, 2) = '0a'" for c, at, _ in PLANTED}
+ORACLE = {
+    "type_violations": with_(OBS) + " UNION ALL ".join(
+        f"""SELECT row_id, '{c}' AS "column", 'dtype(''{'int' if c == 'line' else 'double'}'')' AS "check", '{text}' AS value FROM obs WHERE {_BAD[c]}"""
+        for c, _, text in PLANTED
+    ),
+    "scan_contract_dirty": with_(OBS, TAGGED)
+    + f"""SELECT count(*) AS n_read, count(*) FILTER (WHERE ok) AS n_valid, count(*) FILTER (WHERE NOT ok) AS n_quarantined
+          FROM (SELECT quarantine_reason IS NULL AND NOT ({" OR ".join(_BAD.values())}) AS ok FROM tagged)""",
+}

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rarefold.functions.cache import keep
-from rarefold.operators import decision, metrics, resample, zoo
+from rarefold.operators import decision, linear, metrics, resample, zoo
 from rarefold.plans.common import rounded, valid
+from rarefold.plans.oracle_base import OBS as OBS_CTE
+from rarefold.plans.oracle_base import TAGGED, VALID, with_
+from rarefold.plans.q_resample import EXP, FE, FOLDS
 from rarefold.spec import OBS as SPEC
 
 K = 5
@@ -80,6 +83,17 @@ def q_oof_predictions(spark, sf):
     )
 
 
+STEPS = 8
+
+
+def q_logistic_newton(spark, sf):
+    """H5 kernel: a fixed number of Newton steps of intercept + one feature for every outer fold."""
+    f = base(spark, sf)
+    outer = F.broadcast(spark.range(K).select(F.col("id").cast("int").alias("outer")))
+    rows = f.base.crossJoin(outer).where("fold <> outer").withColumn("x", F.col("qty") / 50)
+    return rounded(linear.fit_logistic(rows, ["outer"], ["x"], "y", max_iter=STEPS - 1, tol=0.0).select("outer", "b0", "b1"))
+
+
 def q_tree_leaf_table(spark, sf):
     leaves, info = zoo.tree_leaf_table(model_folds(spark, sf), FEATS)
     return leaves.withColumn("root_attr", F.lit(info["root_attr"])).withColumn("depth", F.lit(info["depth"]))
@@ -144,7 +158,26 @@ QUERIES = {
     "tree_rules": q_tree_rules,
     "model_comparison": q_model_comparison,
     "oof_predictions": q_oof_predictions,
+    "logistic_newton": q_logistic_newton,
     "tree_leaf_table": q_tree_leaf_table,
     "cost_variants": q_cost_variants,
 }
-ORACLE: dict[str, str] = {}
+
+
+def _newton_sql() -> str:
+    """The same steps as chained CTEs: each solves its 2x2 system in closed form."""
+    steps = ["t AS MATERIALIZED (SELECT outer_f, y, qty / 50 AS x FROM ex WHERE role = 'train')", "n0 AS (SELECT DISTINCT outer_f, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM t)"]
+    for k in range(STEPS):
+        steps.append(f"""s{k} AS MATERIALIZED (SELECT outer_f, b0, b1, sum(p - y) AS g0, sum((p - y) * x) + b1 AS g1,
+            sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) + 1 AS h11
+            FROM (SELECT t.*, b0, b1, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM t JOIN n{k} USING (outer_f)) GROUP BY outer_f, b0, b1)""")
+        steps.append(f"""n{k + 1} AS (SELECT outer_f, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0,
+            b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b1 FROM s{k})""")
+    return with_(OBS_CTE, TAGGED, VALID, FOLDS, EXP, *steps) + f"SELECT outer_f AS outer, round(b0, 6) AS b0, round(b1, 6) AS b1 FROM n{STEPS}"
+
+
+ORACLE = {
+    "logistic_newton": _newton_sql(),
+    "oof_predictions": FE + """SELECT 'logistic_balanced' AS model, count(*) AS rows_scored, min(times) AS min_times, max(times) AS max_times
+        FROM (SELECT row_id, count(*) AS times FROM ex WHERE role = 'test' GROUP BY row_id)""",
+}

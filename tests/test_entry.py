@@ -9,7 +9,7 @@ def test_entry_runs(spark):
     import __spark_entry__ as E
 
     df = E.entry(spark)
-    assert df.count() >= 0
+    assert df.count() == 5
     assert "auc" in df.columns
 
 
@@ -25,4 +25,5 @@ def test_stream_contract(spark):
     import __spark_entry__ as E
 
     r = E.queries()["stream_contract"](spark, "/root/testdata/sf0.001").first()
-    assert r.n_valid + r.n_quarantined == 6000 or r.n_valid > 0
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert r.n_valid + r.n_quarantined == n and r.n_quarantined > 0

@@ -12,19 +12,23 @@ from rarefold.spec import CostMatrix
 
 def dataset_comparison(scored: DataFrame, costs: CostMatrix = CostMatrix()) -> DataFrame:
     """Per dataset (column ``dataset``): n, positives, prevalence, majority accuracy,
-    cost-optimal decision threshold, recall at it with its Wilson interval, costs and saving."""
-    opt = decision.optimal_threshold(scored, ["dataset"], costs).select("dataset", F.col("optimal_threshold").alias("threshold"))
-    j = scored.join(F.broadcast(opt), "dataset")
-    d = (F.col("score") >= F.col("threshold")).cast("int")
+    cost-optimal decision threshold, recall at it with its Wilson interval, costs and saving.
+
+    ``half`` (0 / 1) splits each dataset: a half is decided with the threshold chosen on the other one, so no
+    row is scored with a threshold it helped to choose. ``threshold`` is the median of the two."""
+    train = scored.select("dataset", (1 - F.col("half")).alias("half"), "y", "score")
+    opt = decision.optimal_threshold(train, ["dataset", "half"], costs).select("dataset", "half", F.col("optimal_threshold").alias("t"))
+    j = scored.join(F.broadcast(opt), ["dataset", "half"])
+    d = (F.col("score") >= F.col("t")).cast("int")
     d5 = (F.col("score") >= 0.5).cast("int")
-    agg = j.groupBy("dataset", "threshold").agg(
+    agg = j.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("y").cast("long").alias("n_pos"),
         F.count_if((F.col("y") == 1) & (d == 1)).alias("tp"),
         F.count_if((F.col("y") == 0) & (d == 1)).alias("fp"),
         F.count_if((F.col("y") == 1) & (d5 == 1)).alias("tp_05"),
         F.count_if((F.col("y") == 0) & (d5 == 1)).alias("fp_05"),
-    )
+    ).join(F.broadcast(opt.groupBy("dataset").agg(F.avg("t").alias("threshold"))), "dataset")
     fn = F.col("n_pos") - F.col("tp")
     fn5 = F.col("n_pos") - F.col("tp_05")
     tn = F.col("n") - F.col("n_pos") - F.col("fp")

@@ -84,9 +84,11 @@ def q_learning_curve_norm(spark, sf):
 
 
 def _two_datasets(spark, sf):
-    li = bindings.scored(valid(spark, sf)).select(F.lit("lineitem").alias("dataset"), "y", "score")
+    half = (F.ascii(F.substring(F.md5("row_id"), 1, 1)) % 2).alias("half")
+    li = bindings.scored(valid(spark, sf)).select(F.lit("lineitem").alias("dataset"), half, "y", "score")
     ev = bindings.event_observations(spark, sf).select(
         F.lit("events").alias("dataset"),
+        half,
         (F.col("failure") == "yes").cast("int").alias("y"),
         F.round(1 / (1 + F.exp(-(F.lit(-1.5) + 0.01 * F.col("value")))), 4).alias("score"),
     )
@@ -152,8 +154,9 @@ TOP3 = "SELECT row_id, attr, round(phi, 6) AS phi, CAST(rank AS INTEGER) AS rank
 SEG = "seg AS (SELECT line, count(*) AS n, CAST(sum(CASE WHEN failure = 'yes' THEN 1 ELSE 0 END) AS BIGINT) AS n_pos FROM valid GROUP BY line)"
 SCN = "(VALUES (0.8::DOUBLE, 0.1::DOUBLE), (0.8::DOUBLE, 0.05::DOUBLE)) sc(target_recall, margin)"
 RP = f"rp AS (SELECT line, n, n_pos, n_pos / n AS prevalence, target_recall, margin, CAST(ceil(1.959963984540054 * 1.959963984540054 * target_recall * (1 - target_recall) / (margin * margin)) AS BIGINT) AS positives_needed FROM seg, {SCN})"
-EV = """ev AS (SELECT CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y, round(1 / (1 + exp(-(-1.5 + 0.01 * value))), 4) AS score FROM events)"""
-SC2 = "sc2 AS (SELECT 'lineitem' AS dataset, CASE WHEN failure = 'yes' THEN 1 ELSE 0 END AS y, round(1 / (1 + exp(-(-5.5 + 0.08 * qty + 25 * disc))), 4) AS score FROM valid UNION ALL SELECT 'events', y, score FROM ev)"
+_HALF = "ascii(substr(md5(row_id), 1, 1)) % 2 AS half"
+EV = """ev AS (SELECT CAST(event_id AS VARCHAR) AS row_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y, round(1 / (1 + exp(-(-1.5 + 0.01 * value))), 4) AS score FROM events)"""
+SC2 = f"sc2 AS (SELECT 'lineitem' AS dataset, {_HALF}, CASE WHEN failure = 'yes' THEN 1 ELSE 0 END AS y, round(1 / (1 + exp(-(-5.5 + 0.08 * qty + 25 * disc))), 4) AS score FROM valid UNION ALL SELECT 'events', {_HALF}, y, score FROM ev), trn AS (SELECT dataset || (1 - half) AS dh, y, score FROM sc2)"
 
 ORACLE = {
     "report_completeness": """SELECT e.dataset, e.section, CAST(coalesce(m.n_rows, 0) AS BIGINT) AS n_rows, m.n_rows IS NOT NULL AS present
@@ -174,12 +177,12 @@ ORACLE = {
                  round(CASE WHEN nn > 0 THEN (p + z * z / (2 * nn)) / (1 + z * z / nn) - z * sqrt(p * (1 - p) / nn + z * z / (4 * nn * nn)) / (1 + z * z / nn) END, 6) AS ci_low,
                  round(CASE WHEN nn > 0 THEN (p + z * z / (2 * nn)) / (1 + z * z / nn) + z * sqrt(p * (1 - p) / nn + z * z / (4 * nn * nn)) / (1 + z * z / nn) END, 6) AS ci_high
           FROM (SELECT *, round_even(0.8 * n_pos, 0) AS k, CAST(n_pos AS DOUBLE) AS nn, round_even(0.8 * n_pos, 0) / n_pos AS p, 1.959963984540054 AS z FROM seg)""",
-    "dataset_comparison": with_(OBS, TAGGED, VALID, EV, SC2) + ", " + _curve("sc2", g="dataset") + ", " + OPT.format(g="dataset", src="curve")
+    "dataset_comparison": with_(OBS, TAGGED, VALID, EV, SC2) + ", " + _curve("trn", g="dh") + ", " + OPT.format(g="dh", src="curve")
     + f""", ag AS (
-      SELECT s.dataset, optimal_threshold AS threshold, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos,
+      SELECT s.dataset, (SELECT avg(optimal_threshold) FROM opt WHERE dh IN (s.dataset || 0, s.dataset || 1)) AS threshold, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos,
              count(*) FILTER (WHERE y = 1 AND score >= optimal_threshold) AS tp, count(*) FILTER (WHERE y = 0 AND score >= optimal_threshold) AS fp,
              count(*) FILTER (WHERE y = 1 AND score >= 0.5) AS tp_05, count(*) FILTER (WHERE y = 0 AND score >= 0.5) AS fp_05
-      FROM sc2 s JOIN opt o ON s.dataset = o.dataset GROUP BY s.dataset, optimal_threshold),
+      FROM sc2 s JOIN opt o ON s.dataset || s.half = o.dh GROUP BY s.dataset),
     cc2 AS (SELECT *, CAST(fp * 500000.0 + (n_pos - tp) * 10000000.0 + tp * 1500000.0 AS DOUBLE) AS ct,
                       CAST(fp_05 * 500000.0 + (n_pos - tp_05) * 10000000.0 + tp_05 * 1500000.0 AS DOUBLE) AS c5,
                       CAST(n_pos AS DOUBLE) AS nn, tp / n_pos AS p, 1.959963984540054 AS z FROM ag)

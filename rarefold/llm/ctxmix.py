@@ -31,7 +31,7 @@ HEAD, TABLE_BITS, CHUNK = 1 << 16, 20, 1 << 10
 FREQUENT = 255
 MIX_DOCS, MIX_CHARS, MIX_ROUNDS, MIX_RATE = 600, 20_000, 2, 0.02
 #: Tokens whose bits are held at once.
-TOKENS = 40_000
+TOKENS = 20_000
 TABLES, INPUTS, GATES, MAP_BINS, DEPTHS = 4, 7, 16, 33, 8
 SOFT = 0.4
 END = np.uint64(0x5DEECE66D1234567)
@@ -150,33 +150,51 @@ def read(texts: list[bytes], code: Code) -> Stream:
     return Stream(doc, tok, symbol, context, match, run)
 
 
-def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return ((context + node.astype(np.uint64) * _B) * _A >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def slots(context: np.ndarray, salted: np.ndarray) -> np.ndarray:
+    """Slots of bits from their context's hash and ``salted``, their node times _B."""
+    return ((context + salted) * _A >> np.uint64(64 - TABLE_BITS)).view(np.int64)
 
 
-def bits(s: Stream, code: Code, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token, depth, node and bit of every coded bit of tokens lo to hi."""
+@dataclass
+class Bits:
+    """Every coded bit of some neighbouring tokens: which token, its depth, node and value, and its slot in every table."""
+
+    tok: np.ndarray
+    depth: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
+    slot: list[np.ndarray]
+
+
+def bits(s: Stream, code: Code, lo: int, hi: int) -> Bits:
     n = code.length[s.symbol[lo:hi]]
+    start = np.cumsum(n) - n
     tok = np.repeat(np.arange(lo, hi), n)
-    depth = np.arange(len(tok)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-    at = np.repeat(code.offset[s.symbol[lo:hi]], n) + depth
-    return tok, depth, code.node[at], code.bit[at]
+    depth = np.arange(len(tok)) - np.repeat(start, n)
+    at = np.repeat(code.offset[s.symbol[lo:hi]] - start, n) + np.arange(len(tok))
+    node = code.node[at]
+    salted = node.astype(np.uint64) * _B
+    return Bits(tok, depth, node, code.bit[at], [slots(np.repeat(s.context[k, lo:hi], n), salted) for k in range(TABLES)])
 
 
-def inputs(s: Stream, code: Code, tok: np.ndarray, depth: np.ndarray, node: np.ndarray, odds: np.ndarray, sure: np.ndarray, where: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The mixer's inputs of every bit, and its gate. ``odds``, ``sure``: log-odds and confidence at ``where``."""
-    x = np.empty((INPUTS, len(tok)), np.float32)
-    x[0] = code.order0[node]
+def inputs(s: Stream, code: Code, e: Bits, odds: list[np.ndarray], sure: np.ndarray, where: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The mixer's inputs of every bit, and its gate. ``odds``: log-odds at ``where``; ``sure``: confidence of the third table's."""
+    x = np.zeros((INPUTS, len(e.tok)), np.float32)
+    np.take(code.order0, e.node, out=x[0])
     for k in range(TABLES):
-        x[1 + k] = odds[k][where[k]]
-    guess = s.match[tok]
-    gs = s.symbol[guess]
-    at = np.minimum(code.offset[gs] + depth, len(code.node) - 1)
-    agree = (guess >= 0) & (depth < code.length[gs]) & (code.node[at] == node)
-    run = np.where(agree, s.run[tok], 0)
-    x[5] = np.where(agree, 2.0 * code.bit[at] - 1, 0)
+        np.take(odds[k], where[k], out=x[1 + k])
     x[6] = 0.3
-    return x, run * 4 + sure[2][where[2]]
+    gate = sure[where[2]].astype(np.int64)
+    some = np.flatnonzero((s.match >= 0)[e.tok])
+    if len(some):  # bits of tokens with a match whose path has followed the guess so far
+        tok, depth = e.tok[some], e.depth[some]
+        guess = s.symbol[s.match[tok]]
+        at = np.minimum(code.offset[guess] + depth, len(code.node) - 1)
+        agree = (depth < code.length[guess]) & (code.node[at] == e.node[some])
+        some, at = some[agree], at[agree]
+        x[5, some] = 2.0 * code.bit[at] - 1
+        gate[some] += 4 * s.run[tok[agree]]
+    return x, gate
 
 
 @dataclass
@@ -229,16 +247,15 @@ def score_texts(texts: list[bytes], model: Model) -> tuple[np.ndarray, Stream, n
     total += np.bincount(s.doc, np.where(told, np.log(p), np.where(asked, np.log1p(-p), 0)), len(texts))
     for lo in range(0, len(s.hash), TOKENS):
         hi = min(lo + TOKENS, len(s.hash))
-        tok, depth, node, bit = bits(s, code, lo, hi)
-        if not len(tok):
+        e = bits(s, code, lo, hi)
+        if not len(e.tok):
             continue
-        where = [slots(s.context[k][tok], node) for k in range(TABLES)]
-        x, gate = inputs(s, code, tok, depth, node, model.odds, model.sure, where)
-        z = np.zeros(len(tok), np.float32)
+        x, gate = inputs(s, code, e, model.odds, model.sure[2], e.slot)
+        z = np.zeros(len(e.tok), np.float32)
         for i in range(INPUTS):
-            z += model.weights[i][gate] * x[i]
-        q = _refine(z, depth, model.map)
-        total += np.bincount(s.doc[tok], np.log(np.where(bit, q, 1 - q)), len(texts))
+            z += np.take(model.weights[i], gate) * x[i]
+        q = _refine(z, e.depth, model.map)
+        total += np.bincount(s.doc[e.tok], np.log(np.where(e.bit, q, 1 - q)), len(texts))
     return total, s, told
 
 
@@ -258,19 +275,19 @@ def fit_mixer(texts: list[bytes], code: Code, n0: np.ndarray, n1: np.ndarray) ->
                 told = asked & (s.hash[guess] == s.hash)
                 tries += np.bincount(s.run[asked], minlength=4)
                 hits += np.bincount(s.run[told], minlength=4)
-            tok, depth, node, bit = bits(s, code, 0, len(s.hash))
-            if not len(tok):
+            e = bits(s, code, 0, len(s.hash))
+            bit, depth = e.bit, e.depth
+            if not len(bit):
                 continue
             odds, sure, where = [], [], []
             for k in range(TABLES):
-                slot = slots(s.context[k][tok], node)
-                seen, place = np.unique(slot, return_inverse=True)
+                seen, place = np.unique(e.slot[k], return_inverse=True)
                 own1 = np.bincount(place, bit, len(seen))
                 own0 = np.bincount(place, minlength=len(seen)) - own1
                 o, c = _strengths(np.maximum(n0[k][seen] - own0, 0), np.maximum(n1[k][seen] - own1, 0))
                 odds.append(o), sure.append(c), where.append(place)
-            x, gate = inputs(s, code, tok, depth, node, odds, sure, where)
-            for b in range(0, len(tok), 512):
+            x, gate = inputs(s, code, e, odds, sure[2], where)
+            for b in range(0, len(bit), 512):
                 part = slice(b, b + 512)
                 g, xs = gate[part], x[:, part]
                 z = (w[:, g] * xs).sum(0)
@@ -332,9 +349,9 @@ def count_contexts(docs: DataFrame, code: Code) -> tuple[np.ndarray, np.ndarray]
             for a, b in blocks(texts, 1 << 20):
                 s = read(texts[a:b], code)
                 for lo in range(0, len(s.hash), TOKENS):
-                    tok, _, node, bit = bits(s, code, lo, min(lo + TOKENS, len(s.hash)))
+                    e = bits(s, code, lo, min(lo + TOKENS, len(s.hash)))
                     for k in range(TABLES):
-                        np.add.at(seen[k], 2 * slots(s.context[k][tok], node) + bit, np.int32(1))
+                        np.add.at(seen[k], 2 * e.slot[k] + e.bit, np.int32(1))
         rows = seen.reshape(-1, 2 * CHUNK)
         full = np.flatnonzero(rows.any(axis=1))
         for lo in range(0, len(full), 512):

@@ -64,9 +64,8 @@ def test_bits_of_all_symbols_are_a_distribution():
     total = 0.0
     for symbol in range(len(code.counts)):
         s.symbol[at] = symbol
-        tok, depth, node, bit = ctxmix.bits(s, code, at, at + 1)
-        where = [ctxmix.slots(s.context[k][tok], node) for k in range(ctxmix.TABLES)]
-        x, gate = ctxmix.inputs(s, code, tok, depth, node, model.odds, model.sure, where)
-        q = ctxmix._refine((model.weights[:, gate] * x).sum(0), depth, model.map)
-        total += float(np.prod(np.where(bit, q, 1 - q)))
+        e = ctxmix.bits(s, code, at, at + 1)
+        x, gate = ctxmix.inputs(s, code, e, model.odds, model.sure[2], e.slot)
+        q = ctxmix._refine((model.weights[:, gate] * x).sum(0), e.depth, model.map)
+        total += float(np.prod(np.where(e.bit, q, 1 - q)))
     assert abs(total - 1) < 1e-5

@@ -23,7 +23,7 @@ T_STAR = COSTS.theoretical_threshold()
 
 
 def base_folds(spark, sf):
-    v = valid(spark, sf)
+    v = valid(spark, sf).select("row_id", "failure", "line", "qty", "disc")  # what the kernel stores
     f = resample.stratified_folds(v, "failure", k=K, seed=42)
     y = (F.col("failure") == "yes").cast("int")
     f = f.select(
@@ -37,23 +37,22 @@ def base_folds(spark, sf):
     return f.join(F.broadcast(prev), ["rep", "fold"])
 
 
-def scored_models(spark, sf):
-    """(model, rep, fold, row_id, line, y, score, pred) for the four fixed models, out of fold."""
-    b = base_folds(spark, sf)
-    cols = ["rep", "fold", "row_id", "line", "y"]
+def scored_models(spark, sf, models=None):
+    """(model, rep, fold, row_id, line, y, score, pred) for the four fixed models (or the named ones), out of fold.
+
+    One pass over the folded rows: the models are an array of each row, not branches of a union."""
     maj = (F.col("train_prev") > 0.5).cast("int")
     u = md5_uniform(F.lit("42"), F.lit("strat"), F.col("rep").cast("string"), F.col("fold").cast("string"), F.col("row_id"))
     strat = (u < F.col("train_prev")).cast("int")
-    parts = [
-        b.select(F.lit("fixed_logit").alias("model"), *cols, F.col("s_logit").alias("score"), (F.col("s_logit") > 0.5).cast("int").alias("pred")),
-        b.select(F.lit("fixed_disc").alias("model"), *cols, F.col("s_disc").alias("score"), (F.col("s_disc") > 0.5).cast("int").alias("pred")),
-        b.select(F.lit("dummy_majority").alias("model"), *cols, maj.cast("double").alias("score"), maj.alias("pred")),
-        b.select(F.lit("dummy_stratified").alias("model"), *cols, strat.cast("double").alias("score"), strat.alias("pred")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return keep(out)
+    made = {
+        "fixed_logit": (F.col("s_logit"), (F.col("s_logit") > 0.5).cast("int")),
+        "fixed_disc": (F.col("s_disc"), (F.col("s_disc") > 0.5).cast("int")),
+        "dummy_majority": (maj.cast("double"), maj),
+        "dummy_stratified": (strat.cast("double"), strat),
+    }
+    each = [F.struct(F.lit(m).alias("model"), made[m][0].alias("score"), made[m][1].alias("pred")) for m in models or made]
+    out = base_folds(spark, sf).select("rep", "fold", "row_id", "line", "y", F.explode(F.array(*each)).alias("m"))
+    return keep(out.select("m.model", "rep", "fold", "row_id", "line", "y", "m.score", "m.pred"))
 
 
 def _fm(spark, sf):
@@ -66,12 +65,12 @@ def _summary(spark, sf):
 
 
 def q_dummy_majority(spark, sf):
-    s = scored_models(spark, sf).filter(F.col("model") == "dummy_majority")
+    s = scored_models(spark, sf, ("dummy_majority",))
     return rounded(metrics.fold_metrics(s, ["model", "rep", "fold"]))
 
 
 def q_dummy_stratified(spark, sf):
-    s = scored_models(spark, sf).filter(F.col("model") == "dummy_stratified")
+    s = scored_models(spark, sf, ("dummy_stratified",))
     return rounded(metrics.fold_metrics(s, ["model", "rep", "fold"]))
 
 
@@ -96,12 +95,12 @@ def q_average_precision(spark, sf):
 
 
 def q_pr_curve(spark, sf):
-    c = metrics.curves(scored_models(spark, sf).filter(F.col("model").isin("fixed_logit", "fixed_disc")), ["model"])
+    c = metrics.curves(scored_models(spark, sf, ("fixed_logit", "fixed_disc")), ["model"])
     return rounded(c.select("model", "threshold", "precision", "recall", "chance"))
 
 
 def q_roc_curve(spark, sf):
-    c = metrics.curves(scored_models(spark, sf).filter(F.col("model").isin("fixed_logit", "fixed_disc")), ["model"])
+    c = metrics.curves(scored_models(spark, sf, ("fixed_logit", "fixed_disc")), ["model"])
     return rounded(c.select("model", "threshold", "fpr", "tpr"))
 
 
@@ -154,7 +153,7 @@ def q_expected_cost(spark, sf):
 
 
 def q_cost_curve(spark, sf):
-    s = scored_models(spark, sf).filter(F.col("model") == "fixed_logit")
+    s = scored_models(spark, sf, ("fixed_logit",))
     return rounded(decision.cost_curve(s, ["model"]))
 
 
@@ -163,7 +162,7 @@ def q_optimal_threshold(spark, sf):
 
 
 def q_theoretical_threshold(spark, sf):
-    s = scored_models(spark, sf).filter(F.col("model") == "fixed_logit")
+    s = scored_models(spark, sf, ("fixed_logit",))
     ct = spark.createDataFrame(
         [(line, COSTS.tn, COSTS.fp, 20_000_000.0 if line == 7 else COSTS.fn, COSTS.tp) for line in range(1, 8)],
         "line int, c_tn double, c_fp double, c_fn double, c_tp double",
@@ -172,7 +171,7 @@ def q_theoretical_threshold(spark, sf):
 
 
 def q_cost_scenarios(spark, sf):
-    s = scored_models(spark, sf).filter(F.col("model") == "fixed_logit")
+    s = scored_models(spark, sf, ("fixed_logit",))
     sc = spark.createDataFrame(
         [(f"fn_{int(c / 1e6)}M", COSTS.tn, COSTS.fp, c, COSTS.tp) for c in (2e6, 5e6, 10e6, 20e6, 50e6)],
         "scenario string, c_tn double, c_fp double, c_fn double, c_tp double",
@@ -181,12 +180,12 @@ def q_cost_scenarios(spark, sf):
 
 
 def q_cost_at_threshold(spark, sf):
-    s = scored_models(spark, sf).filter(F.col("model") == "fixed_logit")
+    s = scored_models(spark, sf, ("fixed_logit",))
     return rounded(decision.cost_at_threshold(decision.cost_curve(s, ["model"]), ["model"], T_STAR))
 
 
 def q_cost_variant_summary(spark, sf):
-    s = scored_models(spark, sf).filter(F.col("model").isin("fixed_logit", "fixed_disc"))
+    s = scored_models(spark, sf, ("fixed_logit", "fixed_disc"))
     ex = resample.fold_expansion(s, K)
     train = ex.filter(F.col("role") == "train")
     test = ex.filter(F.col("role") == "test")

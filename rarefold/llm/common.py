@@ -32,7 +32,9 @@ _powers: dict[str, np.ndarray] = {}
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers (as ``--py-files`` does) unless their path has it already."""
     root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
-    seen = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    seen = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if sc.master == "local" or sc.master.startswith("local["):
+        seen.append(os.getcwd())  # workers start in the driver's folder
     if getattr(sc, "_rarefold_sent", False) or any(x and Path(x).resolve() == root for x in seen):
         return
     made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "rarefold"), "zip", root, "rarefold")

@@ -96,10 +96,10 @@ def poisson1_draw(u: Column) -> Column:
     return expr
 
 
-def _boot_draws(df: DataFrame, label: str, n_boot: int, seed: int, key: str) -> DataFrame:
-    """(key, label, b, w): the uniform is its own projection so the CASE ladder reads a column
+def _boot_draws(df: DataFrame, label: str, n_boot: int, seed: int, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, label, carried columns, b, w): the uniform is its own projection so the CASE ladder reads a column
     instead of re-evaluating md5 in every branch."""
-    x = spread(df.select(key, label), key).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    x = spread(df.select(key, label, *carry), key).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     x = x.withColumn("_u", md5_uniform(F.lit(str(seed)), F.lit("boot"), F.col("b").cast("string"), F.col(key)))
     return x.withColumn("w", poisson1_draw(F.col("_u"))).drop("_u")
 

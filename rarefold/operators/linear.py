@@ -26,6 +26,13 @@ def sigmoid(c: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(c, F.lit(MARGIN)), F.lit(-MARGIN))))
 
 
+def once(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """``keep`` and the ``made`` columns, each computed once: the generator keeps the optimizer from copying their
+    expressions into every aggregate that reads them."""
+    row = F.struct(*keep, *[c.alias(n) for n, c in made.items()])
+    return df.select(F.explode(F.array(row)).alias("_row")).select("_row.*")
+
+
 def fit_logistic(
     train: DataFrame,
     key: list[str],
@@ -45,17 +52,19 @@ def fit_logistic(
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     cval = F.col(C).cast("double") if isinstance(C, str) else F.lit(float(C))
     base = train.select(*key, *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(feats)], F.col(label).cast("double").alias("_y"), w.alias("_w"), cval.alias("_C"))
+    base = once(base, base.columns)
     kinds = {f.name: f.dataType for f in base.schema.fields}
     schema = T.StructType([T.StructField(k, kinds[k]) for k in key] + [T.StructField(f"b{j}", T.DoubleType()) for j in range(d + 1)])
     xs = [F.lit(1.0)] + [F.col(f"x{i}") for i in range(d)]
 
     def sums(rows: DataFrame, eta: Column) -> list:
-        rows = rows.withColumn("_e", F.greatest(F.least(eta, F.lit(MARGIN)), F.lit(-MARGIN)))
+        held = [*key, *[f"x{i}" for i in range(d)], "_y", "_w", "_C"]
+        rows = once(rows, held, _e=F.greatest(F.least(eta, F.lit(MARGIN)), F.lit(-MARGIN)))
         p = 1 / (1 + F.exp(-F.col("_e")))
         s, r = F.col("_w") * p * (1 - p), F.col("_w") * (p - F.col("_y"))
         loss = F.col("_w") * (F.log1p(F.exp(-F.abs(F.col("_e")))) + F.greatest(F.col("_e"), F.lit(0.0)) - F.col("_y") * F.col("_e"))
-        rows = rows.withColumn("_s", s).withColumn("_r", r)
-        aggs = [F.sum(loss).alias("loss"), F.max("_C").alias("C")] + [F.sum(F.col("_r") * xs[a]).alias(f"g{a}") for a in range(d + 1)]
+        rows = once(rows, held, _s=s, _r=r, _l=loss)
+        aggs = [F.sum("_l").alias("loss"), F.max("_C").alias("C")] + [F.sum(F.col("_r") * xs[a]).alias(f"g{a}") for a in range(d + 1)]
         aggs += [F.sum(F.col("_s") * xs[a] * xs[b]).alias(f"h{a}_{b}") for a in range(d + 1) for b in range(a, d + 1)]
         return rows.groupBy(*key).agg(*aggs).collect()
 

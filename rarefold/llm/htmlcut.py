@@ -33,6 +33,15 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Elements whose end tag may be left out: a start tag (key) ends the nearest open element of the first set that has one, inside the bounds.
+ENDS = {
+    "li": ["li"], "dt": ["dt dd"], "dd": ["dt dd"], "td": ["td th"], "th": ["td th"], "tr": ["tr", "td th caption colgroup"],
+    **dict.fromkeys(("tbody", "thead", "tfoot"), ["tbody thead tfoot", "tr", "td th caption colgroup"]),
+    "option": ["option"], "optgroup": ["optgroup", "option"], "button": ["button"], "rt": ["rt rp"], "rp": ["rt rp"],
+}
+ENDS = {k: [frozenset(x.split()) for x in v] for k, v in ENDS.items()}
+BOUNDS = {"li": frozenset("ul ol menu table".split()), "dt": frozenset(("dl", "table")), "dd": frozenset(("dl", "table"))}
+IN_HEAD = frozenset("base link meta title noscript noframes style script template head html".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -48,7 +57,9 @@ CONTENT_WORDS = frozenset("article articlebody content entry main maincontent po
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+_VEILED = re.compile(r"hidden|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/][^\s=>/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -72,10 +83,12 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
     """Containers and text blocks of a page in order; broken markup is read as far as it goes."""
     nodes, blocks, path = [Node(-1, "", frozenset())], [], [0]
     words: list[str] = []
-    state = {"link": 0, "linked": 0, "skip": None, "depth": 0}
+    state = {"link": 0, "linked": 0, "veil": 0}  # veil: place in the path of the outermost element that is not shown
 
     def say(raw: str) -> None:
-        if raw and state["skip"] is None:
+        if state["veil"] and nodes[path[-1]].tag == "head" and raw.strip():
+            cut(len(path) - 1)  # text ends the head
+        if raw and not state["veil"]:
             text = html.unescape(raw) if "&" in raw else raw
             words.append(text)
             if state["link"]:
@@ -85,9 +98,34 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         text = " ".join("".join(words).split())
         words.clear()
         if text:
-            blocks.append(Block(path[-1], text, state["linked"]))
+            blocks.append(Block(path[state["veil"] - 1], text, state["linked"]))
         state["linked"] = 0
 
+    def cut(k: int) -> None:
+        del path[k:]
+        if k <= state["veil"]:
+            state["veil"] = 0
+
+    def implied(tag: str) -> int:
+        """Where a start tag ends open elements that have no end tag, or 0."""
+        tags = [nodes[k].tag for k in path]
+        if "head" in tags and tag not in IN_HEAD:
+            return tags.index("head")
+        if "select" in tags and (tag in CLOSES_P and tag != "hr" or tag in ("input", "textarea")):
+            return tags.index("select")
+        if tag in CLOSES_P:
+            k = len(path) - 1
+            while k and tags[k] in INLINE:
+                k -= 1
+            return k if tags[k] == "p" else 0
+        for ended in ENDS.get(tag, ()):
+            for k in range(len(path) - 1, 0, -1):
+                if tags[k] in ended:
+                    return k
+                if tags[k] in BOUNDS.get(tag, ("table",)):
+                    break
+        return 0
+
     at, n = 0, len(page)
     while at < n:
         m = _MARKUP.search(page, at)
@@ -101,21 +139,37 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         if at == n and not page.endswith(">") and (loose := _LOOSE.match(page, m.start())):  # a quote that never ends
             m, at = loose, loose.end()
         end, tag, rest = m.group(1) == "/", m.group(2).lower(), m.group(3)
-        if state["skip"] is not None:
-            if tag == state["skip"]:
-                state["depth"] += -1 if end else (0 if rest.endswith("/") else 1)
-                if state["depth"] == 0:
-                    state["skip"] = None
+        if not end and (state["veil"] or tag not in INLINE) and (k := implied(tag)):
+            if k < state["veil"] or not state["veil"]:
+                flush()
+                state["link"] = 0
+            cut(k)
+        if not end and tag in RAW:  # its content is no markup
+            if not state["veil"] and tag not in INLINE:
+                flush()
+            if not rest.endswith("/"):
+                close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = close.end() if close else n
             continue
-        if tag in SKIPPED or (not end and tag not in VOID and _HIDDEN.search(rest)):
+        if state["veil"]:
+            if end:
+                k = next((k for k in range(len(path) - 1, 0, -1) if nodes[path[k]].tag == tag), 0)
+                if k and k < state["veil"]:
+                    flush()
+                    state["link"] = 0
+                if k:
+                    cut(k)
+            elif tag not in VOID and not rest.endswith("/"):
+                nodes.append(Node(path[-1], tag, frozenset()))
+                path.append(len(nodes) - 1)
+            continue
+        if tag in SKIPPED or (not end and tag not in VOID and hidden(tag, rest)):
             if not end and tag not in VOID and not rest.endswith("/"):
                 if tag not in INLINE:
                     flush()
-                if tag in RAW:  # its content is no markup
-                    close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                    at = close.end() if close else n
-                else:
-                    state["skip"], state["depth"] = tag, 1
+                nodes.append(Node(path[-1], tag, frozenset()))
+                path.append(len(nodes) - 1)
+                state["veil"] = len(path) - 1
             continue
         if tag == "a":
             state["link"] = 0 if end else 1
@@ -131,10 +185,6 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
                     del path[k:]
                     break
             continue
-        if tag in CLOSES_P and nodes[path[-1]].tag == "p":
-            path.pop()
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and nodes[path[-1]].tag == tag:
-            path.pop()
         if tag in VOID or rest.endswith("/"):
             continue
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)) if "=" in rest else ""
@@ -144,6 +194,17 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
     return nodes, blocks
 
 
+def hidden(tag: str, rest: str) -> bool:
+    """Whether a start tag's own hidden attribute or style says that it is not shown; whole pages are shown by scripts."""
+    if tag in ("html", "body") or not _VEILED.search(rest):
+        return False
+    for m in _ATTRIBUTE.finditer(rest):
+        name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
+        if name == "hidden" and value.lower() != "false" or name == "style" and _UNSEEN.search(value):
+            return True
+    return False
+
+
 def structure(nodes: list[Node], blocks: list[Block]) -> list[float]:
     """What the DOM says of each container: below 0 boilerplate, above 0 content, 0 nothing."""
     for b in blocks:

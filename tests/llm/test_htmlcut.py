@@ -53,3 +53,29 @@ def test_given_pages_and_awkward_rows(spark):
     assert rows[1, None].text == "" and rows[None, "u"].n_chars == 0
     assert sum(r.n_chars for r in htmlcut.extract(odd, htmlcut.PRIOR).collect()) >= 999999
     assert htmlcut.extract(odd.limit(0), htmlcut.train(odd.limit(0))).count() == 0
+
+
+def shown(page):
+    return [b.text for b in htmlcut.parse(page)[1]]
+
+
+def test_hidden_is_an_attribute_not_a_word():
+    for start in ('a href="/hidden-gems"', 'span title="the hidden cost"', 'article id="hidden-valley"', 'div class="overflow-hidden"', 'div class="hidden md:block"', "div data-x='display:none'", 'div hidden=false'):
+        tag = start.split()[0]
+        assert shown(f"<div><{start}>kept text</{tag}></div>") == ["kept text"], start
+    for start in ("div hidden", 'div class=x hidden=""', 'div style="color:red; display : none"', "span style=visibility:hidden", "div HIDDEN"):
+        tag = start.split()[0]
+        assert shown(f"<div>a <{start}>gone<{tag}>gone</{tag}>gone</{tag}> b</div>") in (["a", "b"], ["a b"]), start
+
+
+def test_left_out_end_tags_end_what_is_not_shown():
+    assert shown("<html><head><title>T</title><meta charset=x><body><p>One<p>Two") == ["One", "Two"]
+    assert shown("<head><title>T</title><h1>One</h1>two") == ["One", "two"]
+    assert shown("<head><title>T</title>bare text") == ["bare text"]
+    assert shown("<div><p hidden>gone <b>gone<p>One</div><p>Two") == ["One", "Two"]
+    assert shown("<ul><li>One<li style=display:none>gone<p>gone<li>Two</ul>Three") == ["One", "Two", "Three"]
+    assert shown("<table><tr><td hidden>gone<td>One<tr hidden><td>gone<tr><td>Two</table>Three") == ["One", "Two", "Three"]
+    assert shown("<dl><dt>a<dd hidden>gone<dt>b</dl>") == ["a", "b"]
+    assert shown("<p>One <span hidden>gone</p><p>Two") == ["One", "Two"]
+    assert shown("<div><select><option>gone<option>gone<p>One</div>Two") == ["One", "Two"]
+    assert shown("<div hidden><script>'</div>'</script>gone</div>One") == ["One"]

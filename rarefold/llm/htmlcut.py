@@ -24,6 +24,8 @@ TRAIN_PAGES = 1000
 #: Capacity of an edge between neighbours with the same parent, the same grandparent, others; to the container's last block.
 SAME, NEAR, FAR, WITHIN = 0.7, 0.3, 0.1, 0.3
 TAG_CUE, WORD_CUE, CONTENT_CUE, TEXT_CLIP = -6.0, -5.0, 3.0, 3.0
+#: A form may wrap prose: below what text alone can outweigh.
+FORM_CUE = -1.0
 
 # Element names of HTML and words usual in class, id and role names.
 SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas audio video select option textarea button head title datalist map".split())
@@ -43,6 +45,7 @@ ENDS = {k: [frozenset(x.split()) for x in v] for k, v in ENDS.items()}
 BOUNDS = {"li": frozenset("ul ol menu table".split()), "dt": frozenset(("dl", "table")), "dd": frozenset(("dl", "table"))}
 IN_HEAD = frozenset("base link meta title noscript noframes style script template head html".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+FORM_TAGS = frozenset("form fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_WORDS = frozenset(
@@ -70,6 +73,8 @@ class Node:
     words: frozenset[str]
     chars: int = 0
     holds_content: bool = False
+    plain: int = 0  # characters outside links
+    inside: int = 0  # article and main elements in it, comments apart
 
 
 @dataclass(slots=True)
@@ -209,19 +214,33 @@ def structure(nodes: list[Node], blocks: list[Block]) -> list[float]:
     """What the DOM says of each container: below 0 boilerplate, above 0 content, 0 nothing."""
     for b in blocks:
         nodes[b.node].chars += len(b.text)
+        nodes[b.node].plain += max(0, len(b.text) - b.linked)
     for k in range(len(nodes) - 1, 0, -1):
-        nodes[nodes[k].parent].chars += nodes[k].chars
+        up = nodes[nodes[k].parent]
+        up.chars += nodes[k].chars
+        up.plain += nodes[k].plain
+        up.inside += nodes[k].inside + (nodes[k].tag in CONTENT_TAGS and not nodes[k].words & COMMENT_WORDS and nodes[k].chars > 0)
         if nodes[k].holds_content or nodes[k].tag in CONTENT_TAGS:
             nodes[nodes[k].parent].holds_content = True
     cue = [0.0] * len(nodes)
+    over = [0] * len(nodes)  # article and main elements around
+
+    def wraps(k: int) -> bool:
+        """Whether an element named as boilerplate wraps the page's content: two of holds articles, none are apart, most of the text."""
+        x = nodes[k]
+        return (x.inside > 0) + (nodes[0].inside - x.inside - over[k] <= 0) + (2 * x.plain > nodes[0].plain) >= 2
+
     for k in range(1, len(nodes)):
         x = nodes[k]
         above = cue[x.parent]
-        if above < 0:
+        over[k] = over[x.parent] + (x.tag in CONTENT_TAGS and not x.words & COMMENT_WORDS and x.chars > 0)
+        if above <= WORD_CUE:
             cue[k] = above
-        elif x.tag in BOILER_TAGS or x.tag == "header" and above <= 0 and not x.holds_content:
+        elif x.tag in FORM_TAGS and not wraps(k):
+            cue[k] = min(above, FORM_CUE)
+        elif x.tag in BOILER_TAGS - FORM_TAGS and not wraps(k) or x.tag == "header" and above <= 0 and not x.holds_content:
             cue[k] = TAG_CUE
-        elif x.words & COMMENT_WORDS and x.tag not in ("html", "body", "main") and not (x.tag == "article" and above == 0):
+        elif x.words & COMMENT_WORDS and x.tag not in ("html", "body", "main") and not (x.tag == "article" and above == 0) and not wraps(k):
             cue[k] = WORD_CUE
         elif x.words & BOILER_WORDS and x.tag not in ("html", "body", "main", "article", "p", *HEADINGS) and not x.holds_content and 2 * x.chars <= nodes[0].chars:
             cue[k] = WORD_CUE
@@ -245,7 +264,7 @@ def text_features(nodes: list[Node], blocks: list[Block]) -> np.ndarray:
         t, tag = b.text, nodes[b.node].tag
         n = len(t)
         out[k] = (
-            1, min(np.log1p(n) / 6, 1.2), min(1.0, b.linked / n), t[-1] in ".!?…:;\"'”’)", sum(map(str.isupper, t[:400])) / min(n, 400), sum(map(str.isdigit, t[:400])) / min(n, 400),
+            1, min(np.log1p(n) / 6, 1.2), min(1.0, b.linked / n), t[-1] in ".!?…:;\"'”’)", sum(map(str.isupper, t)) / n, sum(map(str.isdigit, t)) / n,
             tag in HEADINGS, tag in ("li", "td", "th", "dt"), k / len(blocks), "©" in t or "®" in t,
         )
     return out

@@ -79,3 +79,32 @@ def test_left_out_end_tags_end_what_is_not_shown():
     assert shown("<p>One <span hidden>gone</p><p>Two") == ["One", "Two"]
     assert shown("<div><select><option>gone<option>gone<p>One</div>Two") == ["One", "Two"]
     assert shown("<div hidden><script>'</div>'</script>gone</div>One") == ["One"]
+
+
+STORY = "".join(f"<p>Paragraph {w} of the story has enough words to look like prose, and it carries on for a while.</p>" for w in ("one", "two", "three"))
+
+
+def test_boilerplate_names_that_wrap_the_page_keep_its_text():
+    menu = '<div class="menu"><a href=1>Home</a> <a href=2>About</a></div>'
+    for start in ("form id=aspnetForm", "fieldset", "dialog open", "aside", 'div class="comments-closed"'):
+        tag = start.split()[0]
+        for inner in (STORY, f"<article>{STORY}</article>", f"<main>{STORY}</main>"):
+            got = htmlcut.main_text(f"<html><body><{start}>{menu}{inner}</{tag}></body></html>", htmlcut.PRIOR)
+            assert got.count("of the story") == 3 and "About" not in got, start
+            got = htmlcut.main_text(f"<html><body><main><{start}>{inner}</{tag}></main></body></html>", htmlcut.PRIOR)
+            assert got.count("of the story") == 3, start
+    two = htmlcut.main_text(f"<body><form>{STORY}</form><form>{STORY}</form><form><label>Mail</label><button>Go</button></form></body>", htmlcut.PRIOR)
+    assert two.count("of the story") == 6 and "Mail" not in two
+
+
+def test_boilerplate_names_beside_an_article_stay_boilerplate():
+    talk = "<p>I think this is a really long reader comment which goes on and on, and on.</p>" * 9
+    for start in ("aside", "dialog open", 'div class="comments"'):
+        got = htmlcut.main_text(f"<body><article>{STORY}</article><{start}>{talk}</{start.split()[0]}></body>", htmlcut.PRIOR)
+        assert got.count("of the story") == 3 and "reader" not in got, start
+
+
+def test_letter_shares_are_of_the_whole_block():
+    nodes, blocks = htmlcut.parse("<p>" + "a" * 400 + "B" * 200 + "7" * 200)
+    x = htmlcut.text_features(nodes, blocks)[0]
+    assert x[4] == 0.25 and x[5] == 0.25

@@ -7,16 +7,17 @@ predictions are mixed in the logistic domain with weights chosen by a gate, and
 probability map. Sums of log probabilities give a text's total, and its bits per byte.
 
 Learned from all training texts: exact counts of every token, and bit counts of every hashed context
-(additive, so tasks sum their own and only sums are shuffled). Only the mixer's weights and the map are
-fitted, online, on ``MIX_DOCS`` training texts (the smallest hashes of doc_id, their first ``MIX_CHARS`` characters),
-with each text's own bits taken out of the counts it sees.
+(additive, so tasks sum their own and only sums are shuffled), then the mixer's weights, the map and the
+match's hit rates: every task fits its own, online, over all its whole texts, with each text's own bits taken
+out of the counts it sees; their means, by bits seen, start the next round. Scoring goes on from there: each
+text has its own weights and map, updated every ``STEP`` bits from the bits before.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rarefold.llm.common import blocks, checkpointed, map_batches, map_stream, mix64, table, texts_of, word_hashes
+from rarefold.llm.common import blocks, checkpointed, map_stream, mix64, table, texts_of, word_hashes
 
 #: Symbols with a path of their own, bits of a context table's slot number, counters of one shuffled row.
 HEAD, TABLE_BITS, CHUNK = 1 << 16, 20, 1 << 10
 FREQUENT = 255
-MIX_DOCS, MIX_CHARS, MIX_ROUNDS, MIX_RATE = 600, 20_000, 2, 0.02
+MIX_ROUNDS, MIX_RATE, STEP = 2, 0.02, 512
+#: Bits that the fitted map counts for in every bin while a text refines it.
+MAP_SURE = 256
 #: Tokens whose bits are held at once.
 TOKENS = 20_000
 TABLES, INPUTS, GATES, MAP_BINS, DEPTHS = 4, 7, 16, 33, 8
@@ -218,19 +221,25 @@ class Model:
         return self.code.kinds - len(self.code.hashes)
 
 
+def _sure(n: np.ndarray) -> np.ndarray:
+    return ((n > 0).astype(np.uint8) + (n > 3) + (n > 30)).astype(np.uint8)
+
+
 def _strengths(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = n0 + n1
-    return np.log((n1 + SOFT) / (n0 + SOFT)).astype(np.float32), np.minimum(3, (n > 0) + (n > 3) + (n > 30)).astype(np.uint8)
+    return np.log((n1 + SOFT) / (n0 + SOFT)).astype(np.float32), _sure(n0 + n1)
 
 
 def _refine(z: np.ndarray, depth: np.ndarray, apm: np.ndarray) -> np.ndarray:
     """Probability of a 1: the mean of the mixer's and the map's, read between its bins."""
+    return _read_map(z, np.minimum(depth, DEPTHS - 1) * MAP_BINS, apm.ravel())
+
+
+def _read_map(z: np.ndarray, place: np.ndarray, flat: np.ndarray) -> np.ndarray:
     z = np.clip(z, -7.99, 7.99)
     at = (z + 8) * ((MAP_BINS - 1) / 16)
     low = at.astype(np.int64)
     part = at - low
-    row = np.minimum(depth, DEPTHS - 1) * MAP_BINS + low
-    flat = apm.ravel()
+    row = place + low
     return 0.5 / (1 + np.exp(-z)) + 0.5 * (flat[row] * (1 - part) + flat[row + 1] * part)
 
 
@@ -245,66 +254,192 @@ def score_texts(texts: list[bytes], model: Model) -> tuple[np.ndarray, Stream, n
     told = asked & (s.hash[guess] == s.hash)
     p = model.hit[s.run]
     total += np.bincount(s.doc, np.where(told, np.log(p), np.where(asked, np.log1p(-p), 0)), len(texts))
-    for lo in range(0, len(s.hash), TOKENS):
-        hi = min(lo + TOKENS, len(s.hash))
-        e = bits(s, code, lo, hi)
-        if not len(e.tok):
-            continue
-        x, gate = inputs(s, code, e, model.odds, model.sure[2], e.slot)
-        z = np.zeros(len(e.tok), np.float32)
-        for i in range(INPUTS):
-            z += np.take(model.weights[i], gate) * x[i]
-        q = _refine(z, e.depth, model.map)
-        total += np.bincount(s.doc[e.tok], np.log(np.where(e.bit, q, 1 - q)), len(texts))
+    n_bits = np.bincount(s.doc, code.length[s.symbol], len(texts)).astype(np.int64)
+    ends = np.cumsum(np.bincount(s.doc, minlength=len(texts)))
+    for a, b in _groups(ends):
+        own = Own(model, n_bits[a:b])
+        lo, hi = (int(ends[a - 1]) if a else 0), int(ends[b - 1])
+        for at in range(lo, hi, TOKENS):
+            e = bits(s, code, at, min(at + TOKENS, hi))
+            if len(e.tok):
+                x, gate = inputs(s, code, e, model.odds, model.sure[2], e.slot)
+                d = s.doc[e.tok] - a
+                total[a:b] += np.bincount(d, own.code(d, x, gate, e.depth, e.bit), b - a)
     return total, s, told
 
 
-def fit_mixer(texts: list[bytes], code: Code, n0: np.ndarray, n1: np.ndarray) -> Model:
-    """Gated weights by online gradient steps, then the map and the match's hit rates, from sample texts."""
+def _groups(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of at most ``TOKENS`` tokens together; a longer text is alone."""
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOKENS, side="right")))
+        yield a, b
+        a = b
+
+
+class Own:
+    """Weights and map of each of some texts: the fitted ones, refined along the text. What a text's mates are does not matter."""
+
+    def __init__(self, model: Model, n_bits: np.ndarray):
+        long = n_bits > STEP
+        self.at = np.where(long, np.cumsum(long), 0)  # place 0 is the fitted state, for texts that end before the first update
+        self.left = n_bits.copy()
+        m = int(long.sum()) + 1
+        self.w = np.repeat(model.weights[:, None, :], m, axis=1).reshape(INPUTS, -1)
+        self.fit = model.map.ravel()
+        self.map = np.tile(self.fit, m)
+        self.n, self.ones = (np.zeros(len(self.map), np.float32) for _ in range(2))
+
+    def code(self, d: np.ndarray, x: np.ndarray, gate: np.ndarray, depth: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """Log probability of every bit; bits of a text are in order."""
+        out = np.empty(len(d))
+        first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        step = (np.arange(len(d)) - np.repeat(first, np.diff(np.r_[first, len(d)]))) // STEP
+        order = np.argsort(step, kind="stable")
+        cell, place = self.at[d] * GATES + gate, (self.at[d] * DEPTHS + np.minimum(depth, DEPTHS - 1)) * MAP_BINS
+        for part in np.split(order, np.cumsum(np.bincount(step))[:-1]):
+            z = np.zeros(len(part), np.float32)
+            for i in range(INPUTS):
+                z += np.take(self.w[i], cell[part]) * x[i, part]
+            q = _read_map(z, place[part], self.map)
+            out[part] = np.log(np.where(bit[part], q, 1 - q))
+            self.left -= np.bincount(d[part], minlength=len(self.left))
+            on = self.left[d[part]] > 0
+            if on.any():
+                self.update(part[on], z[on], cell, place, x, bit)
+        return out
+
+    def update(self, part: np.ndarray, z: np.ndarray, cell: np.ndarray, place: np.ndarray, x: np.ndarray, bit: np.ndarray) -> None:
+        c, y = cell[part], bit[part]
+        error = y - 1 / (1 + np.exp(-np.clip(z, -20, 20)))
+        per = MIX_RATE / np.maximum(np.bincount(c, minlength=self.w.shape[1]), 1) ** 0.5
+        for i in range(INPUTS):
+            self.w[i] += np.bincount(c, error * x[i, part], self.w.shape[1]) * per
+        row = place[part] + _bin(z)
+        np.add.at(self.n, row, np.float32(1))
+        np.add.at(self.ones, row, y.astype(np.float32))
+        row = np.unique(row)
+        self.map[row] = (MAP_SURE * self.fit[row % len(self.fit)] + self.ones[row]) / (MAP_SURE + self.n[row])
+
+
+def _bin(z: np.ndarray) -> np.ndarray:
+    return np.rint((np.clip(z, -8, 8) + 8) * ((MAP_BINS - 1) / 16)).astype(np.int64)
+
+
+class Fit:
+    """One task's mixer: weights from ``start``, online over whole texts; the bits seen by each gate; sums of map and matches."""
+
+    def __init__(self, code: Code, n0: np.ndarray, n1: np.ndarray, start: np.ndarray):
+        self.coding, self.n0, self.n1, self.w = code, n0, n1, start.copy()
+        self.seen, self.hits, self.tries = np.zeros(GATES), np.zeros(4), np.zeros(4)
+        self.map_n, self.map_1 = np.zeros(DEPTHS * MAP_BINS), np.zeros(DEPTHS * MAP_BINS)
+        self.own = np.zeros((TABLES, 2 * n0.shape[1]), np.int32)  # the bits of the text at hand, in every table
+
+    def add(self, texts: list[bytes]) -> None:
+        code = self.coding
+        s = read(texts, code)
+        rare = len(code.counts) - 1
+        guess = np.where((s.match >= 0) & (s.symbol == rare), s.match, -1)
+        asked = (guess >= 0) & (s.symbol[guess] == rare)
+        self.tries += np.bincount(s.run[asked], minlength=4)
+        self.hits += np.bincount(s.run[asked & (s.hash[guess] == s.hash)], minlength=4)
+        ends = np.cumsum(np.bincount(s.doc, minlength=len(texts))).tolist()
+        for lo, hi in zip([0, *ends], ends):
+            kept = [bits(s, code, lo, hi)] if hi - lo <= TOKENS else None
+
+            def each(lo: int = lo, hi: int = hi, kept: list | None = kept) -> Iterable[Bits]:
+                return kept or (bits(s, code, at, min(at + TOKENS, hi)) for at in range(lo, hi, TOKENS))
+
+            for e in each():
+                for k in range(TABLES):
+                    np.add.at(self.own[k], 2 * e.slot[k] + e.bit, np.int32(1))
+            for e in each():
+                self.steps(s, e)
+            for e in each():
+                for k in range(TABLES):
+                    self.own[k][2 * e.slot[k] + e.bit] = 0
+
+    def steps(self, s: Stream, e: Bits) -> None:
+        odds = []
+        for k in range(TABLES):
+            at = e.slot[k]
+            zeros, ones = np.maximum(self.n0[k][at] - self.own[k][2 * at], 0), np.maximum(self.n1[k][at] - self.own[k][2 * at + 1], 0)
+            odds.append(np.log((ones + SOFT) / (zeros + SOFT)).astype(np.float32))
+            if k == 2:
+                sure = _sure(zeros + ones)
+        x, gate = inputs(s, self.coding, e, odds, sure, [np.arange(len(e.tok))] * TABLES)
+        depth = np.minimum(e.depth, DEPTHS - 1) * MAP_BINS
+        zs = np.zeros(len(e.tok), np.float32)
+        for lo in range(0, len(e.tok), STEP):
+            part = slice(lo, lo + STEP)
+            g, xs = gate[part], x[:, part]
+            zs[part] = z = (self.w[:, g] * xs).sum(0)
+            error = e.bit[part] - 1 / (1 + np.exp(-np.clip(z, -20, 20)))
+            n = np.bincount(g, minlength=GATES)
+            per = MIX_RATE / np.maximum(n, 1) ** 0.5
+            for i in range(INPUTS):
+                self.w[i] += np.bincount(g, error * xs[i], GATES) * per
+        self.seen += np.bincount(gate, minlength=GATES)
+        row = depth + _bin(zs)
+        self.map_n += np.bincount(row, minlength=len(self.map_n))
+        self.map_1 += np.bincount(row, e.bit, len(self.map_1))
+
+    def sums(self) -> np.ndarray:
+        """All that tasks add up, in one row."""
+        return np.r_[(self.w * self.seen).ravel(), self.seen, self.hits, self.tries, self.map_n, self.map_1]
+
+
+def _first_weights() -> np.ndarray:
     w = np.zeros((INPUTS, GATES), np.float32)
     w[0], w[1:5], w[5] = 0.2, 0.25, 0.5
-    rare = len(code.counts) - 1
-    map_n, map_1 = np.zeros((DEPTHS, MAP_BINS)), np.zeros((DEPTHS, MAP_BINS))
-    hits, tries = np.full(4, 0.5), np.ones(4)
-    for turn in range(MIX_ROUNDS + 1):
-        for text in texts:
-            s = read([text], code)
-            if turn == 0:
-                guess = np.where((s.match >= 0) & (s.symbol == rare), s.match, -1)
-                asked = (guess >= 0) & (s.symbol[guess] == rare)
-                told = asked & (s.hash[guess] == s.hash)
-                tries += np.bincount(s.run[asked], minlength=4)
-                hits += np.bincount(s.run[told], minlength=4)
-            e = bits(s, code, 0, len(s.hash))
-            bit, depth = e.bit, e.depth
-            if not len(bit):
-                continue
-            odds, sure, where = [], [], []
-            for k in range(TABLES):
-                seen, place = np.unique(e.slot[k], return_inverse=True)
-                own1 = np.bincount(place, bit, len(seen))
-                own0 = np.bincount(place, minlength=len(seen)) - own1
-                o, c = _strengths(np.maximum(n0[k][seen] - own0, 0), np.maximum(n1[k][seen] - own1, 0))
-                odds.append(o), sure.append(c), where.append(place)
-            x, gate = inputs(s, code, e, odds, sure[2], where)
-            for b in range(0, len(bit), 512):
-                part = slice(b, b + 512)
-                g, xs = gate[part], x[:, part]
-                z = (w[:, g] * xs).sum(0)
-                if turn < MIX_ROUNDS:
-                    error = bit[part] - 1 / (1 + np.exp(-np.clip(z, -20, 20)))
-                    per = np.maximum(np.bincount(g, minlength=GATES), 1) ** 0.5
-                    for i in range(INPUTS):
-                        w[i] += MIX_RATE * np.bincount(g, error * xs[i], GATES) / per
-                else:
-                    at = np.rint((np.clip(z, -8, 8) + 8) * ((MAP_BINS - 1) / 16)).astype(np.int64)
-                    row = np.minimum(depth[part], DEPTHS - 1)
-                    np.add.at(map_n, (row, at), 1)
-                    np.add.at(map_1, (row, at), bit[part])
-    centre = 1 / (1 + np.exp(-np.linspace(-8, 8, MAP_BINS)))
-    apm = np.clip((map_1 + 20 * centre) / (map_n + 20), 1e-4, 1 - 1e-4)
+    return w
+
+
+def _mean_weights(sums: np.ndarray, start: np.ndarray) -> np.ndarray:
+    n = sums[INPUTS * GATES :][:GATES]
+    return np.where(n > 0, sums[: INPUTS * GATES].reshape(INPUTS, GATES) / np.maximum(n, 1), start).astype(np.float32)
+
+
+def _model(code: Code, n0: np.ndarray, n1: np.ndarray, w: np.ndarray, sums: np.ndarray) -> Model:
+    hits, tries, map_n, map_1 = np.split(sums[(INPUTS + 1) * GATES :], np.cumsum([4, 4, DEPTHS * MAP_BINS]))
+    centre = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, MAP_BINS))), DEPTHS)
+    apm = np.clip((map_1 + 20 * centre) / (map_n + 20), 1e-4, 1 - 1e-4).reshape(DEPTHS, MAP_BINS)
     odds, sure = zip(*(_strengths(n0[k], n1[k]) for k in range(TABLES)), strict=True)
-    return Model(code, np.stack(odds), np.stack(sure), w, apm.astype(np.float32), np.clip(hits / tries, 1e-3, 0.999))
+    return Model(code, np.stack(odds), np.stack(sure), w, apm.astype(np.float32), np.clip((hits + 0.5) / (tries + 1), 1e-3, 0.999))
+
+
+def fit_mixer(texts: list[bytes], code: Code, n0: np.ndarray, n1: np.ndarray) -> Model:
+    """The model of texts at hand."""
+    w = _first_weights()
+    for _ in range(MIX_ROUNDS):
+        fit = Fit(code, n0, n1, w)
+        fit.add(texts)
+        w = _mean_weights(fit.sums(), w)
+    return _model(code, n0, n1, w, fit.sums())
+
+
+def fit_mixers(docs: DataFrame, code: Code, n0: np.ndarray, n1: np.ndarray) -> Model:
+    """Each task fits over all its texts; what they add up is exact decimals, so that the order of tasks does not matter."""
+    sent = docs.sparkSession.sparkContext.broadcast((code, n0, n1))
+    w, size = _first_weights(), (INPUTS + 1) * GATES + 8 + 2 * DEPTHS * MAP_BINS
+    sums = np.zeros(size)
+    for _ in range(MIX_ROUNDS):
+
+        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            fit = Fit(*sent.value, start)
+            for batch in batches:
+                texts = texts_of(batch.column("text"))
+                for a, b in blocks(texts, 1 << 20):
+                    fit.add(texts[a:b])
+            if fit.seen.any():
+                yield pa.RecordBatch.from_pydict({"i": pa.array(range(size), pa.int32()), "v": fit.sums()})
+
+        sums = np.zeros(size)
+        for r in map_stream(docs.select("text"), run, "i int, v double").groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,6)")).cast("double").alias("v")).collect():
+            sums[r.i] = r.v
+        w = _mean_weights(sums, w)
+    sent.destroy()
+    return _model(code, n0, n1, w, sums)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -375,6 +510,7 @@ def count_contexts(docs: DataFrame, code: Code) -> tuple[np.ndarray, np.ndarray]
     for batch in map_stream(rows, add, "part int, seen binary").toArrow().to_batches():  # the tables' fixed size
         for part, raw in zip(batch.column("part").to_pylist(), batch.column("seen").to_pylist(), strict=True):
             out[part] = np.frombuffer(raw, np.float32)
+    sent.destroy()
     both = out.reshape(TABLES, size, 2)
     return np.ascontiguousarray(both[..., 0]), np.ascontiguousarray(both[..., 1])
 
@@ -385,9 +521,7 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     vocabulary = checkpointed(count_tokens(taught))
     code = build_code(*head_words(vocabulary))
     n0, n1 = count_contexts(taught, code)
-    ids = taught.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MIX_DOCS)
-    sample = taught.select("doc_id", F.substring("text", 1, MIX_CHARS).alias("text")).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(MIX_DOCS)
-    return fit_mixer([(r.text or "").encode() for r in sample.select("text").collect()], code, n0, n1), vocabulary
+    return fit_mixers(taught, code, n0, n1), vocabulary
 
 
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:

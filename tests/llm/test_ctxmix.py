@@ -69,3 +69,44 @@ def test_bits_of_all_symbols_are_a_distribution():
         q = ctxmix._refine((model.weights[:, gate] * x).sum(0), e.depth, model.map)
         total += float(np.prod(np.where(e.bit, q, 1 - q)))
     assert abs(total - 1) < 1e-5
+
+
+def small_model(texts):
+    h, _ = ctxmix.word_hashes(texts)
+    hashes, counts = np.unique(np.r_[h, np.full(len(texts), ctxmix.END)], return_counts=True)
+    code = ctxmix.build_code(hashes, counts, int(counts.sum()), len(counts))
+    zero = np.zeros((ctxmix.TABLES, 1 << ctxmix.TABLE_BITS), np.float32)
+    return ctxmix.fit_mixer(texts, code, zero, zero)
+
+
+def test_every_training_text_shapes_the_mixer_to_its_end(spark):
+    """More than 600 texts, and a text's part after 20,000 characters, are seen."""
+    rows = [(i, "a b " * 12 + f"c{i % 5}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    real = ctxmix._model
+
+    def spy(code, n0, n1, w, sums):
+        seen.append((sums[ctxmix.INPUTS * ctxmix.GATES :][: ctxmix.GATES].sum(), int((code.length * code.counts)[:-1].sum())))
+        return real(code, n0, n1, w, sums)
+
+    ctxmix._model = spy
+    try:
+        ctxmix.learn(docs)
+        ctxmix.learn(spark.createDataFrame([(1, "a b c d " * 20000), (4, "x y")], "doc_id long, text string"))
+    finally:
+        ctxmix._model = real
+    assert all(got == want for got, want in seen) and len(seen) == 2
+
+
+def test_scoring_adapts_along_a_text_and_not_to_its_mates():
+    rng = np.random.default_rng(3)
+    words = [b"w%d" % i for i in range(50)]
+    model = small_model([b" ".join(words[i] for i in rng.integers(0, 50, 400)) for _ in range(20)])
+    odd = b" ".join(words[i] for i in rng.integers(0, 2, 6000))  # other shares than in training
+    alone = ctxmix.score_texts([odd], model)[0][0]
+    first = ctxmix.score_texts([odd[: len(odd) // 2]], model)[0][0]
+    assert alone - first > first * 0.97  # the second half is cheaper than the first
+    mates = [b"w1 w2", odd, b"", b" ".join(words * 900), odd]
+    got = ctxmix.score_texts(mates, model)[0]
+    assert abs(got[1] - alone) < 1e-6 * abs(alone) and abs(got[4] - alone) < 1e-6 * abs(alone)

@@ -35,3 +35,30 @@ def test_stratified_folds_are_balanced(spark):
     assert sorted(counts[(k, 1)] for k in range(5)) == [10] * 5
     assert sorted(counts[(k, 0)] for k in range(5)) == [190] * 5
     assert f.select("row_id").distinct().count() == 1000
+
+
+def test_ranks_far_apart_bring_few_rows_to_the_driver(spark, monkeypatch):
+    import numpy as np
+
+    from rarefold.functions import brackets
+
+    df = spark.range(20000).selectExpr("cast(id % 3 as int) AS g", "cast(conv(substr(md5(cast(id as string)), 1, 13), 16, 10) as double) AS x", "if(id % 4 = 0, null, cast(id % 7 as double)) AS y")
+    brought = []
+    real = brackets._exact
+
+    def spy(*args):
+        out = real(*args)
+        brought.append(sum(len(x) for x in out) if isinstance(out, list) else sum(map(len, out.values())))
+        return out
+
+    monkeypatch.setattr(brackets, "_exact", spy)
+    sets = {"all": lambda g: True, "odd": lambda g: g[0] == 1, "rest": lambda g: g[0] != 1, "none": lambda g: False}
+    found, sizes = brackets.set_ranks(df, ["g"], ["x", "y"], sets, lambda s, n: [int(p * (n - 1)) for p in (0, 0.25, 0.4, 0.55, 0.85, 1)], few=600)
+    assert max(brought) <= 2 * 600
+    rows = df.collect()
+    for s, member in sets.items():
+        for a in ("x", "y"):
+            want = np.sort([r[a] for r in rows if member((r.g,)) and r[a] is not None])
+            assert sizes[s, a] == len(want)
+            for p in (0, 0.25, 0.4, 0.55, 0.85, 1) if len(want) else ():
+                assert found[s, a, int(p * (len(want) - 1))] == want[int(p * (len(want) - 1))]

@@ -398,7 +398,7 @@ def dummy_cv(folded: DataFrame, k: int, strategy: str, seed: int = 42) -> DataFr
 # ------------------------------------------------------------ Spark ML trees
 
 #: Depths (None: Spark's largest, 30), bins and trees; a deeper tree would need another engine and is reported as capped.
-TREE_DEPTH, FOREST_DEPTH, TREE_BINS, FOREST_BINS, TREES, BOOST_ROUNDS, TREE_MEMORY_MB = 30, 10, 256, 64, 100, 100, 1024
+TREE_DEPTH, FOREST_DEPTH, TREE_BINS, FOREST_BINS, TREES, BOOST_ROUNDS, TREE_MEMORY_MB = 30, 20, 256, 128, 100, 100, 1024
 
 
 def _estimator(name: str, seed: int, depth: int | None = None):

@@ -129,3 +129,11 @@ def test_hypergeometric_at_large_counts():
     assert hypergeom_cdf(x, n, k, d) == pytest.approx(want, rel=1e-6)
     exact = sum(math.comb(10, i) * math.comb(20, 8 - i) for i in range(3)) / math.comb(30, 8)
     assert hypergeom_cdf(2, 30, 10, 8) == pytest.approx(exact, rel=1e-12)
+
+
+def test_forest_and_boosting_keep_their_depth_and_bins(spark):
+    from rarefold.operators import zoo
+
+    forest, boosting = zoo._estimator("rf_balanced", 42), zoo._estimator("gradient_boosting", 42)
+    assert forest.getMaxDepth() >= 20 and forest.getMaxBins() >= 128 and forest.getNumTrees() == 100
+    assert boosting.getMaxBins() >= 128 and boosting.getMaxIter() == 100

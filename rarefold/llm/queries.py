@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rarefold.llm import ann, ctxmix, htmlcut, langid, mixing, packing, quality, simhash, sketch, tokens
+from rarefold.llm import ann, convrepair, ctxmix, exactdup, filteraudit, htmlcut, langid, mixing, packing, quality, simhash, sketch, tokens
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_fingerprints": sketch.op8_fingerprints,
     "op9_html": htmlcut.op9_html,
     "op10_packing": packing.op10_packing,
+    "op11_conversation_repair": convrepair.op11_conversation_repair,
+    "op12_filter_audit": filteraudit.op12_filter_audit,
+    "op13_exact_dedup": exactdup.op13_exact_dedup,
 }
-ORACLE = {"op5_mixing": mixing.ORACLE_OP5}
+ORACLE = {"op5_mixing": mixing.ORACLE_OP5, "op12_filter_audit": filteraudit.ORACLE_OP12, "op13_exact_dedup": exactdup.ORACLE_OP13}

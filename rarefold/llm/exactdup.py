@@ -23,12 +23,18 @@ from pyspark.sql.types import LongType, StructType
 from rarefold.llm.common import checkpointed
 from rarefold.session import scratch_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state lies on disk; a task closes its store when it commits, as an open one keeps some megabytes whatever it holds.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 #: Pieces into which rows are dealt: a key with more than one piece's share of all rows is salted, so at most this many keys are broadcast.
 PIECES = 1000
 
+#: Keys with copies up to which they are broadcast to the rows' texts; beyond, texts are shuffled by key.
+BROADCAST_KEYS = 200_000
+
 
 def sha256(text: Column) -> Column:
     """The 32 bytes of SHA-256 of the text in UTF-8."""
@@ -76,13 +82,15 @@ def follow(spark: SparkSession, source: Table, folder: str, max_files: int | Non
 
     state = source.stream(spark, max_files).groupBy("digest").agg(F.count("*").alias("size"), F.max(F.struct("doc_id", "at")).alias("keep"))
     spark.createDataFrame([], state.schema).write.mode("overwrite").parquet(f"{log}/batch=-1")
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").foreachBatch(write_states).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     states = spark.read.parquet(log)
     last = states.groupBy("digest").agg(F.max(F.struct("size", "keep")).alias("s"))  # sizes only grow
     return last.select("digest", "s.size", "s.keep.doc_id", "s.keep.at")
@@ -108,10 +116,11 @@ def _spread(states: DataFrame, hot: DataFrame) -> DataFrame:
 def check(spark: SparkSession, source: Table, states: DataFrame, hot: DataFrame) -> DataFrame:
     """(digest): keys with a row whose bytes differ from the content that the state locates.
 
-    Only rows of keys that were hit carry their texts through the shuffle; a copy is compared in its key's piece.
+    Only rows of keys that were hit are compared, a copy in its key's piece.
     """
-    hits = states.where("size > 1")
-    rows = source.batch(spark).join(hits.select("digest", F.col("at").alias("kept_at")), "digest")
+    hits = states.where("size > 1").select("digest", F.col("at").alias("kept_at"))
+    few = hits.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    rows = source.batch(spark).join(F.broadcast(hits) if few else hits, "digest")
     kept = rows.where("at = kept_at").select("digest", F.col("text").alias("kept_text"))
     others = _salted(rows.where("at <> kept_at").select("digest", "at", "text"), hot)
     pairs = others.join(_spread(kept, hot), ["digest", "salt"])

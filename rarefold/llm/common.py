@@ -18,7 +18,11 @@ from pyspark.sql.types import StructType
 from rarefold.session import ensure_checkpoint_dir
 
 #: Text bytes handled by one vectorised step inside a task; bounds a task's memory.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+
+#: Rows handed to a step at once, and bytes of an Arrow batch where the session names none: what a Python worker holds doesn't grow with the texts.
+STEP_ROWS, BATCH_BYTES = 1024, 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: The white space of the token rule ``[^\x20\x09-\x0D]+``.
 IS_SPACE = np.zeros(256, bool)
@@ -54,7 +58,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def map_stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if not spark.sparkContext.getConf().contains(_BATCH_CONF):
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
     return df.mapInArrow(run, schema)
 
 
@@ -67,8 +74,9 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: s
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, STEP_ROWS):
+                batch = whole.slice(lo, STEP_ROWS)
                 out = step(batch) | {c: batch.column(c) for c in carry}
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 

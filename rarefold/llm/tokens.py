@@ -22,7 +22,7 @@ from rarefold.llm.common import blocks, checkpointed, map_batches, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Parts remembered by a task: a memory bound, nothing is left out when it is reached.
-MEMO_PARTS, MEMO_CHARS, PART_CHARS = 600_000, 12_000_000, 80
+MEMO_PARTS, MEMO_CHARS, PART_CHARS = 250_000, 5_000_000, 80
 BLOCK_CHARS = 1 << 20
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 

@@ -49,9 +49,25 @@ def test_awkward_rows_pass_every_stage(spark, docs, no_docs, tmp_path):
         assert (now.count() == 0) == (k == 1)
 
 
+def test_mixture_keeps_rows_that_differ_in_any_column(spark):
+    """Two sources of equal size take every row once: null, clash and repeat cases come out as they went in."""
+    rows = [(1, None, "en", "x"), (2, "y", "en", "x"), (2, "y", "de", "x"), (1, "x", "en", None), (3, "z", None, None), (3, "z", None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = corpus_pipeline.mixture_stage(spark, table, "")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_duplicate_stage_chooses_by_the_whole_row(spark):
+    text = " ".join(f"word{k}" for k in range(30))
+    rows = [(5, text, "en"), (5, text, "de"), (None, text, "en"), (7, text, "en"), (None, "", "en"), (None, None, "de"), (None, None, "de")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = [sorted(map(tuple, corpus_pipeline.duplicate_stage(spark, table.repartition(n), "").collect()), key=str) for n in (1, 5)]
+    assert left[0] == left[1] and len(left[0]) == 2 and [r[0] for r in left[0]] == [5, None]
+
+
 def test_registered_names(spark):
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert sorted(int(m[1]) for x in names if (m := re.match(r"op(\d+)_", x))) == list(range(1, 11))
+    assert sorted(int(m[1]) for x in names if (m := re.match(r"op(\d+)_", x))) == list(range(1, 14))
     assert "pipeline" in names

@@ -1,14 +1,14 @@
 """The corpus pipeline: quality, language, near-duplicates, mixture, packing.
 
 Each stage is written as Parquet and read again by the next one. All but the last return the columns of
-``documents``; rows are told apart by doc_id and text, so null and repeated ids are kept right.
+``documents``; rows are told apart by all their columns, so null and repeated ids are kept right.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rarefold.llm import langid, mixing, packing, quality, simhash
@@ -38,21 +38,30 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select("row.*")
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """SHA-256 of the whole row, nulls told from every value: rows have one key only if they are equal in all columns."""
+    parts = []
+    for c in docs.columns:
+        value = F.col(f"`{c}`").cast("string")
+        parts.append(F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")))
+    return F.sha2(F.encode(F.concat(*parts), "UTF-8"), 256)
+
+
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id (null ids last, ties by a hash of the text)."""
-    ids = (F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).cast("long").alias("a"), F.xxhash64("text").alias("b"))
+    """Of each group of near duplicates the document with the smallest doc_id (null ids last, ties by the key of the whole row)."""
+    ids = (F.col("doc_id").isNull().alias("a"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("b"), _row_key(docs).alias("c"))
     found = simhash.near_duplicates(docs.select(F.struct(*ids).alias("doc_id"), "text"))
-    first = found.where("doc_id = component_id").select("doc_id.a", "doc_id.b").distinct()
-    kept = _rows(docs, *ids).join(first, ["a", "b"], "left_semi")
-    return kept.dropDuplicates(["a", "b"]).select("row.*")
+    first = found.where("doc_id = component_id").select("doc_id.*").distinct()
+    kept = _rows(docs, *ids).join(first, ["a", "b", "c"], "left_semi")
+    return kept.dropDuplicates(["a", "b", "c"]).select("row.*")
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of every document as the mixture has, none for some; equal rows share theirs."""
-    key = F.xxhash64("doc_id", "text", "source").alias("key")
+    """As many copies of every document as the mixture has, none for some; rows equal in all columns share theirs."""
+    key = _row_key(docs).alias("key")
     mixed = mixing.mix(docs.select(key.alias("doc_id"), "text", "source"))
     copies = mixed.groupBy(F.col("doc_id").alias("key")).agg(F.count("*").cast("int").alias("copies"))
-    rows = _rows(docs, key, F.col("doc_id").alias("id")).join(copies, "key").dropDuplicates(["key", "id"])
+    rows = _rows(docs, key).join(copies, "key").dropDuplicates(["key"])
     return rows.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 

@@ -1,6 +1,8 @@
 """Driver contract: entry runs; every oracle has a query; streaming contract runs."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -20,6 +22,14 @@ def test_oracles_have_queries():
     assert len(E.queries()) > 100
 
 
+@pytest.mark.parametrize("missing", ["tiktoken", "xxhash", "rarefold.llm", "corpus_pipeline"])
+def test_other_queries_stay_without_the_training_data_package(missing):
+    code = f"import sys; sys.modules['{missing}'] = None; import __spark_entry__ as E; q = E.queries(); print(len(q), set(E.oracle_sql()) <= set(q))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[-2]) > 100 and out[-1] == "True"
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="test data not present")
 def test_stream_contract(spark):
     import __spark_entry__ as E

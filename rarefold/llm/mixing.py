@@ -42,7 +42,7 @@ class Target:
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, name, tokens): ``name`` tells a null source from an empty one."""
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORDS))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.greatest(words, F.lit(1)).cast("long").alias("tokens")).withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.greatest(words, F.lit(1)).cast("long").alias("tokens")).withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
 
 
 def find_exponent(sources: DataFrame, n: int, total: int, target: Target) -> float:
@@ -90,6 +90,31 @@ def weigh(sources: DataFrame, target: Target) -> DataFrame:
     return out.withColumn("epochs", F.expr("budget div t")).withColumn("rest", F.expr("budget % t"))
 
 
+#: Sources up to which all weights are broadcast, and the share of all tokens from which a source's weight always is.
+FEW_SOURCES, HOT_SHARE = 100_000, 1000
+
+
+def _weighted(base: DataFrame, weights: DataFrame) -> DataFrame:
+    """The documents with their source's weight; no source, however large, is dealt to one task."""
+    if weights.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        return base.join(F.broadcast(weights), "name")
+    total = weights.agg(F.sum("t")).first()[0]
+    hot = weights.where(F.col("t") * HOT_SHARE > total)  # fewer than HOT_SHARE rows
+    rest = base.join(F.broadcast(hot.select("name")), "name", "left_anti").join(weights, "name")
+    return base.join(F.broadcast(hot), "name").unionByName(rest)
+
+
+def _running(sums: DataFrame, whole: list[str], digits: int) -> DataFrame:
+    """(..., part, t_before): tokens of the source's epoch in earlier parts, by runs of parts first, then within a run."""
+    sums = sums.withColumn("run", F.shiftrightunsigned("part", 4 * (digits // 2)))
+    runs = sums.groupBy(*whole, "run").agg(F.sum("t_part").alias("t_run"))
+    earlier = Window.partitionBy(*whole).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*whole, "run", F.coalesce(F.sum("t_run").over(earlier), F.lit(0)).alias("t_runs"))
+    within = Window.partitionBy(*whole, "run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("t_within", F.coalesce(F.sum("t_part").over(within), F.lit(0))).join(runs, [*whole, "run"])
+    return sums.select(*whole, "part", (F.col("t_runs") + F.col("t_within")).alias("t_before"))
+
+
 def mix(docs: DataFrame, target: Target | None = None) -> DataFrame:
     """(doc_id, source, epoch, tokens, weight, block, place) of every copy of a document in the mixture.
 
@@ -104,14 +129,13 @@ def mix(docs: DataFrame, target: Target | None = None) -> DataFrame:
     total, n = base.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     n_blocks = max(1, -(-(target.budget or total) // target.block_tokens))
     digits = max(2, math.ceil(math.log(max(n, 1) / 1000 + 1, 16)))
-    copies = base.join(weights, "name").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs"))))
+    copies = _weighted(base, weights).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs"))))
     md5 = F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     key = F.conv(F.substring(md5, 1, HASH_DIGITS), 16, 10).cast("long")
     copies = copies.withColumn("key", key).withColumn("part", F.shiftrightunsigned("key", 4 * (HASH_DIGITS - digits)))
     whole = ["name", "epoch"]
     sums = copies.groupBy(*whole, "part").agg(F.sum("tokens").alias("t_part"))
-    before = Window.partitionBy(*whole).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*whole, "part", F.coalesce(F.sum("t_part").over(before), F.lit(0)).alias("t_before"))
+    sums = _running(sums, whole, digits)
     inside = Window.partitionBy(*whole, "part").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     run = copies.withColumn("t_inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(sums, [*whole, "part"])
     run = run.withColumn("before", F.col("t_before") + F.col("t_inside"))

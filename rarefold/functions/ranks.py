@@ -11,16 +11,24 @@ coarse key (the *bucket*):
 
 Step 3 is partitioned by (group, bucket), so a group's rows spread over many
 tasks.  The answer equals the single-window answer exactly.
+
+``exclusive_prefix`` takes the bucket from its caller (hashes: evenly spread whatever the data).  ``value_prefix`` orders by
+values, whose spread only the data know: there the splitters are those of a range partitioning, which Spark samples.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rarefold.functions.cache import keep, release  # noqa: F401  (release re-exported)
+from rarefold.session import ensure_checkpoint_dir
 
 _MANTISSA_STEPS = 1024
 _OFFSET = 1 << 22
@@ -80,3 +88,55 @@ def exclusive_prefix(
     for c in sums:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wf), F.lit(0)))
     return keep(out.drop("_bkt", *[f"_o_{c}" for c in sums]))
+
+
+def value_prefix(df: DataFrame, part: Sequence[str], value: str, sums: Sequence[str], descending: bool = False, suffix: str = "_before") -> DataFrame:
+    """Add ``<c><suffix>`` = sum of ``c`` over rows of the same ``part`` with a strictly earlier ``value`` (unique within ``part``).
+
+    Rows are dealt by range of (part, value): equally many a task, however narrow or crowded the values are. A task adds up its
+    own rows in order; what lies in earlier tasks is one row for each group and task that holds some of it (a range is contiguous,
+    so fewer than groups + tasks), which is broadcast. Groups are cells, attributes or replicates, never data.
+    """
+    part = list(part)
+    keys = [F.col(value).desc() if descending else F.col(value).asc()]
+    floats = {c: isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) for c in sums}
+    types = {c: T.DoubleType() if floats[c] else T.LongType() for c in sums}
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"{c}{suffix}", types[c]) for c in sums], T.StructField("_task", T.IntegerType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, last, carry = TaskContext.get().partitionId(), None, {}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for c in part:
+                x = batch.column(c).to_numpy(zero_copy_only=False)
+                new[1:] |= x[1:] != x[:-1]
+            head = tuple(batch.column(c)[0].as_py() for c in part)
+            goes_on = last is not None and head == last
+            new[0] = True
+            start, run_of = np.flatnonzero(new), np.cumsum(new) - 1
+            before = []
+            for c in sums:
+                x = np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False).astype(float)) if floats[c] or batch.column(c).null_count else batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                total = np.cumsum(x)
+                out = total - x - (total[start] - x[start])[run_of]
+                if goes_on:
+                    out[run_of == 0] += carry[c]
+                carry[c] = out[-1] + x[-1]
+                before.append(pa.array(out if floats[c] else out.astype(np.int64)))
+            last = tuple(batch.column(c)[n - 1].as_py() for c in part)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *before, pa.array(np.full(n, task, np.int32))], names=names)
+
+    dealt = df.repartitionByRange(*part, *keys).sortWithinPartitions(*part, *keys)
+    # written to the shared folder once: another evaluation could draw other splitters, and the rows are read twice
+    ensure_checkpoint_dir(df.sparkSession)
+    inside = dealt.mapInArrow(run, schema).checkpoint(eager=True)
+    totals = inside.groupBy(*part, "_task").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    earlier = Window.partitionBy(*part).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*part, "_task", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    out = inside.join(F.broadcast(offsets), [*part, "_task"])
+    done = {f"{c}{suffix}": F.col(f"{c}{suffix}") + F.col(f"_o_{c}") for c in sums}
+    return out.withColumns(done).drop("_task", *[f"_o_{c}" for c in sums])

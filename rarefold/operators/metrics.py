@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rarefold.functions.columns import Z_975, md5_uniform, safe_div, wilson, zero_div
-from rarefold.functions.ranks import exclusive_prefix, float_bucket
+from rarefold.functions.ranks import value_prefix
 from rarefold.operators.profile import rank_sums
 
 # Metric names and their report order.
@@ -90,7 +90,7 @@ def _cumulative_desc(scored: DataFrame, group: list[str]) -> DataFrame:
     g = scored.groupBy(*group, "score").agg(
         F.sum("y").cast("double").alias("npos"), F.sum(1 - F.col("y")).cast("double").alias("nneg")
     )
-    pre = exclusive_prefix(g, group, ["score"], float_bucket(F.col("score")), ["npos", "nneg"], descending=True)
+    pre = value_prefix(g, group, "score", ["npos", "nneg"], descending=True)
     return pre.withColumn("tp", F.col("npos_before") + F.col("npos")).withColumn("fp", F.col("nneg_before") + F.col("nneg"))
 
 
@@ -120,18 +120,35 @@ def curves(scored: DataFrame, group: list[str]) -> DataFrame:
 
 def fold_metrics(scored: DataFrame, group: list[str]) -> DataFrame:
     """I8: n_test, n_pos and the eight metrics per group (model, rep, fold)."""
-    base = scored.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_test"),
-        F.sum("y").cast("long").alias("n_pos"),
-        F.count_if((F.col("y") == 0) & (F.col("pred") == 0)).alias("tn"),
-        F.count_if((F.col("y") == 0) & (F.col("pred") == 1)).alias("fp"),
-        F.count_if((F.col("y") == 1) & (F.col("pred") == 0)).alias("fn"),
-        F.count_if((F.col("y") == 1) & (F.col("pred") == 1)).alias("tp"),
-        F.avg((F.col("score") - F.col("y")) * (F.col("score") - F.col("y"))).alias("brier_score_loss"),
+    # one grouped table: rows of equal score once, their counts above and below from one prefix, every metric from one sum over it
+    g = scored.groupBy(*group, "score").agg(
+        F.sum("y").cast("double").alias("npos"),
+        F.sum(1 - F.col("y")).cast("double").alias("nneg"),
+        F.count_if((F.col("y") == 0) & (F.col("pred") == 1)).alias("s_fp"),
+        F.count_if((F.col("y") == 1) & (F.col("pred") == 1)).alias("s_tp"),
+    )
+    pre = value_prefix(g, group, "score", ["npos", "nneg"], descending=True)
+    above, tp = F.col("nneg_before") + F.col("nneg"), F.col("npos_before") + F.col("npos")
+    t = pre.groupBy(*group).agg(
+        F.sum("npos").alias("P"),
+        F.sum("nneg").alias("N"),
+        F.sum("s_fp").alias("fp"),
+        F.sum("s_tp").alias("tp"),
+        F.sum(F.col("npos") * tp / (tp + above)).alias("_ap"),
+        F.sum(F.col("npos") * (F.col("nneg_before") + F.col("nneg") / 2)).alias("_beaten"),
+        F.sum(F.col("npos") * (F.col("score") - 1) * (F.col("score") - 1) + F.col("nneg") * F.col("score") * F.col("score")).alias("_sq"),
+    )
+    pos, neg, n = F.col("P"), F.col("N"), F.col("P") + F.col("N")
+    m = threshold_metrics_from_counts((neg - F.col("fp")).cast("long"), F.col("fp"), (pos - F.col("tp")).cast("long"), F.col("tp"))
+    return t.select(
+        *group,
+        n.cast("long").alias("n_test"),
+        pos.cast("long").alias("n_pos"),
+        *[v.alias(k) for k, v in m.items()],
+        (F.col("_sq") / n).alias("brier_score_loss"),
+        F.when(pos > 0, F.col("_ap") / pos).alias("average_precision"),
+        F.when((pos > 0) & (neg > 0), 1 - F.col("_beaten") / (pos * neg)).alias("roc_auc"),
     )
-    m = threshold_metrics_from_counts(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp"))
-    base = base.select(*group, "n_test", "n_pos", *[v.alias(k) for k, v in m.items()], "brier_score_loss")
-    return base.join(average_precision(scored, group), group).join(roc_auc(scored, group), group)
 
 
 def metrics_long(fm: DataFrame, group: list[str]) -> DataFrame:

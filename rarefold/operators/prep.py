@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from rarefold.functions.brackets import clean, set_ranks
 from rarefold.functions.columns import nan_to_null
-from rarefold.functions.ranks import exclusive_prefix, float_bucket
+from rarefold.functions.ranks import value_prefix
 from rarefold.operators.resample import fold_expansion
 
 
 def exact_quantiles_counted(cnt: DataFrame, group: list[str], qs: list[float], v: str = "v", c: str = "c") -> DataFrame:
     """Linear-interpolated quantiles from (group..., v, c) value counts (c > 0)."""
-    pre = exclusive_prefix(cnt, group, [v], float_bucket(F.col(v)), [c])
+    pre = value_prefix(cnt, group, v, [c])
     tot = cnt.groupBy(*group).agg(F.sum(c).alias("n"))
     qarr = F.array(*[F.lit(float(q)) for q in qs])
     x = pre.join(tot, on=group).select(*group, v, c, F.col(f"{c}_before").alias("cb"), "n", F.explode(qarr).alias("q"))

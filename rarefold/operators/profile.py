@@ -12,9 +12,10 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rarefold.functions.columns import nan_to_null
-from rarefold.functions.ranks import exclusive_prefix, float_bucket
+from rarefold.functions.ranks import value_prefix
 from rarefold.functions.stats import erfc_two_sided_p
 from rarefold.spec import DatasetSpec
 
@@ -32,7 +33,7 @@ def exact_quantiles(long: DataFrame, group: list[str], qs: list[float], v: str =
     Returns (group..., q, value, n).  Nulls are ignored.
     """
     cnt = long.filter(F.col(v).isNotNull()).groupBy(*group, v).agg(F.count(F.lit(1)).alias("c"))
-    pre = exclusive_prefix(cnt, group, [v], float_bucket(F.col(v)), ["c"])
+    pre = value_prefix(cnt, group, v, ["c"])
     tot = cnt.groupBy(*group).agg(F.sum("c").alias("n"))
     qarr = F.array(*[F.lit(float(q)) for q in qs])
     x = pre.join(tot, on=group, how="inner").select(*group, v, "c", "c_before", "n", F.explode(qarr).alias("q"))
@@ -69,8 +70,14 @@ def descriptive_table(df: DataFrame, attrs: list[str]) -> DataFrame:
     return stats.join(med, "attr", "left")
 
 
+def present(df: DataFrame, attrs: list[str]) -> DataFrame:
+    """NaN read as null in the attributes: the entrance of every operator that doesn't go through ``long_form``."""
+    return df.withColumns({a: nan_to_null(F.col(a)) for a in attrs if isinstance(df.schema[a].dataType, (T.DoubleType, T.FloatType))})
+
+
 def nulls_by_column(df: DataFrame, attrs: list[str]) -> DataFrame:
     """Null count per attribute (long form)."""
+    df = present(df, attrs)
     wide = df.agg(*[F.count_if(F.col(a).isNull()).alias(a) for a in attrs])
     return wide.unpivot([], attrs, "attr", "nulls")
 
@@ -82,7 +89,7 @@ def _row_nulls(attrs: list[str]):
 def nulls_per_row_hist(df: DataFrame, attrs: list[str]) -> DataFrame:
     """C4: rows by number of nulls in the row (only counts > 0)."""
     return (
-        df.select(_row_nulls(attrs).alias("n_null"))
+        present(df, attrs).select(_row_nulls(attrs).alias("n_null"))
         .filter(F.col("n_null") > 0)
         .groupBy("n_null")
         .agg(F.count(F.lit(1)).alias("rows"))
@@ -92,7 +99,7 @@ def nulls_per_row_hist(df: DataFrame, attrs: list[str]) -> DataFrame:
 def missingness_summary(df: DataFrame, attrs: list[str]) -> DataFrame:
     """Total nulls, affected rows, max nulls in one row, overlap flag."""
     k = _row_nulls(attrs)
-    return df.select(k.alias("k")).agg(
+    return present(df, attrs).select(k.alias("k")).agg(
         F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("total_nulls"),
         F.count_if(F.col("k") > 0).alias("rows_affected"),
         F.coalesce(F.max("k"), F.lit(0)).alias("max_in_row"),
@@ -104,7 +111,7 @@ def nulls_by_class(df: DataFrame, attrs: list[str], target: str) -> DataFrame:
     """Per class: size, rows with >= 1 null, % of the class (null targets dropped)."""
     k = _row_nulls(attrs)
     return (
-        df.filter(F.col(target).isNotNull())
+        present(df, attrs).filter(F.col(target).isNotNull())
         .groupBy(F.col(target).cast("string").alias("class"))
         .agg(F.count(F.lit(1)).alias("n_class"), F.count_if(k > 0).alias("rows_with_nulls"))
         .withColumn("pct_of_class", 100.0 * F.col("rows_with_nulls") / F.col("n_class"))
@@ -158,7 +165,7 @@ def rank_sums(long: DataFrame, group: list[str], v: str = "v", y: str = "y") ->
         .groupBy(*group, v)
         .agg(F.sum(F.col(y)).cast("double").alias("npos"), F.sum(1 - F.col(y)).cast("double").alias("nneg"))
     )
-    pre = exclusive_prefix(g, group, [v], float_bucket(F.col(v)), ["nneg"])
+    pre = value_prefix(g, group, v, ["nneg"])
     t = F.col("npos") + F.col("nneg")
     return pre.groupBy(*group).agg(
         F.sum(F.col("npos") * (F.col("nneg_before") + F.col("nneg") / 2)).alias("u"),
@@ -170,10 +177,10 @@ def rank_sums(long: DataFrame, group: list[str], v: str = "v", y: str = "y") ->
 
 def univariate_auc(df: DataFrame, spec: DatasetSpec, with_p: bool = True) -> DataFrame:
     """AUC = U/(n+ n-) per attribute, class means, z of the tie/continuity-corrected
-    normal approximation, two-sided p, direction and significance."""
+    normal approximation, two-sided p, direction, significance and rank by distance from 1/2."""
     attrs = spec.numeric_attributes()
     y = (F.col(spec.target).cast("string") == spec.positive_label).cast("int")
-    base = df.select(y.alias("y"), *[F.col(a).cast("double").alias(a) for a in attrs])
+    base = present(df, attrs).select(y.alias("y"), *[F.col(a).cast("double").alias(a) for a in attrs])
     long = base.unpivot(["y"], attrs, "attr", "v")
     rs = rank_sums(long, ["attr"])
     means = long.filter(F.col("v").isNotNull()).groupBy("attr").agg(
@@ -195,6 +202,8 @@ def univariate_auc(df: DataFrame, spec: DatasetSpec, with_p: bool = True) -> Dat
         F.col("u").alias("u"),
         z.alias("z"),
     )
+    # Strongest first; one row an attribute, so this order is a small one
+    out = out.withColumn("rank", F.row_number().over(Window.orderBy(F.abs(F.col("auc") - 0.5).desc_nulls_last(), "attr")))
     out = out.withColumn("direction", F.when(F.col("auc") >= 0.5, F.lit("direct")).otherwise(F.lit("inverse")))
     if with_p:
         out = out.withColumn("p_value", F.least(F.lit(1.0), erfc_two_sided_p(F.greatest(F.col("z"), F.lit(0.0)))))
@@ -235,7 +244,7 @@ def class_balance(df: DataFrame, target: str, positive: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, attrs: list[str]) -> DataFrame:
     """C14: Pearson r for every ordered pair, pairwise-complete rows, in one aggregate."""
     pairs = [(a, b) for i, a in enumerate(attrs) for b in attrs[i + 1:]]
-    cast = df.select(*[F.col(a).cast("double").alias(a) for a in attrs])
+    cast = present(df, attrs).select(*[F.col(a).cast("double").alias(a) for a in attrs])
     wide = cast.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     spark = df.sparkSession
     names = spark.createDataFrame([(str(i), a, b) for i, (a, b) in enumerate(pairs)], "k string, a string, b string")
@@ -262,7 +271,7 @@ def max_abs_corr(df: DataFrame, attrs: list[str]) -> DataFrame:
 
 def class_histogram(df: DataFrame, attrs: list[str], target: str, bins: int = 18) -> DataFrame:
     """Equal bins over the pooled min-max per attribute, last bin closed, weight 1/n_class."""
-    base = df.select(F.col(target).cast("string").alias("class"), *[F.col(a).cast("double").alias(a) for a in attrs])
+    base = present(df, attrs).select(F.col(target).cast("string").alias("class"), *[F.col(a).cast("double").alias(a) for a in attrs])
     long = base.unpivot(["class"], attrs, "attr", "v").filter(F.col("v").isNotNull() & F.col("class").isNotNull())
     rng = long.groupBy("attr").agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
     ncls = long.groupBy("attr", "class").agg(F.count(F.lit(1)).alias("n_class"))
@@ -274,7 +283,7 @@ def class_histogram(df: DataFrame, attrs: list[str], target: str, bins: int = 18
 
 def class_boxplot(df: DataFrame, attrs: list[str], target: str) -> DataFrame:
     """C17: quartiles per (attr, class), 1.5 IQR whiskers snapped to data, outlier count."""
-    base = df.select(F.col(target).cast("string").alias("class"), *[F.col(a).cast("double").alias(a) for a in attrs])
+    base = present(df, attrs).select(F.col(target).cast("string").alias("class"), *[F.col(a).cast("double").alias(a) for a in attrs])
     long = base.unpivot(["class"], attrs, "attr", "v").filter(F.col("v").isNotNull() & F.col("class").isNotNull())
     q = exact_quantiles(long, ["attr", "class"], [0.25, 0.5, 0.75])
     qw = q.groupBy("attr", "class").agg(

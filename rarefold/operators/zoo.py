@@ -8,7 +8,8 @@ calibration fold), so no fold copy is ever stored or shuffled:
   residue, label) and ``brackets.set_quantiles``;
 * logistic models: batched Newton (``linear.fit_logistic``) over an in-flight broadcast expansion;
 * calibrators are fitted for all cells at once, isotonic ones on bounded score bins;
-* trees / forest / boosting: Spark ML estimators, one fit per outer fold on a filter of the base rows.
+* shallow trees and boosting: Spark ML estimators, one fit per outer fold on a filter of the base rows; the unbounded tree and
+  the forest are grown by ``forest``.
 """
 
 from __future__ import annotations
@@ -397,22 +398,18 @@ def dummy_cv(folded: DataFrame, k: int, strategy: str, seed: int = 42) -> DataFr
 
 # ------------------------------------------------------------ Spark ML trees
 
-#: Depths (None: Spark's largest, 30), bins and trees; a deeper tree would need another engine and is reported as capped.
-TREE_DEPTH, FOREST_DEPTH, TREE_BINS, FOREST_BINS, TREES, BOOST_ROUNDS, TREE_MEMORY_MB = 30, 20, 256, 128, 100, 100, 1024
+#: Bins and rounds of the shallow models; trees without a depth limit are grown by ``forest``.
+TREE_BINS, BOOST_BINS, BOOST_ROUNDS, TREE_MEMORY_MB = 256, 128, 100, 1024
 
 
-def _estimator(name: str, seed: int, depth: int | None = None):
-    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+def _estimator(name: str, seed: int):
+    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 
     common = {"featuresCol": "features", "labelCol": "y", "seed": seed, "maxMemoryInMB": TREE_MEMORY_MB, "cacheNodeIds": False}
-    if name == "tree_default":
-        return DecisionTreeClassifier(maxDepth=depth or TREE_DEPTH, minInstancesPerNode=1, maxBins=TREE_BINS, **common)
     if name == "tree_shallow_balanced":
         return DecisionTreeClassifier(maxDepth=3, minInstancesPerNode=5, maxBins=TREE_BINS, weightCol="w", **common)
-    if name == "rf_balanced":
-        return RandomForestClassifier(numTrees=TREES, maxDepth=depth or FOREST_DEPTH, maxBins=FOREST_BINS, featureSubsetStrategy="sqrt", weightCol="w", **common)
     if name == "gradient_boosting":
-        return GBTClassifier(maxIter=BOOST_ROUNDS, stepSize=0.1, maxDepth=3, maxBins=FOREST_BINS, **common)
+        return GBTClassifier(maxIter=BOOST_ROUNDS, stepSize=0.1, maxDepth=3, maxBins=BOOST_BINS, **common)
     raise KeyError(name)
 
 
@@ -425,23 +422,17 @@ def _vectors(rows: DataFrame, f: Folded, stat: dict) -> DataFrame:
     return VectorAssembler(inputCols=f.feats, outputCol="features").transform(x.withColumn("w", w).withColumn("y", F.col("y").cast("double")))
 
 
-def spark_ml_cv(f: Folded, name: str, seed: int = 42, depth: int | None = None) -> DataFrame:
-    """Out-of-fold scores of a Spark ML tree model: one fit per outer fold, one after the other, on the stored base rows.
-
-    ``capped`` says that a tree of the fit reached the depth limit.
-    """
+def spark_ml_cv(f: Folded, name: str, seed: int = 42) -> DataFrame:
+    """Out-of-fold scores of a shallow Spark ML tree model: one fit per outer fold, one after the other, on the stored base rows."""
     from pyspark.ml.functions import vector_to_array
 
     get_model(name)
     prep, out = fit_prep(f, outer_cells(f)), None
     for c, stat in prep.items():
         rows = f.base.where(F.col("rep") == c.rep)
-        est = _estimator(name, seed, depth)
-        model = est.fit(_vectors(rows.where(F.col("fold") != c.outer), f, stat).select("features", "y", "w"))
-        deepest = max((t.depth for t in model.trees), default=0) if hasattr(model, "trees") else model.depth
-        capped = name in ("tree_default", "rf_balanced") and deepest >= est.getMaxDepth()
+        model = _estimator(name, seed).fit(_vectors(rows.where(F.col("fold") != c.outer), f, stat).select("features", "y", "w"))
         part = model.transform(_vectors(rows.where(F.col("fold") == c.outer), f, stat))
-        part = part.select(F.lit(name).alias("model"), "rep", "fold", "row_id", F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"), F.lit(capped).alias("capped"))
+        part = part.select(F.lit(name).alias("model"), "rep", "fold", "row_id", F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"), F.lit(False).alias("capped"))
         out = part if out is None else out.unionByName(part)
     return out.withColumn("pred", (F.col("score") > 0.5).cast("int"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rarefold.functions.cache import keep
-from rarefold.operators import decision, linear, metrics, resample, zoo
+from rarefold.operators import decision, forest, linear, metrics, resample, zoo
 from rarefold.plans.common import rounded, valid
 from rarefold.plans.oracle_base import OBS as OBS_CTE
 from rarefold.plans.oracle_base import TAGGED, VALID, with_
@@ -28,7 +28,7 @@ def base(spark, sf, k=K):
 
 
 def _metrics(scored, flag="converged"):
-    """Fold metrics, and whether every fit behind them converged (trees: whether one met its depth limit)."""
+    """Fold metrics, and whether every fit behind them converged (trees: whether one met a depth limit)."""
     fits = scored.groupBy(*GROUP).agg((F.bool_and if flag == "converged" else F.bool_or)(flag).alias(flag))
     return rounded(metrics.fold_metrics(scored, GROUP).join(fits, GROUP))
 
@@ -42,19 +42,19 @@ def q_zoo_logistic_balanced(spark, sf):
 
 
 def q_zoo_tree_default(spark, sf):
-    return _metrics(zoo.spark_ml_cv(base(spark, sf), "tree_default"), "capped")
+    return _metrics(forest.tree_cv(base(spark, sf), "tree_default"), "capped")
 
 
 def q_zoo_tree_shallow(spark, sf):
-    return _metrics(zoo.spark_ml_cv(base(spark, sf), "tree_shallow_balanced"), "capped")
+    return _metrics(forest.tree_cv(base(spark, sf), "tree_shallow_balanced"), "capped")
 
 
 def q_zoo_rf(spark, sf):
-    return _metrics(zoo.spark_ml_cv(base(spark, sf), "rf_balanced"), "capped")
+    return _metrics(forest.tree_cv(base(spark, sf), "rf_balanced"), "capped")
 
 
 def q_zoo_gbt(spark, sf):
-    return _metrics(zoo.spark_ml_cv(base(spark, sf), "gradient_boosting"), "capped")
+    return _metrics(forest.tree_cv(base(spark, sf), "gradient_boosting"), "capped")
 
 
 def q_grid_search_c(spark, sf):
@@ -122,7 +122,7 @@ def q_model_comparison(spark, sf):
     """I13-I15 and I10 on the zoo itself: every model's fold metrics, summary, pooled confusion and whether it beats both dummies."""
     f = base(spark, sf)
     parts = [zoo.dummy_cv(f.base, K, s) for s in ("most_frequent", "stratified")]
-    parts += [zoo.spark_ml_cv(f, m) for m in ("tree_default", "tree_shallow_balanced", "rf_balanced", "gradient_boosting")]
+    parts += [forest.tree_cv(f, m) for m in ("tree_default", "tree_shallow_balanced", "rf_balanced", "gradient_boosting")]
     parts += [zoo.logistic_cv(f, balanced=b) for b in (True, False)]
     cols = ["model", "rep", "fold", "row_id", "y", "score", "pred"]
     scored = parts[0].select(cols)

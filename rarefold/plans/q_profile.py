@@ -149,7 +149,8 @@ ORACLE = {
     SELECT r.attr, CAST(n1 AS BIGINT) AS n_pos, CAST(n2 AS BIGINT) AS n_neg, round(mean_pos, 6) AS mean_pos, round(mean_neg, 6) AS mean_neg,
            round(u / (n1 * n2), 6) AS auc, round(u, 6) AS u,
            round((abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z,
-           CASE WHEN u / (n1 * n2) >= 0.5 THEN 'direct' ELSE 'inverse' END AS direction
+           CASE WHEN u / (n1 * n2) >= 0.5 THEN 'direct' ELSE 'inverse' END AS direction,
+           CAST(row_number() OVER (ORDER BY abs(u / (n1 * n2) - 0.5) DESC NULLS LAST, r.attr) AS INTEGER) AS rank
     FROM r JOIN m ON r.attr = m.attr""",
     "class_balance": BASE
     + """, cc AS (SELECT coalesce(failure, 'nan') AS class, count(*) AS n_class FROM valid GROUP BY 1)

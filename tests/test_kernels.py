@@ -5,7 +5,9 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rarefold.functions.ranks import exclusive_prefix, float_bucket
+from pyspark.sql import functions as F
+
+from rarefold.functions.ranks import exclusive_prefix, float_bucket, value_prefix
 from rarefold.operators import resample
 
 
@@ -62,3 +64,44 @@ def test_ranks_far_apart_bring_few_rows_to_the_driver(spark, monkeypatch):
             assert sizes[s, a] == len(want)
             for p in (0, 0.25, 0.4, 0.55, 0.85, 1) if len(want) else ():
                 assert found[s, a, int(p * (len(want) - 1))] == want[int(p * (len(want) - 1))]
+
+
+def test_value_prefix_equals_a_plain_window(spark):
+    """Narrow ranges, crowded scores, several groups; both directions, many tasks."""
+    import random
+
+    rng = random.Random(2)
+    rows = {(rng.choice(["a", "b", "c"]), rng.choice([295 + 10 * rng.random(), 1 - rng.random() ** 8 * 1e-9, -rng.random()])): (rng.randint(0, 5), rng.random()) for _ in range(5000)}
+    df = spark.createDataFrame([(g, v, *x) for (g, v), x in rows.items()], "g string, v double, c long, d double").repartition(7)
+    for down in (False, True):
+        want = {}
+        for g in "abc":
+            c = d = 0
+            for v in sorted((v for h, v in rows if h == g), reverse=down):
+                want[g, v] = (c, d)
+                c, d = c + rows[g, v][0], d + rows[g, v][1]
+        got = {(r.g, r.v): (r.c_before, r.d_before) for r in value_prefix(df, ["g"], "v", ["c", "d"], descending=down).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_narrow_values_spread_over_all_tasks(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(40_000).select(F.lit("a").alias("g"), (300 + F.col("id") * 1e-9).alias("v"), F.lit(1).alias("c"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = df.repartitionByRange("g", F.col("v").asc()).groupBy(F.spark_partition_id()).count().collect()
+        assert value_prefix(df, ["g"], "v", ["c"]).agg(F.max("c_before")).first()[0] == 39_999
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert max(r["count"] for r in dealt) < 2 * 40_000 / len(dealt) and len(dealt) > 1
+
+
+def test_value_prefix_loses_no_row_of_an_unpivoted_table(spark):
+    """The kernel joins its own output; more rows than one Arrow batch, columns that are renamed in the join."""
+    df = spark.range(30_000).select((F.col("id") % 997).cast("double").alias("a"), F.col("id").cast("double").alias("b")).unpivot([], ["a", "b"], "attr", "v")
+    g = df.groupBy("attr", "v").agg(F.count("*").alias("n"))
+    out = value_prefix(g, ["attr"], "v", ["n"]).groupBy("attr").agg(F.sum("n").alias("n"), F.max("n_before").alias("m"), F.count("*").alias("c")).collect()
+    assert {r.attr: (r.n, r.m, r.c) for r in out} == {"a": (30_000, 29_970, 997), "b": (30_000, 29_999, 30_000)}

@@ -132,8 +132,8 @@ def test_hypergeometric_at_large_counts():
 
 
 def test_forest_and_boosting_keep_their_depth_and_bins(spark):
-    from rarefold.operators import zoo
+    from rarefold.operators import forest, zoo
 
-    forest, boosting = zoo._estimator("rf_balanced", 42), zoo._estimator("gradient_boosting", 42)
-    assert forest.getMaxDepth() >= 20 and forest.getMaxBins() >= 128 and forest.getNumTrees() == 100
+    boosting, model = zoo._estimator("gradient_boosting", 42), forest.MODELS["rf_balanced"]
+    assert model.depth is None and forest.BINS >= 128 and model.trees == 100
     assert boosting.getMaxBins() >= 128 and boosting.getMaxIter() == 100

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rarefold.operators import compare, explain, limits, profile
+from rarefold.operators import compare, explain, forest, limits, profile
 from rarefold.plans.common import rounded, valid
 from rarefold.plans.oracle_base import OBS, TAGGED, VALID, with_
 from rarefold.plans.q_metrics import GRIDN, OPT, _curve
@@ -50,6 +50,50 @@ def q_importance_compare(spark, sf):
     return rounded(explain.importance_compare(imp, auc))
 
 
+def _labelled(spark, sf):
+    return valid(spark, sf).withColumn("y", (F.col("failure") == "yes").cast("int")).select("row_id", "y", *FEATS)
+
+
+def q_fitted_model(spark, sf):
+    """The stored coefficients that the explanations of the fitted model read."""
+    return rounded(explain.fit_linear(_labelled(spark, sf), FEATS))
+
+
+def q_fitted_shap_importance(spark, sf):
+    rows = _labelled(spark, sf)
+    return rounded(explain.shap_importance(explain.fitted_shap(rows, explain.fit_linear(rows, FEATS)), FEATS))
+
+
+def q_fitted_shap_top3(spark, sf):
+    rows = _labelled(spark, sf)
+    return rounded(explain.shap_top3(explain.fitted_shap(rows, explain.fit_linear(rows, FEATS)), FEATS))
+
+
+REPLICATES = forest.Forest(trees=300, tried=len(FEATS), min_leaf=5, depth=3)
+
+
+def _replicates(spark, sf):
+    return forest.replicate_trees(_labelled(spark, sf), FEATS, REPLICATES)
+
+
+def q_tree_depth(spark, sf):
+    """Mean effective depth of the 300 replicate trees, and how many reach each depth."""
+    t = _replicates(spark, sf)
+    mean = t.agg(F.avg("depth").alias("mean_depth"), F.count("*").alias("trees"))
+    return rounded(t.groupBy("depth").agg(F.count("*").alias("n_trees")).crossJoin(F.broadcast(mean)))
+
+
+def q_importance_three_rankings(spark, sf):
+    """SHAP of the fitted model, univariate AUC and root share of the replicate trees side by side."""
+    rows = _labelled(spark, sf)
+    imp = explain.shap_importance(explain.fitted_shap(rows, explain.fit_linear(rows, FEATS)), FEATS)
+    auc = profile.univariate_auc(valid(spark, sf), SPEC, with_p=False)
+    counts = _replicates(spark, sf).groupBy(F.col("root_attr").alias("attr")).agg(F.count("*").alias("n_root"))
+    every = spark.createDataFrame([(a,) for a in FEATS], "attr string")
+    root = every.join(F.broadcast(counts), "attr", "left").select("attr", (100.0 * F.coalesce("n_root", F.lit(0)) / REPLICATES.trees).alias("pct_root"))
+    return rounded(explain.importance_compare(imp, auc, root))
+
+
 def q_root_stability(spark, sf):
     f = valid(spark, sf).withColumn("y", (F.col("failure") == "yes").cast("int")).select("row_id", "y", *FEATS)
     return rounded(explain.root_stability(f, FEATS, "y", n_boot=300))
@@ -122,6 +166,11 @@ QUERIES = {
     "shap_top3": q_shap_top3,
     "shap_cases": q_shap_cases,
     "importance_compare": q_importance_compare,
+    "fitted_model": q_fitted_model,
+    "fitted_shap_importance": q_fitted_shap_importance,
+    "fitted_shap_top3": q_fitted_shap_top3,
+    "importance_three_rankings": q_importance_three_rankings,
+    "tree_depth": q_tree_depth,
     "root_stability": q_root_stability,
     "required_positives": q_required_positives,
     "required_observations": q_required_observations,

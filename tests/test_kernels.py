@@ -5,8 +5,6 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pyspark.sql import functions as F
-
 from rarefold.functions.ranks import exclusive_prefix, float_bucket, value_prefix
 from rarefold.operators import resample
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import defaultdict, deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,6 +88,8 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
     """Containers and text blocks of a page in order; broken markup is read as far as it goes."""
     nodes, blocks, path = [Node(-1, "", frozenset())], [], [0]
     words: list[str] = []
+    open_at: dict[str, list[int]] = defaultdict(list)  # places of the open elements by tag, so that no tag has to search the path
+    solid = [0]  # places of those that aren't inline
     state = {"link": 0, "linked": 0, "veil": 0}  # veil: place in the path of the outermost element that is not shown
 
     def say(raw: str) -> None:
@@ -106,29 +108,37 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             blocks.append(Block(path[state["veil"] - 1], text, state["linked"]))
         state["linked"] = 0
 
+    def push(tag: str, names: frozenset[str] = frozenset()) -> None:
+        nodes.append(Node(path[-1], tag, names))
+        open_at[tag].append(len(path))
+        if tag not in INLINE:
+            solid.append(len(path))
+        path.append(len(nodes) - 1)
+
+    def last(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
     def cut(k: int) -> None:
+        for node in reversed(path[k:]):
+            open_at[nodes[node].tag].pop()
+        while solid[-1] >= k:
+            solid.pop()
         del path[k:]
         if k <= state["veil"]:
             state["veil"] = 0
 
     def implied(tag: str) -> int:
         """Where a start tag ends open elements that have no end tag, or 0."""
-        tags = [nodes[k].tag for k in path]
-        if "head" in tags and tag not in IN_HEAD:
-            return tags.index("head")
-        if "select" in tags and (tag in CLOSES_P and tag != "hr" or tag in ("input", "textarea")):
-            return tags.index("select")
+        if open_at.get("head") and tag not in IN_HEAD:
+            return open_at["head"][0]
+        if open_at.get("select") and (tag in CLOSES_P and tag != "hr" or tag in ("input", "textarea")):
+            return open_at["select"][0]
         if tag in CLOSES_P:
-            k = len(path) - 1
-            while k and tags[k] in INLINE:
-                k -= 1
-            return k if tags[k] == "p" else 0
+            return solid[-1] if nodes[path[solid[-1]]].tag == "p" else 0
         for ended in ENDS.get(tag, ()):
-            for k in range(len(path) - 1, 0, -1):
-                if tags[k] in ended:
-                    return k
-                if tags[k] in BOUNDS.get(tag, ("table",)):
-                    break
+            k = last(ended)
+            if k and k >= last(BOUNDS.get(tag, ("table",))):
+                return k
         return 0
 
     at, n = 0, len(page)
@@ -158,22 +168,20 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             continue
         if state["veil"]:
             if end:
-                k = next((k for k in range(len(path) - 1, 0, -1) if nodes[path[k]].tag == tag), 0)
+                k = last((tag,))
                 if k and k < state["veil"]:
                     flush()
                     state["link"] = 0
                 if k:
                     cut(k)
             elif tag not in VOID and not rest.endswith("/"):
-                nodes.append(Node(path[-1], tag, frozenset()))
-                path.append(len(nodes) - 1)
+                push(tag)
             continue
         if tag in SKIPPED or (not end and tag not in VOID and hidden(tag, rest)):
             if not end and tag not in VOID and not rest.endswith("/"):
                 if tag not in INLINE:
                     flush()
-                nodes.append(Node(path[-1], tag, frozenset()))
-                path.append(len(nodes) - 1)
+                push(tag)
                 state["veil"] = len(path) - 1
             continue
         if tag == "a":
@@ -185,16 +193,13 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         flush()
         state["link"] = 0
         if end:
-            for k in range(len(path) - 1, 0, -1):
-                if nodes[path[k]].tag == tag:
-                    del path[k:]
-                    break
+            if k := last((tag,)):
+                cut(k)
             continue
         if tag in VOID or rest.endswith("/"):
             continue
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)) if "=" in rest else ""
-        nodes.append(Node(path[-1], tag, frozenset(w.lower() for w in _WORD.findall(names))))
-        path.append(len(nodes) - 1)
+        push(tag, frozenset(w.lower() for w in _WORD.findall(names)))
     flush()
     return nodes, blocks
 

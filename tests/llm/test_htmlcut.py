@@ -108,3 +108,14 @@ def test_letter_shares_are_of_the_whole_block():
     nodes, blocks = htmlcut.parse("<p>" + "a" * 400 + "B" * 200 + "7" * 200)
     x = htmlcut.text_features(nodes, blocks)[0]
     assert x[4] == 0.25 and x[5] == 0.25
+
+
+def test_deep_and_unbalanced_markup_takes_linear_time():
+    """A megabyte of nested, unclosed or stray tags: open elements are found by tag, the path is never searched."""
+    import time
+
+    pages = ["<div>t" * 160_000, "<div>x" * 40_000 + "</section>" * 80_000, "</a></b></div>" * 80_000, "<ul><li>w" * 100_000, "<span hidden>" * 40_000 + "<p>" * 80_000]
+    for page in pages:
+        start = time.process_time()
+        htmlcut.parse(page)
+        assert time.process_time() - start < 20  # two seconds as a rule; the search of the path took half an hour

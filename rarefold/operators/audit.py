@@ -129,16 +129,24 @@ def digit_uniformity(df: DataFrame, attrs: list[str], int_attrs: set[str], alpha
     return x.withColumn("uniform", F.col("p_value") > alpha)
 
 
-def plausibility_verdict(df: DataFrame, attrs: list[str]) -> DataFrame:
-    """D7: 'probably synthetic' iff both strong signatures hold; evidence list."""
+DIGIT_SENTENCE = "last decimal digits are compatible with uniform sampling in every attribute (weak, supporting evidence)"
+
+
+def plausibility_verdict(df: DataFrame, attrs: list[str], int_attrs: set[str] = frozenset()) -> DataFrame:
+    """D7: 'probably synthetic' iff both strong signatures hold; evidence list.
+
+    The digit test never decides; it adds a sentence where every attribute with values is compatible with uniform last digits.
+    """
     c = audit_correlation(df, attrs).select("independent", F.col("evidence").alias("ev_corr"))
     m = audit_missingness(df, attrs).select("suspicious_regularity", "total_nulls")
-    j = c.crossJoin(m)
+    d = digit_uniformity(df, attrs, int_attrs).agg(F.coalesce(F.bool_and("uniform"), F.lit(False)).alias("digits_uniform"))
+    j = c.crossJoin(m).crossJoin(d)  # one row each
     synth = F.col("independent") & F.col("suspicious_regularity")
     return j.select(
         "independent",
         "suspicious_regularity",
+        "digits_uniform",
         synth.alias("probably_synthetic"),
         F.when(synth, F.lit("probably synthetic")).otherwise(F.lit("compatible with real data")).alias("verdict"),
-        F.concat_ws(" | ", F.col("ev_corr"), F.format_string("%d nulls", F.col("total_nulls"))).alias("evidence"),
+        F.concat_ws(" | ", F.col("ev_corr"), F.format_string("%d nulls", F.col("total_nulls")), F.when(F.col("digits_uniform"), F.lit(DIGIT_SENTENCE))).alias("evidence"),
     )

@@ -95,6 +95,17 @@ def naive_medians(df: DataFrame, features: list[str]) -> DataFrame:
     return q.select("attr", F.col("value").alias("median"), F.col("n").alias("n_fit")).join(nulls, "attr")
 
 
+def naive_fill(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """G3 (counter-example): ``keys`` and the features, nulls and NaN filled with the whole table's medians.
+
+    A feature without any value stays null. The medians are one row, broadcast.
+    """
+    wide = naive_medians(df, features).groupBy().pivot("attr", features).agg(F.first("median"))
+    medians = wide.select(*[F.col(f).alias(f"_md_{f}") for f in features])
+    rows = df.select(*keys, *[nan_to_null(F.col(f).cast("double")).alias(f) for f in features])
+    return rows.join(F.broadcast(medians)).select(*keys, *[F.coalesce(f, f"_md_{f}").alias(f) for f in features])
+
+
 def leak_audit(folded: DataFrame, k: int) -> DataFrame:
     """Rows each fold's fit saw vs the table size: must be n (k-1)/k, never n."""
     ex = fold_expansion(folded, k)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from rarefold.functions.columns import nan_to_null
 from rarefold.functions.ranks import value_prefix
-from rarefold.functions.stats import erfc_two_sided_p
+from rarefold.functions.stats import EXACT_GROUP, erfc_two_sided_p, mann_whitney_exact_udf
 from rarefold.spec import DatasetSpec
 
 
@@ -177,7 +177,10 @@ def rank_sums(long: DataFrame, group: list[str], v: str = "v", y: str = "y") ->
 
 def univariate_auc(df: DataFrame, spec: DatasetSpec, with_p: bool = True) -> DataFrame:
     """AUC = U/(n+ n-) per attribute, class means, z of the tie/continuity-corrected
-    normal approximation, two-sided p, direction, significance and rank by distance from 1/2."""
+    normal approximation, two-sided p, direction, significance and rank by distance from 1/2.
+
+    The p-value is exact where no value repeats and the smaller class has at most EXACT_GROUP rows, else that of z.
+    """
     attrs = spec.numeric_attributes()
     y = (F.col(spec.target).cast("string") == spec.positive_label).cast("int")
     base = present(df, attrs).select(y.alias("y"), *[F.col(a).cast("double").alias(a) for a in attrs])
@@ -201,14 +204,17 @@ def univariate_auc(df: DataFrame, spec: DatasetSpec, with_p: bool = True) -> Dat
         (F.col("u") / (n1 * n2)).alias("auc"),
         F.col("u").alias("u"),
         z.alias("z"),
+        "tie",
     )
     # Strongest first; one row an attribute, so this order is a small one
     out = out.withColumn("rank", F.row_number().over(Window.orderBy(F.abs(F.col("auc") - 0.5).desc_nulls_last(), "attr")))
     out = out.withColumn("direction", F.when(F.col("auc") >= 0.5, F.lit("direct")).otherwise(F.lit("inverse")))
     if with_p:
-        out = out.withColumn("p_value", F.least(F.lit(1.0), erfc_two_sided_p(F.greatest(F.col("z"), F.lit(0.0)))))
+        approximate = F.least(F.lit(1.0), erfc_two_sided_p(F.greatest(F.col("z"), F.lit(0.0))))
+        exact = (F.col("tie") == 0) & (F.least("n_pos", "n_neg") <= EXACT_GROUP)
+        out = out.withColumn("p_exact", exact).withColumn("p_value", F.when(exact, mann_whitney_exact_udf("u", "n_pos", "n_neg")).otherwise(approximate))
         out = out.withColumn("significant_5pct", F.col("p_value") < 0.05)
-    return out
+    return out.drop("tie")
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:

@@ -7,7 +7,7 @@ calibration fold), so no fold copy is ever stored or shuffled:
 * preprocessing of every cell (median, mean, sd, class weights) comes from one aggregation by (fold,
   residue, label) and ``brackets.set_quantiles``;
 * logistic models: batched Newton (``linear.fit_logistic``) over an in-flight broadcast expansion;
-* calibrators are fitted for all cells at once, isotonic ones on bounded score bins;
+* calibrators are fitted for all cells at once, isotonic ones exactly (``isotonic``);
 * shallow trees and boosting: Spark ML estimators, one fit per outer fold on a filter of the base rows; the unbounded tree and
   the forest are grown by ``forest``.
 """
@@ -18,14 +18,15 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rarefold.functions.brackets import clean, set_quantiles
 from rarefold.functions.cache import keep
 from rarefold.functions.columns import md5_uniform
-from rarefold.operators import linear
+from rarefold.operators import isotonic, linear
 
 # Model names in report order (dummies first).
 MODEL_NAMES = (
@@ -34,8 +35,8 @@ MODEL_NAMES = (
 )
 # Fixed value: regularisation grid of the nested search.
 C_GRID = (0.01, 0.1, 1.0, 10.0)
-#: Score bins of the isotonic calibrator.
-SCORE_BINS = 4096
+#: Most steps of all isotonic maps of one pass that are broadcast; n rows a map have O(n^(2/3)) at worst, n^(1/3) as a rule.
+MOST_STEPS = 1 << 22
 
 
 def get_model(name: str) -> str:
@@ -275,22 +276,11 @@ def nested_cv(f: Folded, grid=C_GRID, balanced: bool = True) -> tuple[DataFrame,
 
 # ------------------------------------------------------------ calibration
 
-def _pava(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weighted non-decreasing fit."""
-    values, weights, sizes = [], [], []
-    for a, b in zip(y, w, strict=True):
-        values.append(float(a)), weights.append(float(b)), sizes.append(1)
-        while len(values) > 1 and values[-2] >= values[-1]:
-            v = (values[-2] * weights[-2] + values[-1] * weights[-1]) / (weights[-2] + weights[-1])
-            values[-2:], weights[-2:], sizes[-2:] = [v], [weights[-2] + weights[-1]], [sizes[-2] + sizes[-1]]
-    return np.repeat(values, sizes)
+def calibrators(f: Folded, parents: list[Cell], kinds: tuple[str, ...]) -> tuple[dict[Cell, dict], list[list[tuple]]]:
+    """Per parent cell the coefficients of its calibration models and their sigmoids; per parent the isotonic maps of its models.
 
-
-def calibrators(f: Folded, parents: list[Cell], kinds: tuple[str, ...]) -> dict[Cell, dict]:
-    """Per parent cell the coefficients of its calibration models and their sigmoid / isotonic maps.
-
-    All models of all parents are one batch of Newton steps, all sigmoids another; isotonic maps come from
-    one aggregation into SCORE_BINS score bins per cell, read by linear interpolation, ends held.
+    All models of all parents are one batch of Newton steps, all sigmoids another; the isotonic maps of the margin are exact
+    fits of all cells in one job, read by linear interpolation, ends held.
     """
     cells = inner_cells(f, parents)
     prep = fit_prep(f, cells)
@@ -306,14 +296,13 @@ def calibrators(f: Folded, parents: list[Cell], kinds: tuple[str, ...]) -> dict[
         for r in linear.fit_logistic(aim, ["cell"], ["margin"], "t", None, 1.0, penalize=False).collect():
             c = order[r["cell"]]
             more[c] |= {"a0": r["b0"], "a1": r["b1"], "conv": more[c]["conv"] * float(r["converged"])}
+    maps: list = [isotonic.knots(pd.DataFrame())] * len(order)
     if "isotonic" in kinds:
-        s = linear.sigmoid(F.col("margin"))
-        bins = held.withColumn("s", s).groupBy("cell", F.least(F.floor(F.col("s") * SCORE_BINS), F.lit(SCORE_BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("p"), F.avg("s").alias("s")).collect()
-        mid = (np.arange(SCORE_BINS) + 0.5) / SCORE_BINS
-        for i, c in enumerate(order):
-            mine = sorted((r["s"], r["p"] / r["n"], r["n"]) for r in bins if r["cell"] == i)
-            x, y, w = (np.array(v, float) for v in zip(*mine, strict=True)) if mine else (np.zeros(1), np.zeros(1), np.ones(1))
-            more[c]["iso"] = np.interp(mid, x, _pava(x, y, w)).tolist()
+        steps = keep(isotonic.isotonic_blocks(held, "cell", "margin", "y"))
+        if (many := steps.count()) > MOST_STEPS:
+            raise ValueError(f"{many} steps of isotonic maps are too many to broadcast (MOST_STEPS = {MOST_STEPS}); score fewer cells at a time")
+        for i, blocks in steps.toPandas().groupby("cell"):
+            maps[i] = isotonic.knots(blocks)
     out = {}
     for p in parents:
         wide: dict = {}
@@ -324,7 +313,24 @@ def calibrators(f: Folded, parents: list[Cell], kinds: tuple[str, ...]) -> dict[
             wide |= {f"{a}{i}_{j}": float(s[b][i]) for i in range(len(f.feats)) for a, b in (("_md", "median"), ("_mn", "mean"), ("_sd", "sd"))}
         wide["conv"] = min(more[p.child(j)]["conv"] for j in range(f.k_inner if p.inner < 0 else f.k_cal))
         out[p] = wide
-    return out
+    place = {c: i for i, c in enumerate(order)}
+    return out, [[maps[place[p.child(j)]] for j in range(f.k_inner if p.inner < 0 else f.k_cal)] for p in parents]
+
+
+def read_maps(spark: SparkSession, maps: list[list[tuple]], cell: Column, margins: list[Column]) -> Column:
+    """Mean over a cell's calibration models of the isotonic map of each margin."""
+    sent = spark.sparkContext.broadcast(maps)
+
+    @F.pandas_udf(T.DoubleType())
+    def read(cell: pd.Series, margin: pd.DataFrame) -> pd.Series:
+        at, m = cell.to_numpy(), margin.to_numpy()
+        out = np.zeros(len(at))
+        for c in np.unique(at):
+            of = at == c
+            out[of] = np.mean([np.interp(m[of, j], *k) for j, k in enumerate(sent.value[c])], axis=0)
+        return pd.Series(out)
+
+    return read(cell, F.struct(*[x.alias(f"m{j}") for j, x in enumerate(margins)]))
 
 
 def calibrated_scores(f: Folded, parents: list[Cell], kinds: tuple[str, ...], plain: bool = False, balanced: bool = False) -> DataFrame:
@@ -333,7 +339,7 @@ def calibrated_scores(f: Folded, parents: list[Cell], kinds: tuple[str, ...], pl
     ``plain`` / ``balanced`` add the uncalibrated logistic models. One pass over the base rows scores all of them.
     """
     prep = fit_prep(f, parents)
-    more = calibrators(f, parents, kinds) if kinds else {p: {"conv": 1.0} for p in parents}
+    more, maps = calibrators(f, parents, kinds) if kinds else ({p: {"conv": 1.0} for p in parents}, [])
     d = len(f.feats)
     for tag, wanted in (("plain", plain), ("even", balanced)):
         if wanted:
@@ -353,10 +359,11 @@ def calibrated_scores(f: Folded, parents: list[Cell], kinds: tuple[str, ...], pl
     for kind in kinds:
         if kind == "platt":
             each = [linear.sigmoid(F.col(f"a0_{j}") + F.col(f"a1_{j}") * F.col(f"m_{j}")) for j in range(n)]
+            mean = sum(each[1:], each[0]) / n
         else:
-            at = [F.least(F.floor(linear.sigmoid(F.col(f"m_{j}")) * SCORE_BINS), F.lit(SCORE_BINS - 1)).cast("int") + 1 for j in range(n)]
-            each = [F.element_at(F.col(f"iso_{j}"), at[j]) for j in range(n)]
-        scores.append(F.struct(F.lit(f"logistic_plain_{kind}").alias("model"), (sum(each[1:], each[0]) / n).alias("score")))
+            rows = rows.withColumn("iso", read_maps(f.base.sparkSession, maps, F.col("cell"), [F.col(f"m_{j}") for j in range(n)]))
+            mean = F.col("iso")
+        scores.append(F.struct(F.lit(f"logistic_plain_{kind}").alias("model"), mean.alias("score")))
     rows = rows.select("rep", "c_outer", "c_inner", "row_id", "y", "conv", F.explode(F.array(*scores)).alias("s")).select("*", F.col("s.model").alias("model_name"), F.col("s.score").alias("s_score"))
     return _scored(rows, F.col("model_name"), F.col("s_score"))
 

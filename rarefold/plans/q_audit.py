@@ -44,7 +44,7 @@ def q_digit_uniformity(spark, sf):
 
 
 def q_plausibility_verdict(spark, sf):
-    return audit.plausibility_verdict(valid(spark, sf), ATTRS)
+    return audit.plausibility_verdict(valid(spark, sf), ATTRS, INTS)
 
 
 def _mill(spark, sf):
@@ -133,6 +133,11 @@ DIG = """dig AS (
     LEFT JOIN (SELECT lng.attr, CAST(((CAST(round_even(v * power(10.0, decimals), 0) AS BIGINT) % 10) + 10) % 10 AS INTEGER) AS digit, count(*) AS count
                FROM lng JOIN dec ON lng.attr = dec.attr WHERE v IS NOT NULL GROUP BY 1, 2) c
     ON g.attr = c.attr AND g.digit = c.digit)"""
+# 16.918977604620448: the value that chi-square with 9 degrees of freedom exceeds with probability 0.05
+UNIFORM = """uni AS (
+  SELECT coalesce(bool_and(chi2 < 16.918977604620448), false) AS digits_uniform FROM (
+    SELECT d.attr, sum(CASE WHEN n > 0 THEN (count - n / 10.0) ^ 2 / (n / 10.0) END) AS chi2
+    FROM dig d JOIN (SELECT attr, sum(count) AS n FROM dig GROUP BY attr) t ON d.attr = t.attr GROUP BY d.attr))"""
 DL = with_(OBS, TAGGED, VALID, LONG)
 
 ORACLE = {
@@ -150,13 +155,14 @@ ORACLE = {
     + """SELECT d.attr, n, round(sum(CASE WHEN n > 0 THEN (count - n / 10.0) ^ 2 / (n / 10.0) END), 6) AS chi2, any_value(decimals) AS decimals
          FROM dig d JOIN (SELECT attr, sum(count) AS n FROM dig GROUP BY attr) t ON d.attr = t.attr JOIN dec ON d.attr = dec.attr
          GROUP BY d.attr, n""",
-    "plausibility_verdict": with_(OBS, TAGGED, VALID, LONG, MAXR, MISS)
-    + """SELECT coalesce(max_abs_r < 0.15, false) AS independent, equal_per_column AND no_overlap AS suspicious_regularity,
+    "plausibility_verdict": with_(OBS, TAGGED, VALID, LONG, MAXR, MISS, DEC, DIG, UNIFORM)
+    + """SELECT coalesce(max_abs_r < 0.15, false) AS independent, equal_per_column AND no_overlap AS suspicious_regularity, digits_uniform,
                 coalesce(max_abs_r < 0.15, false) AND equal_per_column AND no_overlap AS probably_synthetic,
                 CASE WHEN coalesce(max_abs_r < 0.15, false) AND equal_per_column AND no_overlap THEN 'probably synthetic' ELSE 'compatible with real data' END AS verdict,
                 printf('max |r| = %.4f between %s and %s (%s threshold %.2f)', max_abs_r, attr_a, attr_b,
-                       CASE WHEN coalesce(max_abs_r < 0.15, false) THEN 'below' ELSE 'above' END, 0.15) || ' | ' || printf('%d nulls', total_nulls) AS evidence
-         FROM mr, miss""",
+                       CASE WHEN coalesce(max_abs_r < 0.15, false) THEN 'below' ELSE 'above' END, 0.15) || ' | ' || printf('%d nulls', total_nulls)
+                || CASE WHEN digits_uniform THEN ' | last decimal digits are compatible with uniform sampling in every attribute (weak, supporting evidence)' ELSE '' END AS evidence
+         FROM mr, miss, uni""",
     "engineer_power": with_(OBS, MILL)
     + """SELECT row_id, round(torque_nm * rotational_speed_rpm * (2 * pi()) / 60.0, 6) AS power_w,
                 round(process_temperature_k - air_temperature_k, 6) AS temp_delta_k, round(tool_wear_min * torque_nm, 6) AS wear_x_torque FROM mill""",

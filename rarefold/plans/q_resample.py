@@ -70,6 +70,10 @@ def q_naive_impute(spark, sf):
     return rounded(prep.naive_medians(valid(spark, sf), FEATS))
 
 
+def q_naive_fill(spark, sf):
+    return rounded(prep.naive_fill(valid(spark, sf), FEATS, ["row_id"]))
+
+
 def q_leak_audit(spark, sf):
     return prep.leak_audit(folded(spark, sf), K)
 
@@ -90,6 +94,7 @@ QUERIES = {
     "foldwise_impute": q_foldwise_impute,
     "foldwise_standardize": q_foldwise_standardize,
     "naive_impute": q_naive_impute,
+    "naive_fill": q_naive_fill,
     "leak_audit": q_leak_audit,
     "balanced_weights": q_balanced_weights,
 }
@@ -153,6 +158,12 @@ ORACLE = {
     + """SELECT attr, round(quantile_cont(v, 0.5), 6) AS median, count(v) AS n_fit, count(*) FILTER (WHERE v IS NULL) AS filled FROM (
            SELECT 'qty' AS attr, qty AS v FROM valid UNION ALL SELECT 'price', price FROM valid UNION ALL SELECT 'disc', disc FROM valid
            UNION ALL SELECT 'tax', tax FROM valid UNION ALL SELECT 'line', CAST(line AS DOUBLE) FROM valid) GROUP BY attr""",
+    "naive_fill": with_(OBS, TAGGED, VALID)
+    + """SELECT row_id, round(coalesce(qty, (SELECT quantile_cont(qty, 0.5) FROM valid)), 6) AS qty,
+                round(coalesce(price, (SELECT quantile_cont(price, 0.5) FROM valid)), 6) AS price,
+                round(coalesce(disc, (SELECT quantile_cont(disc, 0.5) FROM valid)), 6) AS disc,
+                round(coalesce(tax, (SELECT quantile_cont(tax, 0.5) FROM valid)), 6) AS tax,
+                round(coalesce(CAST(line AS DOUBLE), (SELECT quantile_cont(CAST(line AS DOUBLE), 0.5) FROM valid)), 6) AS line FROM valid""",
     "leak_audit": FE
     + """SELECT rep, outer_f AS outer, count(*) FILTER (WHERE role = 'train') AS n_fit, count(*) AS n_total,
                 count(*) FILTER (WHERE role = 'train') < count(*) AS leak_free FROM ex GROUP BY ALL""",

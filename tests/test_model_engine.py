@@ -99,11 +99,6 @@ def test_calibrated_scores_are_probabilities_of_all_rows(rows):
     assert err["logistic_plain_platt"] < 0.16 and err["logistic_plain_isotonic"] < 0.16
 
 
-def test_isotonic_fit_is_the_weighted_least_squares_monotone_fit():
-    got = zoo._pava(np.arange(5.0), np.array([1.0, 0, 2, 1, 5]), np.array([1.0, 3, 1, 1, 2]))
-    assert got.tolist() == [0.25, 0.25, 1.5, 1.5, 5.0]
-
-
 def test_separable_data_stays_finite(spark):
     df = spark.createDataFrame([(0, float(i), int(i > 4), 1e8) for i in range(10)], "cell int, a double, y int, C double")
     r = linear.fit_logistic(df, ["cell"], ["a"], "y", None, "C").first()

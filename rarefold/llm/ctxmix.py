@@ -7,10 +7,11 @@ predictions are mixed in the logistic domain with weights chosen by a gate, and
 probability map. Sums of log probabilities give a text's total, and its bits per byte.
 
 Learned from all training texts: exact counts of every token, and bit counts of every hashed context
-(additive, so tasks sum their own and only sums are shuffled), then the mixer's weights, the map and the
-match's hit rates: every task fits its own, online, over all its whole texts, with each text's own bits taken
-out of the counts it sees; their means, by bits seen, start the next round. Scoring goes on from there: each
-text has its own weights and map, updated every ``STEP`` bits from the bits before.
+(additive, so tasks sum their own and only sums are shuffled), then the mixer's first weights, the map and the
+match's hit rates: sums over every bit of all whole texts, with each text's own bits taken out of the counts it
+sees, and Newton steps from them. All of it is additive over texts, so the model is a function of the rows alone,
+however they are dealt. Scoring goes on online from there: each text has its own weights and map, updated every
+``STEP`` bits from the bits before.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from rarefold.llm.common import blocks, checkpointed, map_stream, mix64, table,
 #: Symbols with a path of their own, bits of a context table's slot number, counters of one shuffled row.
 HEAD, TABLE_BITS, CHUNK = 1 << 16, 20, 1 << 10
 FREQUENT = 255
-MIX_ROUNDS, MIX_RATE, STEP = 2, 0.02, 512
+MIX_ROUNDS, MIX_RATE, STEP, PULL = 1, 0.02, 512, 20.0
 #: Bits that the fitted map counts for in every bin while a text refines it.
 MAP_SURE = 256
 #: Tokens whose bits are held at once.
@@ -180,14 +181,17 @@ def bits(s: Stream, code: Code, lo: int, hi: int) -> Bits:
     return Bits(tok, depth, node, code.bit[at], [slots(np.repeat(s.context[k, lo:hi], n), salted) for k in range(TABLES)])
 
 
-def inputs(s: Stream, code: Code, e: Bits, odds: list[np.ndarray], sure: np.ndarray, where: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The mixer's inputs of every bit, and its gate. ``odds``: log-odds at ``where``; ``sure``: confidence of the third table's."""
+def inputs(s: Stream, code: Code, e: Bits, odds: list[np.ndarray], sure: np.ndarray, where: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The mixer's inputs of every bit, and its gate. ``odds``: log-odds at ``where`` (None: of the bits themselves); ``sure``: confidence of the third table's."""
     x = np.zeros((INPUTS, len(e.tok)), np.float32)
     np.take(code.order0, e.node, out=x[0])
     for k in range(TABLES):
-        np.take(odds[k], where[k], out=x[1 + k])
+        if where is None:
+            x[1 + k] = odds[k]
+        else:
+            np.take(odds[k], where[k], out=x[1 + k])
     x[6] = 0.3
-    gate = sure[where[2]].astype(np.int64)
+    gate = (sure if where is None else sure[where[2]]).astype(np.int64)
     some = np.flatnonzero((s.match >= 0)[e.tok])
     if len(some):  # bits of tokens with a match whose path has followed the guess so far
         tok, depth = e.tok[some], e.depth[some]
@@ -286,8 +290,8 @@ class Own:
         self.left = n_bits.copy()
         m = int(long.sum()) + 1
         self.w = np.repeat(model.weights[:, None, :], m, axis=1).reshape(INPUTS, -1)
-        self.fit = model.map.ravel()
-        self.map = np.tile(self.fit, m)
+        self.fit = np.tile(model.map.ravel(), m)
+        self.map = self.fit.copy()
         self.n, self.ones = (np.zeros(len(self.map), np.float32) for _ in range(2))
 
     def code(self, d: np.ndarray, x: np.ndarray, gate: np.ndarray, depth: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -318,8 +322,7 @@ class Own:
         row = place[part] + _bin(z)
         np.add.at(self.n, row, np.float32(1))
         np.add.at(self.ones, row, y.astype(np.float32))
-        row = np.unique(row)
-        self.map[row] = (MAP_SURE * self.fit[row % len(self.fit)] + self.ones[row]) / (MAP_SURE + self.n[row])
+        self.map[row] = (MAP_SURE * self.fit[row] + self.ones[row]) / (MAP_SURE + self.n[row])
 
 
 def _bin(z: np.ndarray) -> np.ndarray:
@@ -327,13 +330,18 @@ def _bin(z: np.ndarray) -> np.ndarray:
 
 
 class Fit:
-    """One task's mixer: weights from ``start``, online over whole texts; the bits seen by each gate; sums of map and matches."""
+    """Sums over whole texts at the weights ``start``: slope and curvature of each gate's log probability, map and match hits.
+
+    A text's sums depend on itself and the counts alone, so neither its task nor its mates matter.
+    """
 
     def __init__(self, code: Code, n0: np.ndarray, n1: np.ndarray, start: np.ndarray):
-        self.coding, self.n0, self.n1, self.w = code, n0, n1, start.copy()
+        self.coding, self.w = code, start
+        self.left = np.stack([n0, n1], axis=-1).astype(np.float32)  # without the bits of the text at hand
+        self.pairs = [t.reshape(-1).view(np.int64) for t in self.left]
+        self.slope, self.curve = np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS, INPUTS))
         self.seen, self.hits, self.tries = np.zeros(GATES), np.zeros(4), np.zeros(4)
         self.map_n, self.map_1 = np.zeros(DEPTHS * MAP_BINS), np.zeros(DEPTHS * MAP_BINS)
-        self.own = np.zeros((TABLES, 2 * n0.shape[1]), np.int32)  # the bits of the text at hand, in every table
 
     def add(self, texts: list[bytes]) -> None:
         code = self.coding
@@ -351,57 +359,63 @@ class Fit:
                 return kept or (bits(s, code, at, min(at + TOKENS, hi)) for at in range(lo, hi, TOKENS))
 
             for e in each():
-                for k in range(TABLES):
-                    np.add.at(self.own[k], 2 * e.slot[k] + e.bit, np.int32(1))
+                self.move(e, np.float32(-1))
             for e in each():
-                self.steps(s, e)
+                if len(e.tok):
+                    self.steps(s, e)
             for e in each():
-                for k in range(TABLES):
-                    self.own[k][2 * e.slot[k] + e.bit] = 0
+                self.move(e, np.float32(1))
+
+    def move(self, e: Bits, by: np.float32) -> None:
+        for k in range(TABLES):
+            np.add.at(self.left[k].reshape(-1), 2 * e.slot[k] + e.bit, by)
 
     def steps(self, s: Stream, e: Bits) -> None:
         odds = []
         for k in range(TABLES):
-            at = e.slot[k]
-            zeros, ones = np.maximum(self.n0[k][at] - self.own[k][2 * at], 0), np.maximum(self.n1[k][at] - self.own[k][2 * at + 1], 0)
-            odds.append(np.log((ones + SOFT) / (zeros + SOFT)).astype(np.float32))
+            n = np.maximum(self.pairs[k][e.slot[k]].view(np.float32).reshape(-1, 2), 0)
+            odds.append(np.log((n[:, 1] + np.float32(SOFT)) / (n[:, 0] + np.float32(SOFT))))
             if k == 2:
-                sure = _sure(zeros + ones)
-        x, gate = inputs(s, self.coding, e, odds, sure, [np.arange(len(e.tok))] * TABLES)
-        depth = np.minimum(e.depth, DEPTHS - 1) * MAP_BINS
-        zs = np.zeros(len(e.tok), np.float32)
-        for lo in range(0, len(e.tok), STEP):
-            part = slice(lo, lo + STEP)
-            g, xs = gate[part], x[:, part]
-            zs[part] = z = (self.w[:, g] * xs).sum(0)
-            error = e.bit[part] - 1 / (1 + np.exp(-np.clip(z, -20, 20)))
-            n = np.bincount(g, minlength=GATES)
-            per = MIX_RATE / np.maximum(n, 1) ** 0.5
-            for i in range(INPUTS):
-                self.w[i] += np.bincount(g, error * xs[i], GATES) * per
-        self.seen += np.bincount(gate, minlength=GATES)
-        row = depth + _bin(zs)
+                sure = _sure(n[:, 0] + n[:, 1])
+        x, gate = inputs(s, self.coding, e, odds, sure, None)
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        x, bit, ends = x[:, order], e.bit[order], np.cumsum(np.bincount(gate, minlength=GATES))
+        z = np.empty(len(order), np.float32)
+        for g, (lo, hi) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)):
+            if lo < hi:
+                xs = x[:, lo:hi]
+                z[lo:hi] = zs = self.w[:, g] @ xs
+                p = 1 / (1 + np.exp(-np.clip(zs, -20, 20)))
+                self.slope[g] += xs @ (bit[lo:hi] - p)
+                self.curve[g] += (xs * (p * (1 - p))) @ xs.T
+        self.seen += np.diff(np.r_[0, ends])
+        row = np.minimum(e.depth[order], DEPTHS - 1) * MAP_BINS + _bin(z)
         self.map_n += np.bincount(row, minlength=len(self.map_n))
-        self.map_1 += np.bincount(row, e.bit, len(self.map_1))
+        self.map_1 += np.bincount(row, bit, len(self.map_1))
 
     def sums(self) -> np.ndarray:
         """All that tasks add up, in one row."""
-        return np.r_[(self.w * self.seen).ravel(), self.seen, self.hits, self.tries, self.map_n, self.map_1]
+        return np.r_[self.slope.ravel(), self.curve.ravel(), self.seen, self.hits, self.tries, self.map_n, self.map_1]
+
+
+SUMS = np.cumsum([GATES * INPUTS, GATES * INPUTS * INPUTS, GATES, 4, 4, DEPTHS * MAP_BINS, DEPTHS * MAP_BINS])
 
 
 def _first_weights() -> np.ndarray:
     w = np.zeros((INPUTS, GATES), np.float32)
-    w[0], w[1:5], w[5] = 0.2, 0.25, 0.5
+    w[0], w[1:5], w[5] = 0.2, 0.25, 2.0
     return w
 
 
-def _mean_weights(sums: np.ndarray, start: np.ndarray) -> np.ndarray:
-    n = sums[INPUTS * GATES :][:GATES]
-    return np.where(n > 0, sums[: INPUTS * GATES].reshape(INPUTS, GATES) / np.maximum(n, 1), start).astype(np.float32)
+def _next_weights(sums: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """One Newton step of every gate; ``PULL`` bits hold a weight where it is, so that a gate with few bits hardly moves."""
+    slope, curve = sums[: SUMS[0]].reshape(GATES, INPUTS), sums[SUMS[0] : SUMS[1]].reshape(GATES, INPUTS, INPUTS)
+    step = np.linalg.solve(curve + PULL * np.eye(INPUTS), slope[..., None])[..., 0]
+    return (start + np.clip(step, -1, 1).T).astype(np.float32)
 
 
 def _model(code: Code, n0: np.ndarray, n1: np.ndarray, w: np.ndarray, sums: np.ndarray) -> Model:
-    hits, tries, map_n, map_1 = np.split(sums[(INPUTS + 1) * GATES :], np.cumsum([4, 4, DEPTHS * MAP_BINS]))
+    hits, tries, map_n, map_1 = np.split(sums, SUMS[:-1])[3:]
     centre = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, MAP_BINS))), DEPTHS)
     apm = np.clip((map_1 + 20 * centre) / (map_n + 20), 1e-4, 1 - 1e-4).reshape(DEPTHS, MAP_BINS)
     odds, sure = zip(*(_strengths(n0[k], n1[k]) for k in range(TABLES)), strict=True)
@@ -414,14 +428,14 @@ def fit_mixer(texts: list[bytes], code: Code, n0: np.ndarray, n1: np.ndarray) ->
     for _ in range(MIX_ROUNDS):
         fit = Fit(code, n0, n1, w)
         fit.add(texts)
-        w = _mean_weights(fit.sums(), w)
+        w = _next_weights(fit.sums(), w)
     return _model(code, n0, n1, w, fit.sums())
 
 
 def fit_mixers(docs: DataFrame, code: Code, n0: np.ndarray, n1: np.ndarray) -> Model:
-    """Each task fits over all its texts; what they add up is exact decimals, so that the order of tasks does not matter."""
+    """The model of all rows: tasks add up their texts' sums, as decimals, so neither their number nor their order matters."""
     sent = docs.sparkSession.sparkContext.broadcast((code, n0, n1))
-    w, size = _first_weights(), (INPUTS + 1) * GATES + 8 + 2 * DEPTHS * MAP_BINS
+    w, size = _first_weights(), int(SUMS[-1])
     sums = np.zeros(size)
     for _ in range(MIX_ROUNDS):
 
@@ -437,7 +451,7 @@ def fit_mixers(docs: DataFrame, code: Code, n0: np.ndarray, n1: np.ndarray) -> M
         sums = np.zeros(size)
         for r in map_stream(docs.select("text"), run, "i int, v double").groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,6)")).cast("double").alias("v")).collect():
             sums[r.i] = r.v
-        w = _mean_weights(sums, w)
+        w = _next_weights(sums, w)
     sent.destroy()
     return _model(code, n0, n1, w, sums)
 

@@ -87,7 +87,7 @@ def test_every_training_text_shapes_the_mixer_to_its_end(spark):
     real = ctxmix._model
 
     def spy(code, n0, n1, w, sums):
-        seen.append((sums[ctxmix.INPUTS * ctxmix.GATES :][: ctxmix.GATES].sum(), int((code.length * code.counts)[:-1].sum())))
+        seen.append((sums[ctxmix.SUMS[1] : ctxmix.SUMS[2]].sum(), int((code.length * code.counts)[:-1].sum())))
         return real(code, n0, n1, w, sums)
 
     ctxmix._model = spy
@@ -110,3 +110,122 @@ def test_scoring_adapts_along_a_text_and_not_to_its_mates():
     mates = [b"w1 w2", odd, b"", b" ".join(words * 900), odd]
     got = ctxmix.score_texts(mates, model)[0]
     assert abs(got[1] - alone) < 1e-6 * abs(alone) and abs(got[4] - alone) < 1e-6 * abs(alone)
+
+
+def places(text, code):
+    """Per token of a text: (hash, symbol, contexts, place of its match or None, class of the match's run)."""
+    toks, tails = [], []
+    for w in words(text)[:-1]:
+        tail = []
+        toks.append(int(ctxmix.word_hashes([w], tail)[0][0]))
+        tails.append(int(np.concatenate(tail)[0]))
+    toks.append(int(ctxmix.END))
+    syms = [int(code.symbols(np.array([t], np.uint64))[0]) for t in toks]
+    rare, out, seen, run = len(code.counts) - 1, [], {}, 0
+    for i, t in enumerate(toks):
+        before = [j for j in range(i) if syms[j] < min(ctxmix.FREQUENT, rare)]
+        two = (toks[i - 1] if i else None, toks[i - 2] if i > 1 else None)
+        one, other = np.uint64(two[0] or 0), np.uint64(two[1] or 0)
+        with np.errstate(over="ignore"):
+            frequent, tail = np.uint64(syms[before[-1]] + 1 if before else 0), np.uint64(tails[i - 1] if i else 0)
+            context = [frequent * ctxmix._A + np.uint64(1), tail * ctxmix._A + np.uint64(2), one + np.uint64(3), ctxmix.mix64(np.array([one * ctxmix._A + other]))[0] + np.uint64(4)]
+            context = [ctxmix.mix64(np.array([c]))[0] for c in context]
+        match = seen.get(two) if i >= 2 else None
+        run = run + 1 if match is not None and out[-1][3] is not None and match == out[-1][3] + 1 else 0
+        out.append((t, syms[i], context, match, 0 if match is None else 1 + (run >= 2) + (run >= 8)))
+        seen[two] = i
+    return out
+
+
+def steps(place, code, counts, own):
+    """(inputs, gate, depth, bit, keys) of every bit, with counts less the text's own."""
+    path = lambda sym: [(int(code.node[code.offset[sym] + d]), int(code.bit[code.offset[sym] + d])) for d in range(code.length[sym])]
+    for _, sym, context, match, run in place:
+        for depth, (node, bit) in enumerate(path(sym)):
+            keys = [(k, int(ctxmix.slots(np.array([c]), np.array([node], np.uint64) * ctxmix._B)[0])) for k, c in enumerate(context)]
+            n = [[counts[k, b] - own[k, b] for b in (0, 1)] for k in keys]
+            sure = sum(sum(n[2]) > t for t in (0, 3, 30))
+            x = [float(code.order0[node]), *[math.log((b + ctxmix.SOFT) / (a + ctxmix.SOFT)) for a, b in n], 0.0, 0.3]
+            if match is not None:
+                guess = path(place[match][1])
+                if depth < len(guess) and guess[depth][0] == node:
+                    x[5], sure = 2.0 * guess[depth][1] - 1, sure + 4 * run
+            yield np.array(x), sure, min(depth, ctxmix.DEPTHS - 1), bit, keys
+
+
+def brute(train, score, code, vocabulary, w):
+    """Scores bit by bit; of the operator only the code, the hashes and the slots."""
+    counts, hits, tries = Counter(), [0] * 4, [0] * 4
+    rare = len(code.counts) - 1
+    of = [places(t, code) for t in train]
+    own = [Counter((k, bit) for *_, bit, keys in steps(p, code, Counter(), Counter()) for k in keys) for p in of]
+    for o in own:
+        counts.update(o)
+    slope, curve = np.zeros((ctxmix.GATES, ctxmix.INPUTS)), np.zeros((ctxmix.GATES, ctxmix.INPUTS, ctxmix.INPUTS))
+    tally = np.zeros((ctxmix.DEPTHS, ctxmix.MAP_BINS, 2))
+    bin_of = lambda z: int(np.rint((np.clip(z, -8, 8) + 8) * 2))
+    for p, o in zip(of, own):
+        for x, g, d, bit, _ in steps(p, code, counts, o):
+            z = w[:, g] @ x
+            q = 1 / (1 + math.exp(-z))
+            slope[g] += (bit - q) * x
+            curve[g] += q * (1 - q) * np.outer(x, x)
+            tally[d, bin_of(z), bit] += 1
+        for t, sym, _, match, run in p:
+            if sym == rare and match is not None and p[match][1] == rare:
+                tries[run] += 1
+                hits[run] += p[match][0] == t
+    w = w + np.array([np.clip(np.linalg.solve(curve[g] + ctxmix.PULL * np.eye(ctxmix.INPUTS), slope[g]), -1, 1) for g in range(ctxmix.GATES)]).T
+    centre = 1 / (1 + np.exp(-np.linspace(-8, 8, ctxmix.MAP_BINS)))
+    fit = np.clip((tally[..., 1] + 20 * centre) / (tally.sum(-1) + 20), 1e-4, 1 - 1e-4)
+    hit = [min(max((h + 0.5) / (t + 1), 1e-3), 0.999) for h, t in zip(hits, tries)]
+    rare_total = code.total - int(code.counts[:-1].sum())
+    share = rare_total + code.kinds - len(code.hashes) + 1
+    out = []
+    for text in score:
+        p, total, mine, table, seen, held = places(text, code), 0.0, w.copy(), fit.copy(), np.zeros((*fit.shape, 2)), []
+        todo = list(steps(p, code, counts, Counter()))
+        for i, (x, g, d, bit, _) in enumerate(todo):
+            z = float(mine[:, g] @ x)
+            at = (np.clip(z, -7.99, 7.99) + 8) * 2
+            low = int(at)
+            q = 0.5 / (1 + math.exp(-np.clip(z, -7.99, 7.99))) + 0.5 * (table[d, low] * (1 - at + low) + table[d, low + 1] * (at - low))
+            total += math.log(q if bit else 1 - q)
+            held.append((x, g, d, bit, z))
+            if len(held) == ctxmix.STEP and i + 1 < len(todo):
+                size = Counter(h[1] for h in held)
+                for x, g, d, bit, z in held:
+                    mine[:, g] += ctxmix.MIX_RATE / math.sqrt(size[g]) * (bit - 1 / (1 + math.exp(-z))) * x
+                    seen[d, bin_of(z), bit] += 1
+                n = seen.sum(-1)
+                table, held = np.where(n > 0, (ctxmix.MAP_SURE * fit + seen[..., 1]) / (ctxmix.MAP_SURE + n), fit), []
+        for t, sym, _, match, run in p:
+            if sym == rare:
+                asked = match is not None and p[match][1] == rare
+                told = asked and p[match][0] == t
+                total += math.log(hit[run]) if told else math.log(1 - hit[run]) if asked else 0
+                total += 0 if told else math.log((vocabulary.get(t, 0) + 1) / share)
+        out.append(total / math.log(10))
+    return out
+
+
+def test_scores_equal_brute_force_and_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(ctxmix.head_words, "__defaults__", (60,))
+    rng = np.random.default_rng(8)
+    names = ["w%d" % i for i in rng.zipf(1.4, 4000) % 300]
+    rows = [(i, " ".join(names[40 * i : 40 * i + 40])) for i in range(24)]
+    rows += [(100, " ".join(names[1000:1400] + names[1100:1300] * 2)), (101, " ".join(["w1 w2 w250"] * 120)), (102, ""), (103, None), (104, rows[3][1])]
+    rows += [(200 + i, rows[5 + i][1] + " w299 neu " + rows[2][1]) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for parts in (1, 2, 7):
+        dealt = docs.repartition(parts, "doc_id")
+        model, vocabulary = ctxmix.learn(dealt)
+        got.append({r.doc_id: r.score for r in ctxmix.score(dealt, model, vocabulary).collect()})
+    assert max(abs(g[i] - got[0][i]) / max(1, abs(g[i])) for g in got for i in got[0]) < 1e-7  # single precision
+    taught = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    known = {r.h % 2**64: r.c for r in vocabulary.collect()}
+    want = brute(taught, [t for _, t in rows], model.code, known, ctxmix._first_weights().astype(float))
+    assert len(model.code.hashes) <= 60 and min(want) < -100
+    for (i, _), v in zip(rows, want):
+        assert abs(got[0][i] - v) < 1e-4 * max(1, abs(v)), i

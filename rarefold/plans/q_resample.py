@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rarefold.operators import prep, resample
+from rarefold.operators import bootstrap, prep, resample
 from rarefold.plans.common import rounded, valid
 from rarefold.plans.oracle_base import OBS, TAGGED, VALID, with_
 from rarefold.spec import OBS as SPEC
@@ -82,12 +82,17 @@ def q_balanced_weights(spark, sf):
     return rounded(prep.balanced_weights(folded(spark, sf), "failure", K))
 
 
+def q_exact_bootstrap(spark, sf):
+    return bootstrap.exact_totals(valid(spark, sf), "failure").select("b", "failure", "n_class", "draws")
+
+
 QUERIES = {
     "stratified_folds": q_stratified_folds,
     "repeated_folds": q_repeated_folds,
     "nested_folds": q_nested_folds,
     "stratified_holdout": q_stratified_holdout,
     "stratified_bootstrap": q_stratified_bootstrap,
+    "exact_bootstrap": q_exact_bootstrap,
     "learning_subsets": q_learning_subsets,
     "fold_expansion": q_fold_expansion,
     "fold_audit": q_fold_audit,
@@ -135,6 +140,9 @@ ORACLE = {
     + """SELECT row_id, failure, CASE WHEN rank0 < floor(n_c * 7 / 10) THEN 'train' ELSE 'test' END AS split FROM (
            SELECT row_id, failure, row_number() OVER (PARTITION BY failure ORDER BY md5(concat_ws('|', 42, 'holdout', row_id)), row_id) - 1 AS rank0,
                   count(*) OVER (PARTITION BY failure) AS n_c FROM valid)""",
+    "exact_bootstrap": with_(OBS, TAGGED, VALID)
+    + """SELECT CAST(b AS INTEGER) AS b, failure, count(*) AS n_class, count(*) AS draws FROM valid, range(300) t(b)
+         WHERE failure IS NOT NULL GROUP BY b, failure""",
     "stratified_bootstrap": with_(OBS, TAGGED, VALID)
     + f"""SELECT b, failure, count(*) AS n_class, CAST(sum(w) AS BIGINT) AS draws, count(*) FILTER (WHERE w > 0) AS rows_drawn, max(w) AS max_w FROM (
            SELECT CAST(b AS INTEGER) AS b, failure, {_POIS} AS w FROM (

@@ -18,11 +18,14 @@ from rarefold.operators.resample import fold_expansion
 
 
 def exact_quantiles_counted(cnt: DataFrame, group: list[str], qs: list[float], v: str = "v", c: str = "c") -> DataFrame:
-    """Linear-interpolated quantiles from (group..., v, c) value counts (c > 0)."""
+    """Linear-interpolated quantiles from (group..., v, c) value counts (c > 0).
+
+    Groups are attributes, classes or cells, never data: their totals, one row each, are broadcast, so no group's values meet in a task.
+    """
     pre = value_prefix(cnt, group, v, [c])
-    tot = cnt.groupBy(*group).agg(F.sum(c).alias("n"))
+    tot = pre.groupBy(*group).agg(F.sum(c).alias("n"))
     qarr = F.array(*[F.lit(float(q)) for q in qs])
-    x = pre.join(tot, on=group).select(*group, v, c, F.col(f"{c}_before").alias("cb"), "n", F.explode(qarr).alias("q"))
+    x = pre.join(F.broadcast(tot), on=group).select(*group, v, c, F.col(f"{c}_before").alias("cb"), "n", F.explode(qarr).alias("q"))
     pos = F.col("q") * (F.col("n") - 1)
     x = x.withColumn("lo", F.floor(pos)).withColumn("hi", F.ceil(pos)).withColumn("frac", pos - F.floor(pos))
     hit_lo = (F.col("cb") <= F.col("lo")) & (F.col("lo") < F.col("cb") + F.col(c))

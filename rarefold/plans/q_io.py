@@ -6,12 +6,13 @@ import os
 
 from pyspark.sql import functions as F
 
-from rarefold.operators import contract, profile
-from rarefold.plans.common import obs
+from rarefold.operators import contract, explain, profile
+from rarefold.plans.common import obs, rounded, valid
 from rarefold.plans.oracle_base import OBS, TAGGED, with_
 from rarefold.sources import bindings, io
 from rarefold.spec import OBS as SPEC
 from rarefold.streaming.contract_stream import start_contract_stream
+from rarefold.streaming.row_stream import score, start_row_stream
 
 
 def q_scan_contract_csv(spark, sf):
@@ -82,29 +83,42 @@ def q_report_readback(spark, sf):
     return back.unionByName(missing)
 
 
+def _observations(stream):
+    return stream.select(
+        bindings.row_key().alias("row_id"),
+        F.col("l_quantity").alias("qty"),
+        F.when((F.col("l_linenumber") == 7) & (F.col("l_discount") == 0), F.lit(None).cast("double")).otherwise(F.col("l_extendedprice")).alias("price"),
+        F.col("l_discount").alias("disc"),
+        F.col("l_tax").alias("tax"),
+        F.col("l_linenumber").cast("int").alias("line"),
+        bindings.failure_label().alias("failure"),
+    )
+
+
 def q_stream_contract(spark, sf):
     """Streaming: lineitem read as a stream, contract applied per micro-batch, sinks read back."""
     schema = bindings.table(spark, sf, "lineitem").schema
     out = io.new_path(spark, "stream")
 
-    def derive(stream):
-        return stream.select(
-            bindings.row_key().alias("row_id"),
-            F.col("l_quantity").alias("qty"),
-            F.when((F.col("l_linenumber") == 7) & (F.col("l_discount") == 0), F.lit(None).cast("double")).otherwise(F.col("l_extendedprice")).alias("price"),
-            F.col("l_discount").alias("disc"),
-            F.col("l_tax").alias("tax"),
-            F.col("l_linenumber").cast("int").alias("line"),
-            bindings.failure_label().alias("failure"),
-        )
-
-    start_contract_stream(spark, sf, schema, derive, SPEC, out, glob="lineitem.parquet")
+    start_contract_stream(spark, sf, schema, _observations, SPEC, out, glob="lineitem.parquet")
     valid = spark.read.parquet(os.path.join(out, "valid")).agg(F.count(F.lit(1)).alias("n_valid"))
     bad = spark.read.parquet(os.path.join(out, "quarantine")).agg(F.count(F.lit(1)).alias("n_quarantined"))
     return valid.crossJoin(bad)
 
 
+def q_stream_scores(spark, sf):
+    """Streaming: valid rows of lineitem scored by the stored coefficients of the fitted logistic model."""
+    rows = valid(spark, sf).withColumn("y", (F.col("failure") == "yes").cast("int")).select("row_id", "y", *SPEC.features)
+    stored, out = io.new_path(spark, "model"), io.new_path(spark, "scores")
+    explain.fit_linear(rows, list(SPEC.features)).write.mode("overwrite").parquet(stored)
+    model = spark.read.parquet(stored)
+    schema = bindings.table(spark, sf, "lineitem").schema
+    start_row_stream(spark, sf, schema, lambda s: score(_observations(s), model, SPEC), out, glob="lineitem.parquet")
+    return rounded(spark.read.parquet(os.path.join(out, "rows")).select("row_id", "margin", "score"))
+
+
 QUERIES = {
+    "stream_scores": q_stream_scores,
     "scan_contract_csv": q_scan_contract_csv,
     "type_violations": q_type_violations,
     "scan_contract_dirty": q_scan_contract_dirty,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rarefold.functions.cache import keep
 from rarefold.functions.columns import wilson
 from rarefold.operators import decision
 from rarefold.spec import CostMatrix
@@ -17,7 +18,7 @@ def dataset_comparison(scored: DataFrame, costs: CostMatrix = CostMatrix()) -> D
     ``half`` (0 / 1) splits each dataset: a half is decided with the threshold chosen on the other one, so no
     row is scored with a threshold it helped to choose. ``threshold`` is the median of the two."""
     train = scored.select("dataset", (1 - F.col("half")).alias("half"), "y", "score")
-    opt = decision.optimal_threshold(train, ["dataset", "half"], costs).select("dataset", "half", F.col("optimal_threshold").alias("t"))
+    opt = keep(decision.optimal_threshold(train, ["dataset", "half"], costs).select("dataset", "half", F.col("optimal_threshold").alias("t")))  # read twice, a row a half
     j = scored.join(F.broadcast(opt), ["dataset", "half"])
     d = (F.col("score") >= F.col("t")).cast("int")
     d5 = (F.col("score") >= 0.5).cast("int")

@@ -12,8 +12,8 @@ coarse key (the *bucket*):
 Step 3 is partitioned by (group, bucket), so a group's rows spread over many
 tasks.  The answer equals the single-window answer exactly.
 
-``exclusive_prefix`` takes the bucket from its caller (hashes: evenly spread whatever the data).  ``value_prefix`` orders by
-values, whose spread only the data know: there the splitters are those of a range partitioning, which Spark samples.
+``exclusive_prefix`` takes the bucket from its caller, ``hash_rank`` that of an md5 (evenly spread whatever the data).  ``value_prefix``
+orders by values, whose spread only the data know: there the splitters are those of a range partitioning, which Spark samples.
 """
 
 from __future__ import annotations
@@ -90,6 +90,34 @@ def exclusive_prefix(
     return keep(out.drop("_bkt", *[f"_o_{c}" for c in sums]))
 
 
+#: Leading hex digits of a hash that make its bucket in ``hash_rank``: 4096 buckets a part.
+HASH_DIGITS = 3
+
+
+def hash_rank(df: DataFrame, part: Sequence[str], h: Column, sums: Sequence[str] = (), out: str = "rank0", suffix: str = "_before") -> DataFrame:
+    """Add ``out``, the 0-based place of each row inside ``part`` by the md5 ``h``, and for each of ``sums`` what its earlier rows add up to.
+
+    ``h`` must be the md5 of a row's whole key, so that rows of equal hash have equal keys; rows with a null in ``part`` take no part.
+    Hashes are spread evenly: the rows of each leading piece are counted first (map-side; 4096 rows a part, broadcast), then one shuffle
+    brings every piece together. Nothing is stored, so only the columns that a query reads on are shuffled, and the hash travels as
+    16 bytes. Whoever reads the result more than once keeps the columns it needs.
+    """
+    part, sums = list(part), list(sums)
+    x = df.withColumn("_md5", h)
+    x = x.withColumns({"_bkt": F.conv(F.substring("_md5", 1, HASH_DIGITS), 16, 10).cast("int"), "_h": F.unhex("_md5")}).drop("_md5")
+    totals = x.groupBy(*part, "_bkt").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_t_{c}") for c in sums])
+    earlier = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    below = {"_o": "_n"} | {f"_o_{c}": f"_t_{c}" for c in sums}
+    offsets = totals.select(*part, "_bkt", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(o) for o, c in below.items()])
+    inside = Window.partitionBy(*part, "_bkt").orderBy("_h")
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # sums up to and with the row, less the row itself: such a frame needs no look back
+    own = {out: F.row_number().over(inside) - 1} | {f"{c}{suffix}": F.sum(c).over(running) - F.col(c) for c in sums}
+    ranked = x.withColumns(own).join(F.broadcast(offsets), [*part, "_bkt"])
+    done = {out: (F.col(out) + F.col("_o")).cast("long")} | {f"{c}{suffix}": F.col(f"{c}{suffix}") + F.col(f"_o_{c}") for c in sums}
+    return ranked.withColumns(done).drop("_bkt", "_h", *below)
+
+
 def value_prefix(df: DataFrame, part: Sequence[str], value: str, sums: Sequence[str], descending: bool = False, suffix: str = "_before") -> DataFrame:
     """Add ``<c><suffix>`` = sum of ``c`` over rows of the same ``part`` with a strictly earlier ``value`` (unique within ``part``).
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rarefold.functions.brackets import clean, set_ranks
+from rarefold.functions.cache import keep
 from rarefold.functions.columns import nan_to_null
 from rarefold.functions.ranks import value_prefix
 from rarefold.operators.resample import fold_expansion
@@ -44,10 +45,17 @@ def _outer_sets(folded: DataFrame, k: int) -> dict:
     return {(rep, o): (lambda g, rep=rep, o=o: g[0] == rep and g[1] != o) for rep in reps for o in range(k)}
 
 
+def _narrow(folded: DataFrame, features: list[str]) -> DataFrame:
+    """Fold and features only, stored: every pass reads them; none reads the keys that dealt the folds."""
+    rows = folded.select("rep", "fold", *[clean(F.col(f)).alias(f) for f in features])
+    return rows if folded.is_cached else keep(rows)
+
+
 def foldwise_medians(folded: DataFrame, features: list[str], k: int) -> DataFrame:
     """G1: (rep, outer, attr, median, n_fit) -- median of each feature over the outer fold's train rows.
 
     Train rows are unions of folds: ``brackets.set_ranks`` counts each fold once, no row is copied."""
+    folded = _narrow(folded, features)
     sets = _outer_sets(folded, k)
     found, sizes = set_ranks(folded, ["rep", "fold"], features, sets, lambda _, n: [(n - 1) // 2, n // 2])
     rows = [(rep, o, a, (found[(rep, o), a, (n - 1) // 2] + found[(rep, o), a, n // 2]) / 2, n) for rep, o in sets for a in features if (n := sizes.get(((rep, o), a), 0))]
@@ -67,8 +75,8 @@ def impute(folded_expanded: DataFrame, medians: DataFrame, features: list[str])
 
 def foldwise_standardize(folded: DataFrame, features: list[str], k: int) -> DataFrame:
     """(rep, outer, attr, mean, sd) of the imputed train rows, population sd, 0 -> 1."""
-    med = {(r["rep"], r["outer"], r["attr"]): r["median"] for r in foldwise_medians(folded, features, k).collect()}
-    x = folded.select("rep", "fold", *[clean(F.col(f)).alias(f) for f in features])
+    x = folded = _narrow(folded, features)
+    med = {(r["rep"], r["outer"], r["attr"]): r["median"] for r in foldwise_medians(x, features, k).collect()}
     mid = x.agg(*[F.coalesce(F.avg(f), F.lit(0.0)).alias(f) for f in features]).first()
     aggs = [F.count("*").alias("_n")]
     for f in features:

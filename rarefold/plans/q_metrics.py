@@ -26,11 +26,11 @@ def base_folds(spark, sf):
     v = valid(spark, sf).select("row_id", "failure", "line", "qty", "disc")  # what the kernel stores
     f = resample.stratified_folds(v, "failure", k=K, seed=42)
     y = (F.col("failure") == "yes").cast("int")
-    f = f.select(
+    f = keep(f.select(
         "row_id", "rep", "fold", "line", y.alias("y"),
         F.round(1 / (1 + F.exp(-(F.lit(-5.5) + 0.08 * F.col("qty") + 25 * F.col("disc")))), 4).alias("s_logit"),
         F.round(1 / (1 + F.exp(-(F.lit(-4.5) + 20 * F.col("disc")))), 4).alias("s_disc"),
-    )
+    ))
     per = f.groupBy("rep", "fold").agg(F.count(F.lit(1)).alias("n_f"), F.sum("y").alias("p_f"))
     tot = per.groupBy("rep").agg(F.sum("n_f").alias("n_all"), F.sum("p_f").alias("p_all"))
     prev = per.join(tot, "rep").select("rep", "fold", ((F.col("p_all") - F.col("p_f")) / (F.col("n_all") - F.col("n_f"))).alias("train_prev"))
@@ -40,7 +40,7 @@ def base_folds(spark, sf):
 def scored_models(spark, sf, models=None):
     """(model, rep, fold, row_id, line, y, score, pred) for the four fixed models (or the named ones), out of fold.
 
-    One pass over the folded rows: the models are an array of each row, not branches of a union."""
+    One pass over the stored folded rows: the models are an array of each row, not branches of a union, and are made in flight."""
     maj = (F.col("train_prev") > 0.5).cast("int")
     u = md5_uniform(F.lit("42"), F.lit("strat"), F.col("rep").cast("string"), F.col("fold").cast("string"), F.col("row_id"))
     strat = (u < F.col("train_prev")).cast("int")
@@ -52,7 +52,7 @@ def scored_models(spark, sf, models=None):
     }
     each = [F.struct(F.lit(m).alias("model"), made[m][0].alias("score"), made[m][1].alias("pred")) for m in models or made]
     out = base_folds(spark, sf).select("rep", "fold", "row_id", "line", "y", F.explode(F.array(*each)).alias("m"))
-    return keep(out.select("m.model", "rep", "fold", "row_id", "line", "y", "m.score", "m.pred"))
+    return out.select("m.model", "rep", "fold", "row_id", "line", "y", "m.score", "m.pred")
 
 
 def _fm(spark, sf):

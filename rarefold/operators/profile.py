@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from rarefold.functions.columns import nan_to_null
 from rarefold.functions.ranks import value_prefix
 from rarefold.functions.stats import EXACT_GROUP, erfc_two_sided_p, mann_whitney_exact_udf
+from rarefold.operators.prep import exact_quantiles_counted
 from rarefold.spec import DatasetSpec
 
 
@@ -32,22 +33,7 @@ def exact_quantiles(long: DataFrame, group: list[str], qs: list[float], v: str =
 
     Returns (group..., q, value, n).  Nulls are ignored.
     """
-    cnt = long.filter(F.col(v).isNotNull()).groupBy(*group, v).agg(F.count(F.lit(1)).alias("c"))
-    pre = value_prefix(cnt, group, v, ["c"])
-    tot = cnt.groupBy(*group).agg(F.sum("c").alias("n"))
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
-    x = pre.join(tot, on=group, how="inner").select(*group, v, "c", "c_before", "n", F.explode(qarr).alias("q"))
-    pos = F.col("q") * (F.col("n") - 1)
-    x = x.withColumn("lo", F.floor(pos)).withColumn("hi", F.ceil(pos)).withColumn("frac", pos - F.floor(pos))
-    hit_lo = (F.col("c_before") <= F.col("lo")) & (F.col("lo") < F.col("c_before") + F.col("c"))
-    hit_hi = (F.col("c_before") <= F.col("hi")) & (F.col("hi") < F.col("c_before") + F.col("c"))
-    sel = x.filter(hit_lo | hit_hi).groupBy(*group, "q").agg(
-        F.max(F.when(hit_lo, F.col(v))).alias("v_lo"),
-        F.max(F.when(hit_hi, F.col(v))).alias("v_hi"),
-        F.max("frac").alias("frac"),
-        F.max("n").alias("n"),
-    )
-    return sel.select(*group, "q", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value"), "n")
+    return exact_quantiles_counted(long.filter(F.col(v).isNotNull()).groupBy(*group, v).agg(F.count(F.lit(1)).alias("c")), group, qs, v)
 
 
 def descriptive_table(df: DataFrame, attrs: list[str]) -> DataFrame:
@@ -300,7 +286,7 @@ def class_boxplot(df: DataFrame, attrs: list[str], target: str) -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     lo_f = F.col("q1") - 1.5 * iqr
     hi_f = F.col("q3") + 1.5 * iqr
-    j = long.join(qw, ["attr", "class"])
+    j = long.join(F.broadcast(qw), ["attr", "class"])  # one row an attribute and class: the rows stay where they were read
     return j.groupBy("attr", "class", "q1", "median", "q3").agg(
         F.min(F.when(F.col("v") >= lo_f, F.col("v"))).alias("whisker_lo"),
         F.max(F.when(F.col("v") <= hi_f, F.col("v"))).alias("whisker_hi"),

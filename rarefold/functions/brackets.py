@@ -138,7 +138,8 @@ def _inside(keep: DataFrame, group: list[str], spans: list[Span], place: list) -
     for i, (x, at) in enumerate(zip(spans, place, strict=True)):
         inside = (F.col(x.attr) >= F.lit(x.lo)) & (F.col(x.attr) <= F.lit(x.hi))
         cols[x.attr] = cols.get(x.attr, F).when(inside, F.struct(F.lit(i).alias("span"), at.alias("bin"), F.col(x.attr).alias("v")))
-    return keep.select(*group, F.explode(F.filter(F.array(*cols.values()), lambda s: s.isNotNull())).alias("s")).select(*group, "s.*")
+    # nulls go after the explosion: a lambda inside it would be interpreted row by row
+    return keep.select(*group, F.explode(F.array(*cols.values())).alias("s")).where(F.col("s").isNotNull()).select(*group, "s.*")
 
 
 def _exact(keep: DataFrame, group: list[str], spans: list[Span]) -> list[list[tuple]]:

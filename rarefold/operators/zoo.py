@@ -523,8 +523,9 @@ def tree_leaf_table(df: DataFrame, feats: list[str], seed: int = 42) -> tuple[Da
     per leaf, plus depth, leaf count, root attribute and importances."""
     from pyspark.ml.classification import DecisionTreeClassifier
 
-    f, _, stat = whole(df, feats)
-    x = keep(_vectors(f.base, f, stat))
+    # features and label alone are stored, once: no step reads a key, and vectors are put together from them faster than they are read back
+    f, _, stat = whole(df.select(F.lit(None).cast("string").alias("row_id"), "y", *feats), feats)
+    x = _vectors(f.base, f, stat).select("features", "y", "w")
     est = DecisionTreeClassifier(maxDepth=3, minInstancesPerNode=5, maxBins=256, weightCol="w", featuresCol="features",
                                  labelCol="y", seed=seed, leafCol="leaf")
     model = est.fit(x)

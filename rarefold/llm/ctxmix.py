@@ -20,6 +20,7 @@ import heapq
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,12 @@ MIX_ROUNDS, MIX_RATE, STEP, PULL = 1, 0.02, 512, 20.0
 MAP_SURE = 256
 #: Tokens whose bits are held at once.
 TOKENS = 20_000
+#: Tokens (or one text's, if more), bits and texts that are worked on together: few enough for a core's cache.
+NEAR_TOKENS, NEAR_BITS, LANES = 4_000, 1 << 15, 32
+#: Most that a half of a small counter (zeros below, ones above) can hold.
+SMALL = (1 << 16) - 1
+#: Highest bits of a hash that tell where to look among the head words.
+HIGH = 18
 TABLES, INPUTS, GATES, MAP_BINS, DEPTHS = 4, 7, 16, 33, 8
 SOFT = 0.4
 END = np.uint64(0x5DEECE66D1234567)
@@ -63,11 +70,31 @@ class Code:
     total: int  # N
     kinds: int  # V
 
+    @cached_property
+    def salt(self) -> np.ndarray:
+        """What each entry of a path adds to a context's share of a slot's hash."""
+        return self.node.astype(np.uint64) * _B * _A
+
+    @cached_property
+    def lead(self) -> np.ndarray:
+        """``order0`` at each entry of a path."""
+        return self.order0[self.node]
+
+    @cached_property
+    def near(self) -> tuple[np.ndarray, int]:
+        """Where the hashes of each value of the ``HIGH`` highest bits begin, and how many the fullest one has."""
+        first = np.searchsorted(self.hashes, np.arange(1 << HIGH, dtype=np.uint64) << np.uint64(64 - HIGH))
+        return first.astype(np.int32), int(np.diff(first, append=len(self.hashes)).max())
+
     def symbols(self, h: np.ndarray) -> np.ndarray:
-        rare = len(self.counts) - 1
-        if not len(self.hashes):
+        rare, last = len(self.counts) - 1, len(self.hashes) - 1
+        if last < 0:
             return np.full(len(h), rare)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        first, most = self.near
+        at = first[(h >> np.uint64(64 - HIGH)).view(np.int64)].astype(np.int64)
+        for _ in range(most):
+            at += self.hashes[np.minimum(at, last)] < h
+        at = np.minimum(at, last)
         return np.where(self.hashes[at] == h, self.symbol[at], rare)
 
 
@@ -98,7 +125,7 @@ def build_code(hashes: np.ndarray, counts: np.ndarray, total: int, kinds: int) -
     length = np.array([len(p) for p in paths], np.int64)
     flat = [e for p in paths for e in p]
     by = np.argsort(hashes)
-    return Code(hashes[by], np.arange(n - 1)[by], freq, np.r_[0, np.cumsum(length)[:-1]], length, np.array([e[0] for e in flat], np.int64), np.array([e[1] for e in flat], np.int64), np.log(ones / zeros).astype(np.float32), total, kinds)
+    return Code(hashes[by], np.arange(n - 1)[by], freq, np.r_[0, np.cumsum(length)[:-1]], length, np.array([e[0] for e in flat], np.int64), np.array([e[1] for e in flat], np.uint8), np.log(ones / zeros).astype(np.float32), total, kinds)
 
 
 @dataclass
@@ -113,7 +140,27 @@ class Stream:
     run: np.ndarray  # class of the match's length, 0 none
 
 
-def read(texts: list[bytes], code: Code) -> Stream:
+def _ranges(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for every n, one after the other."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _last_same(key: np.ndarray) -> np.ndarray:
+    """The last earlier place of the same key, or -1. Keys are sorted by their high bits with the place below them."""
+    m = len(key)
+    low = np.uint64(m.bit_length())
+    sort = np.sort(key >> low << low | np.arange(m, dtype=np.uint64))
+    order = (sort & ((np.uint64(1) << low) - np.uint64(1))).view(np.int64)
+    same = key[order[1:]] == key[order[:-1]]
+    if (same != (sort[1:] >> low == sort[:-1] >> low)).any():  # other keys of the same high bits may lie between
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+    out = np.full(m, -1)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def read(texts: list[bytes], code: Code, matches: bool = True) -> Stream:
     ends: list = []
     h, at = word_hashes([x.lower() for x in texts], ends)
     tail = np.concatenate(ends) if ends else np.zeros(0, np.int64)
@@ -140,11 +187,9 @@ def read(texts: list[bytes], code: Code) -> Stream:
     last = np.r_[-1, np.maximum.accumulate(common)[:-1]] if m else common
     frequent = np.where(last >= start[doc], symbol[last] + 1, 0).astype(np.uint64)
     context = np.stack([mix64(frequent * _A + np.uint64(1)), mix64(before(suffix, 1) * _A + np.uint64(2)), mix64(one + np.uint64(3)), mix64(two + np.uint64(4))])
-    key = two ^ mix64(doc.astype(np.uint64) + np.uint64(77))
-    order = np.argsort(key, kind="stable")
-    same = np.r_[False, key[order[1:]] == key[order[:-1]]]
-    match = np.full(m, -1)
-    match[order[1:]] = np.where(same[1:], order[:-1], -1)
+    if not matches:
+        return Stream(doc, tok, symbol, context, np.full(m, -1), np.zeros(m, np.int64))
+    match = _last_same(two ^ mix64(doc.astype(np.uint64) + np.uint64(77)))
     match[match >= 0] = np.where(doc[match[match >= 0]] == doc[match >= 0], match[match >= 0], -1)
     match[np.arange(m) - start[doc] < 2] = -1
     goes_on = np.r_[False, (match[1:] >= 0) & (match[1:] == match[:-1] + 1)]
@@ -154,50 +199,75 @@ def read(texts: list[bytes], code: Code) -> Stream:
     return Stream(doc, tok, symbol, context, match, run)
 
 
+def _get(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``x[at]`` of places that are all inside, so that numpy needn't look for others."""
+    return np.take(x, at, mode="clip")
+
+
 def slots(context: np.ndarray, salted: np.ndarray) -> np.ndarray:
     """Slots of bits from their context's hash and ``salted``, their node times _B."""
-    return ((context + salted) * _A >> np.uint64(64 - TABLE_BITS)).view(np.int64)
+    return _slots(context * _A, salted * _A)
+
+
+def _slots(context: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return (context + salt >> np.uint64(64 - TABLE_BITS)).view(np.int64)
 
 
 @dataclass
 class Bits:
-    """Every coded bit of some neighbouring tokens: which token, its depth, node and value, and its slot in every table."""
+    """Some coded bits: which token, depth in its path, entry of the paths and value, and its slot in every table."""
 
     tok: np.ndarray
     depth: np.ndarray
-    node: np.ndarray
+    at: np.ndarray
     bit: np.ndarray
     slot: list[np.ndarray]
 
 
 def bits(s: Stream, code: Code, lo: int, hi: int) -> Bits:
-    n = code.length[s.symbol[lo:hi]]
-    start = np.cumsum(n) - n
-    tok = np.repeat(np.arange(lo, hi), n)
-    depth = np.arange(len(tok)) - np.repeat(start, n)
-    at = np.repeat(code.offset[s.symbol[lo:hi]] - start, n) + np.arange(len(tok))
-    node = code.node[at]
-    salted = node.astype(np.uint64) * _B
-    return Bits(tok, depth, node, code.bit[at], [slots(np.repeat(s.context[k, lo:hi], n), salted) for k in range(TABLES)])
+    """Every bit of some neighbouring tokens."""
+    return _bits(s, code, np.arange(lo, hi), code.length[s.symbol[lo:hi]], np.zeros(hi - lo, np.int64))
+
+
+def cut(s: Stream, code: Code, begin: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Bits:
+    """The bits from ``lo`` to ``hi`` of all the stream's, for each pair; ``begin`` is where each token's begin."""
+    a, b = np.searchsorted(begin, lo, "right") - 1, np.searchsorted(begin, hi)
+    toks = np.repeat(a, b - a) + _ranges(b - a)
+    n, skip = code.length[s.symbol[toks]], np.zeros(len(toks), np.int64)
+    end = np.cumsum(b - a)
+    skip[end - (b - a)] = lo - begin[a]
+    n -= skip
+    n[end - 1] -= begin[b] - hi
+    return _bits(s, code, toks, n, skip)
+
+
+def _bits(s: Stream, code: Code, toks: np.ndarray, n: np.ndarray, skip: np.ndarray) -> Bits:
+    """``n`` bits of every token, after the first ``skip``."""
+    base = np.cumsum(n) - n - skip
+    place = np.arange(int(n.sum()))
+    at = place + np.repeat(code.offset[s.symbol[toks]] - base, n)
+    salt = _get(code.salt, at)
+    slot = [_slots(np.repeat(s.context[k, toks] * _A, n), salt) for k in range(TABLES)]
+    return Bits(np.repeat(toks, n), place - np.repeat(base, n), at, _get(code.bit, at), slot)
 
 
 def inputs(s: Stream, code: Code, e: Bits, odds: list[np.ndarray], sure: np.ndarray, where: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     """The mixer's inputs of every bit, and its gate. ``odds``: log-odds at ``where`` (None: of the bits themselves); ``sure``: confidence of the third table's."""
-    x = np.zeros((INPUTS, len(e.tok)), np.float32)
-    np.take(code.order0, e.node, out=x[0])
+    x = np.empty((INPUTS, len(e.tok)), np.float32)
+    np.take(code.lead, e.at, out=x[0], mode="clip")
     for k in range(TABLES):
         if where is None:
             x[1 + k] = odds[k]
         else:
-            np.take(odds[k], where[k], out=x[1 + k])
-    x[6] = 0.3
-    gate = (sure if where is None else sure[where[2]]).astype(np.int64)
-    some = np.flatnonzero((s.match >= 0)[e.tok])
+            np.take(odds[k], where[k], out=x[1 + k], mode="clip")
+    x[5], x[6] = 0, 0.3
+    gate = (sure if where is None else _get(sure, where[2])).astype(np.int64)
+    some = np.flatnonzero(_get(s.match, e.tok) >= 0)
     if len(some):  # bits of tokens with a match whose path has followed the guess so far
         tok, depth = e.tok[some], e.depth[some]
         guess = s.symbol[s.match[tok]]
         at = np.minimum(code.offset[guess] + depth, len(code.node) - 1)
-        agree = (depth < code.length[guess]) & (code.node[at] == e.node[some])
+        agree = (depth < code.length[guess]) & (code.node[at] == code.node[e.at[some]])
         some, at = some[agree], at[agree]
         x[5, some] = 2.0 * code.bit[at] - 1
         gate[some] += 4 * s.run[tok[agree]]
@@ -241,10 +311,10 @@ def _refine(z: np.ndarray, depth: np.ndarray, apm: np.ndarray) -> np.ndarray:
 def _read_map(z: np.ndarray, place: np.ndarray, flat: np.ndarray) -> np.ndarray:
     z = np.clip(z, -7.99, 7.99)
     at = (z + 8) * ((MAP_BINS - 1) / 16)
-    low = at.astype(np.int64)
-    part = at - low
-    row = place + low
-    return 0.5 / (1 + np.exp(-z)) + 0.5 * (flat[row] * (1 - part) + flat[row + 1] * part)
+    low = np.floor(at)
+    row = place + low.astype(np.int64)
+    below = _get(flat, row)
+    return 0.5 / (1 + np.exp(-z)) + 0.5 * (below + (_get(flat, row + 1) - below) * (at - low))
 
 
 def score_texts(texts: list[bytes], model: Model) -> tuple[np.ndarray, Stream, np.ndarray]:
@@ -258,71 +328,104 @@ def score_texts(texts: list[bytes], model: Model) -> tuple[np.ndarray, Stream, n
     told = asked & (s.hash[guess] == s.hash)
     p = model.hit[s.run]
     total += np.bincount(s.doc, np.where(told, np.log(p), np.where(asked, np.log1p(-p), 0)), len(texts))
-    n_bits = np.bincount(s.doc, code.length[s.symbol], len(texts)).astype(np.int64)
-    ends = np.cumsum(np.bincount(s.doc, minlength=len(texts)))
-    for a, b in _groups(ends):
-        own = Own(model, n_bits[a:b])
-        lo, hi = (int(ends[a - 1]) if a else 0), int(ends[b - 1])
-        for at in range(lo, hi, TOKENS):
-            e = bits(s, code, at, min(at + TOKENS, hi))
-            if len(e.tok):
-                x, gate = inputs(s, code, e, model.odds, model.sure[2], e.slot)
-                d = s.doc[e.tok] - a
-                total[a:b] += np.bincount(d, own.code(d, x, gate, e.depth, e.bit), b - a)
+    begin = np.r_[0, np.cumsum(code.length[s.symbol])]
+    count, lo, hi = _steps(np.cumsum(np.bincount(s.doc, minlength=len(texts))), begin)
+    if len(lo):
+        step, lane, alive = _lanes(count)
+        text, fresh = np.repeat(np.arange(len(texts)), count)[step], _ranges(count)[step] == 0
+        lo, hi, ends = lo[step], hi[step], np.cumsum(alive)
+        own = Own(model, int(alive[0]))
+        a = r = 0
+        while r < len(alive):  # rounds of a step of each lane; the inputs of some rounds are made together
+            q = max(r + 1, int(np.searchsorted(ends, a + NEAR_BITS // STEP, "right")))
+            b = int(ends[q - 1])
+            n = hi[a:b] - lo[a:b]
+            e = cut(s, code, begin, lo[a:b], hi[a:b])
+            x, gate = inputs(s, code, e, model.odds, model.sure[2], e.slot)
+            total += np.bincount(np.repeat(text[a:b], n), own.code(lane[a:b], fresh[a:b], n, alive[r:q], x, gate, e), len(texts))
+            a, r = b, q
     return total, s, told
 
 
+def _steps(ends: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of steps of each text, and the first bit and the end of each step: ``STEP`` bits, fewer where a text or ``TOKENS`` of its tokens end."""
+    start = np.r_[0, ends[:-1]]
+    pieces = -(-(ends - start) // TOKENS)
+    text = np.repeat(np.arange(len(ends)), pieces)
+    first = start[text] + TOKENS * _ranges(pieces)
+    lo, hi = begin[first], begin[np.minimum(first + TOKENS, ends[text])]
+    n = -(-(hi - lo) // STEP)
+    at = np.repeat(lo, n) + STEP * _ranges(n)
+    return np.bincount(np.repeat(text, n), minlength=len(ends)), at, np.minimum(at + STEP, np.repeat(hi, n))
+
+
+def _lanes(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Deal texts of ``count`` steps to lanes, the longest first: the steps in the order of rounds, each one's lane, and lanes in each round."""
+    lanes = min(LANES, -(-int(count.sum()) // int(count.max())))
+    heap = [(0, i) for i in range(lanes)]
+    start, lane = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)
+    for t in np.argsort(-count, kind="stable")[: np.count_nonzero(count)].tolist():
+        start[t], lane[t] = load, i = heap[0]
+        heapq.heapreplace(heap, (load + int(count[t]), i))
+    name = np.zeros(lanes, np.int64)
+    name[[i for _, i in sorted(heap, reverse=True)]] = np.arange(lanes)  # lanes that go on are the first ones
+    when, where = np.repeat(start, count) + _ranges(count), np.repeat(name[lane], count)
+    order = np.lexsort((where, when))
+    return order, where[order], np.bincount(when)
+
+
 def _groups(ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of at most ``TOKENS`` tokens together; a longer text is alone."""
+    """Ranges of neighbouring texts of at most ``NEAR_TOKENS`` tokens together; a longer text is alone."""
     a = 0
     while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOKENS, side="right")))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + NEAR_TOKENS, side="right")))
         yield a, b
         a = b
 
 
 class Own:
-    """Weights and map of each of some texts: the fitted ones, refined along the text. What a text's mates are does not matter."""
-
-    def __init__(self, model: Model, n_bits: np.ndarray):
-        long = n_bits > STEP
-        self.at = np.where(long, np.cumsum(long), 0)  # place 0 is the fitted state, for texts that end before the first update
-        self.left = n_bits.copy()
-        m = int(long.sum()) + 1
-        self.w = np.repeat(model.weights[:, None, :], m, axis=1).reshape(INPUTS, -1)
-        self.fit = np.tile(model.map.ravel(), m)
+    """Weights and map of the text that each lane is at: the fitted ones, refined along the text. What a text's mates are does not matter."""
+
+    def __init__(self, model: Model, lanes: int):
+        self.model = model
+        self.w = np.tile(model.weights, lanes)
+        self.fit = np.tile(model.map.ravel(), lanes)
         self.map = self.fit.copy()
         self.n, self.ones = (np.zeros(len(self.map), np.float32) for _ in range(2))
 
-    def code(self, d: np.ndarray, x: np.ndarray, gate: np.ndarray, depth: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """Log probability of every bit; bits of a text are in order."""
-        out = np.empty(len(d))
-        first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        step = (np.arange(len(d)) - np.repeat(first, np.diff(np.r_[first, len(d)]))) // STEP
-        order = np.argsort(step, kind="stable")
-        cell, place = self.at[d] * GATES + gate, (self.at[d] * DEPTHS + np.minimum(depth, DEPTHS - 1)) * MAP_BINS
-        for part in np.split(order, np.cumsum(np.bincount(step))[:-1]):
-            z = np.zeros(len(part), np.float32)
-            for i in range(INPUTS):
-                z += np.take(self.w[i], cell[part]) * x[i, part]
-            q = _read_map(z, place[part], self.map)
-            out[part] = np.log(np.where(bit[part], q, 1 - q))
-            self.left -= np.bincount(d[part], minlength=len(self.left))
-            on = self.left[d[part]] > 0
-            if on.any():
-                self.update(part[on], z[on], cell, place, x, bit)
-        return out
-
-    def update(self, part: np.ndarray, z: np.ndarray, cell: np.ndarray, place: np.ndarray, x: np.ndarray, bit: np.ndarray) -> None:
-        c, y = cell[part], bit[part]
+    def code(self, lane: np.ndarray, fresh: np.ndarray, n: np.ndarray, alive: np.ndarray, x: np.ndarray, gate: np.ndarray, e: Bits) -> np.ndarray:
+        """Log probability of every bit of some rounds; each has a step of ``n`` bits of each of its ``alive`` first lanes, ``fresh`` where a text begins."""
+        at = np.repeat(lane, n)
+        cell, place = at * GATES + gate, (at * DEPTHS + np.minimum(e.depth, DEPTHS - 1)) * MAP_BINS
+        y, p = e.bit.astype(np.float32), np.empty(len(at), np.float32)
+        i, ends = 0, np.r_[0, np.cumsum(n)]
+        for now in alive.tolist():
+            self.begin(lane[i : i + now][fresh[i : i + now]])
+            part = slice(int(ends[i]), int(ends[i + now]))
+            z = np.zeros(part.stop - part.start, np.float32)
+            for k in range(INPUTS):
+                z += _get(self.w[k], cell[part]) * x[k, part]
+            p[part] = np.abs(_read_map(z, place[part], self.map) - (1 - y[part]))
+            self.update(z, cell[part], place[part], x[:, part], y[part], now)
+            i += now
+        return np.log(p)
+
+    def begin(self, lanes: np.ndarray) -> None:
+        if len(lanes):
+            self.w.reshape(INPUTS, -1, GATES)[:, lanes] = self.model.weights[:, None]
+            for own, first in ((self.map, self.model.map.ravel()), (self.n, 0), (self.ones, 0)):
+                own.reshape(-1, DEPTHS * MAP_BINS)[lanes] = first
+
+    def update(self, z: np.ndarray, cell: np.ndarray, place: np.ndarray, x: np.ndarray, y: np.ndarray, now: int) -> None:
+        cells, places = now * GATES, now * DEPTHS * MAP_BINS
         error = y - 1 / (1 + np.exp(-np.clip(z, -20, 20)))
-        per = MIX_RATE / np.maximum(np.bincount(c, minlength=self.w.shape[1]), 1) ** 0.5
+        per = MIX_RATE / np.maximum(np.bincount(cell, minlength=cells), 1) ** 0.5
         for i in range(INPUTS):
-            self.w[i] += np.bincount(c, error * x[i, part], self.w.shape[1]) * per
-        row = place[part] + _bin(z)
-        np.add.at(self.n, row, np.float32(1))
-        np.add.at(self.ones, row, y.astype(np.float32))
-        self.map[row] = (MAP_SURE * self.fit[row] + self.ones[row]) / (MAP_SURE + self.n[row])
+            self.w[i, :cells] += np.bincount(cell, error * x[i], cells) * per
+        row = place + _bin(z)
+        self.n[:places] += np.bincount(row, minlength=places)
+        self.ones[:places] += np.bincount(row, y, places)
+        self.map[:places] = (MAP_SURE * self.fit[:places] + self.ones[:places]) / (MAP_SURE + self.n[:places])
 
 
 def _bin(z: np.ndarray) -> np.ndarray:
@@ -339,6 +442,7 @@ class Fit:
         self.coding, self.w = code, start
         self.left = np.stack([n0, n1], axis=-1).astype(np.float32)  # without the bits of the text at hand
         self.pairs = [t.reshape(-1).view(np.int64) for t in self.left]
+        self.small = np.zeros(len(n0[0]), np.uint32)  # goes round at 2^32: only differences are read
         self.slope, self.curve = np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS, INPUTS))
         self.seen, self.hits, self.tries = np.zeros(GATES), np.zeros(4), np.zeros(4)
         self.map_n, self.map_1 = np.zeros(DEPTHS * MAP_BINS), np.zeros(DEPTHS * MAP_BINS)
@@ -351,45 +455,76 @@ class Fit:
         asked = (guess >= 0) & (s.symbol[guess] == rare)
         self.tries += np.bincount(s.run[asked], minlength=4)
         self.hits += np.bincount(s.run[asked & (s.hash[guess] == s.hash)], minlength=4)
-        ends = np.cumsum(np.bincount(s.doc, minlength=len(texts))).tolist()
-        for lo, hi in zip([0, *ends], ends):
-            kept = [bits(s, code, lo, hi)] if hi - lo <= TOKENS else None
+        ends = np.cumsum(np.bincount(s.doc, minlength=len(texts)))
+        begin = np.r_[0, np.cumsum(code.length[s.symbol])]
+        for a, b in _groups(ends):
+            cuts = begin[np.r_[ends[a - 1] if a else 0, ends[a:b]]]
+            if np.diff(cuts).max() <= SMALL:
+                e = bits(s, code, int(ends[a - 1]) if a else 0, int(ends[b - 1]))
+                if len(e.tok):
+                    self.steps(s, e, self.others(e, (cuts - cuts[0]).tolist()))
+                continue
+            for i in range(a, b):
+                self.add_long(s, int(ends[i - 1]) if i else 0, int(ends[i]))
 
-            def each(lo: int = lo, hi: int = hi, kept: list | None = kept) -> Iterable[Bits]:
-                return kept or (bits(s, code, at, min(at + TOKENS, hi)) for at in range(lo, hi, TOKENS))
+    def add_long(self, s: Stream, lo: int, hi: int) -> None:
+        """One text of any length."""
+        kept = [bits(s, self.coding, lo, hi)] if hi - lo <= TOKENS else None
 
-            for e in each():
-                self.move(e, np.float32(-1))
-            for e in each():
-                if len(e.tok):
-                    self.steps(s, e)
-            for e in each():
-                self.move(e, np.float32(1))
+        def each() -> Iterable[Bits]:
+            return kept or (bits(s, self.coding, at, min(at + TOKENS, hi)) for at in range(lo, hi, TOKENS))
+
+        for e in each():
+            self.move(e, np.float32(-1))
+        for e in each():
+            if len(e.tok):
+                self.steps(s, e, [np.maximum(self.counts(k, e.slot[k]), 0) for k in range(TABLES)])
+        for e in each():
+            self.move(e, np.float32(1))
 
     def move(self, e: Bits, by: np.float32) -> None:
         for k in range(TABLES):
             np.add.at(self.left[k].reshape(-1), 2 * e.slot[k] + e.bit, by)
 
-    def steps(self, s: Stream, e: Bits) -> None:
+    def counts(self, k: int, slot: np.ndarray) -> np.ndarray:
+        return _get(self.pairs[k], slot).view(np.float32).reshape(-1, 2)
+
+    def others(self, e: Bits, cuts: list[int]) -> list[np.ndarray]:
+        """Counts at every bit's slots less those of its own text, whose bits lie between two ``cuts``, at most ``SMALL`` of them."""
+        one, out, before, after = _small(e.bit), [], *np.empty((2, len(e.bit)), np.uint32)
+        for slot in e.slot:
+            for lo, hi in zip(cuts, cuts[1:]):
+                at = slot[lo:hi]
+                np.take(self.small, at, out=before[lo:hi], mode="clip")
+                np.add.at(self.small, at, one[lo:hi])
+                np.take(self.small, at, out=after[lo:hi], mode="clip")
+            n = self.counts(len(out), slot)
+            n -= (after - before).view(np.uint16).reshape(-1, 2)
+            out.append(np.maximum(n, 0, out=n))
+        return out
+
+    def steps(self, s: Stream, e: Bits, counts: list[np.ndarray]) -> None:
         odds = []
         for k in range(TABLES):
-            n = np.maximum(self.pairs[k][e.slot[k]].view(np.float32).reshape(-1, 2), 0)
-            odds.append(np.log((n[:, 1] + np.float32(SOFT)) / (n[:, 0] + np.float32(SOFT))))
-            if k == 2:
-                sure = _sure(n[:, 0] + n[:, 1])
+            n = counts[k] + np.float32(SOFT)
+            odds.append(np.log(n[:, 1] / n[:, 0]))
+        sure = _sure(counts[2][:, 0] + counts[2][:, 1])
         x, gate = inputs(s, self.coding, e, odds, sure, None)
         order = np.argsort(gate.astype(np.uint8), kind="stable")
-        x, bit, ends = x[:, order], e.bit[order], np.cumsum(np.bincount(gate, minlength=GATES))
+        bit, ends = _get(e.bit, order), np.cumsum(np.bincount(gate, minlength=GATES))
+        sort = np.empty(x.shape)  # in double precision, so that it doesn't matter which texts are added together
+        for i in range(INPUTS):
+            sort[i] = _get(x[i], order)
         z = np.empty(len(order), np.float32)
         for g, (lo, hi) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)):
             if lo < hi:
-                xs = x[:, lo:hi]
-                z[lo:hi] = zs = self.w[:, g] @ xs
+                xs = sort[:, lo:hi]
+                z[lo:hi] = zs = (self.w[:, g].astype(float) @ xs).astype(np.float32)
                 p = 1 / (1 + np.exp(-np.clip(zs, -20, 20)))
-                self.slope[g] += xs @ (bit[lo:hi] - p)
+                self.slope[g] += xs @ (bit[lo:hi] - p).astype(float)
                 self.curve[g] += (xs * (p * (1 - p))) @ xs.T
         self.seen += np.diff(np.r_[0, ends])
-        row = np.minimum(e.depth[order], DEPTHS - 1) * MAP_BINS + _bin(z)
+        row = np.minimum(_get(e.depth, order), DEPTHS - 1) * MAP_BINS + _bin(z)
         self.map_n += np.bincount(row, minlength=len(self.map_n))
         self.map_1 += np.bincount(row, bit, len(self.map_1))
 
@@ -486,21 +621,44 @@ def head_words(vocabulary: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.
     return got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy(), total, kinds
 
 
+def _small(bit: np.ndarray) -> np.ndarray:
+    """What each bit adds to a small counter: its low half counts zeros, its high half ones."""
+    return bit * np.uint32(SMALL) + np.uint32(1)
+
+
+def count_bits(texts: list[bytes], code: Code, seen: np.ndarray, small: np.ndarray) -> None:
+    """Add every bit of the texts to its slot in every table, by way of the small counters, which are zero before and after."""
+    s = read(texts, code, matches=False)
+
+    def each() -> Iterable[Bits]:
+        return (bits(s, code, lo, min(lo + NEAR_TOKENS, len(s.hash))) for lo in range(0, len(s.hash), NEAR_TOKENS))
+
+    for e in each():
+        one = _small(e.bit)
+        for k in range(TABLES):
+            np.add.at(small[k], e.slot[k], one)
+    halves, n = small.view(np.uint16), int(code.length[s.symbol].sum())
+    whole = [int(h.sum(dtype=np.int64)) == n for h in halves]  # a half that ran over took 65535 or more from the sum
+    for k in np.flatnonzero(whole):
+        seen[k] += halves[k]
+    small[:] = 0
+    if not all(whole):
+        for e in each():
+            for k in np.flatnonzero(~np.array(whole)):
+                np.add.at(seen[k], 2 * e.slot[k] + e.bit, np.int32(1))
+
+
 def count_contexts(docs: DataFrame, code: Code) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones seen in every slot of every table; each task shuffles its sums once, in short rows."""
     sent = docs.sparkSession.sparkContext.broadcast(code)
     size = 1 << TABLE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, seen = sent.value, np.zeros((TABLES, 2 * size), np.int32)
+        code, seen, small = sent.value, np.zeros((TABLES, 2 * size), np.int32), np.zeros((TABLES, size), np.uint32)
         for batch in batches:
             texts = texts_of(batch.column("text"))
             for a, b in blocks(texts, 1 << 20):
-                s = read(texts[a:b], code)
-                for lo in range(0, len(s.hash), TOKENS):
-                    e = bits(s, code, lo, min(lo + TOKENS, len(s.hash)))
-                    for k in range(TABLES):
-                        np.add.at(seen[k], 2 * e.slot[k] + e.bit, np.int32(1))
+                count_bits(texts[a:b], code, seen, small)
         rows = seen.reshape(-1, 2 * CHUNK)
         full = np.flatnonzero(rows.any(axis=1))
         for lo in range(0, len(full), 512):

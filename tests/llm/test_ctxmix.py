@@ -229,3 +229,73 @@ def test_scores_equal_brute_force_and_do_not_depend_on_partitions(spark, monkeyp
     assert len(model.code.hashes) <= 60 and min(want) < -100
     for (i, _), v in zip(rows, want):
         assert abs(got[0][i] - v) < 1e-4 * max(1, abs(v)), i
+
+
+def plain(texts, code):
+    s = ctxmix.read(texts, code)
+    e, out = ctxmix.bits(s, code, 0, len(s.hash)), np.zeros((ctxmix.TABLES, 2 << ctxmix.TABLE_BITS), np.int64)
+    for k in range(ctxmix.TABLES):
+        np.add.at(out[k], 2 * e.slot[k] + e.bit, 1)
+    return out
+
+
+def test_small_counters_lose_nothing_where_a_half_runs_over():
+    texts = [b"a b " * 70000, b"", b"c a d"]  # a path's first bit is seen more than 65535 times in one context
+    code = small_model([b"a b c d a a b"]).code
+    seen, small = np.zeros((ctxmix.TABLES, 2 << ctxmix.TABLE_BITS), np.int32), np.zeros((ctxmix.TABLES, 1 << ctxmix.TABLE_BITS), np.uint32)
+    for _ in range(2):
+        ctxmix.count_bits(texts, code, seen, small)
+    ctxmix.count_bits([b"c a d"], code, seen, small)
+    assert seen.max() > 2 * ctxmix.SMALL and not small.any()
+    assert (seen == 2 * plain(texts, code) + plain([b"c a d"], code)).all()
+
+
+def test_fit_is_the_same_by_small_counters_and_for_long_texts(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [b" ".join(b"w%d" % i for i in rng.zipf(1.5, n) % 90) for n in (3, 0, 700, 40, 2500, 1, 300)]
+    code = small_model(texts).code
+    n = plain(texts, code).reshape(ctxmix.TABLES, -1, 2).astype(np.float32)
+    got = []
+    for small, near, held in ((ctxmix.SMALL, ctxmix.NEAR_TOKENS, ctxmix.TOKENS), (ctxmix.SMALL, 50, 20000), (0, 50, 20000), (0, 50, 90)):
+        monkeypatch.setattr(ctxmix, "SMALL", small or ctxmix.SMALL)
+        monkeypatch.setattr(ctxmix, "NEAR_TOKENS", near)
+        monkeypatch.setattr(ctxmix, "TOKENS", held)
+        fit = ctxmix.Fit(code, n[..., 0], n[..., 1], ctxmix._first_weights())
+        if not small:
+            monkeypatch.setattr(ctxmix, "SMALL", -1)
+        fit.add(texts)
+        got.append(fit.sums())
+        assert (fit.left == n).all()
+        monkeypatch.undo()
+    assert all(np.abs(g - got[0]).max() < 1e-6 for g in got)
+
+
+def test_last_same_key_also_where_high_bits_are_alike():
+    rng = np.random.default_rng(1)
+    for key in (rng.integers(0, 40, 500), np.array([5, 4, 5, 5, 4, 6]), rng.integers(0, 9, 300) << 60, np.zeros(0, np.int64)):
+        seen, want = {}, []
+        for i, k in enumerate(key.tolist()):
+            want.append(seen.get(k, -1))
+            seen[k] = i
+        assert ctxmix._last_same(key.astype(np.uint64)).tolist() == want
+
+
+def test_texts_are_dealt_to_lanes_without_idle_rounds(monkeypatch):
+    """A long text among short ones costs no round more than its own steps, and lanes don't change a score."""
+    count = np.array([40, 1, 0, 7, 3, 3, 1, 9, 2, 2, 5, 7])
+    order, lane, alive = ctxmix._lanes(count)
+    assert len(alive) == 40 and alive.sum() == count.sum() and sorted(order) == list(range(count.sum()))
+    text, at = np.repeat(np.arange(len(count)), count)[order], np.split(np.arange(len(order)), np.cumsum(alive)[:-1])
+    assert all(lane[rows].tolist() == list(range(len(rows))) for rows in at)
+    for t in range(len(count)):
+        assert len(set(lane[text == t])) <= 1 and (np.diff(order[text == t]) == 1).all()
+    rng = np.random.default_rng(3)
+    words = [b"w%d" % i for i in range(50)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 50, n)) for n in (3000, 5, 0, 400, 900, 30, 250)]
+    model, rounds = small_model(texts), []
+    real = ctxmix.Own.update
+    monkeypatch.setattr(ctxmix.Own, "update", lambda self, *a: (rounds.append(1), real(self, *a))[1])
+    got = ctxmix.score_texts(texts, model)[0]
+    assert len(rounds) <= -(-int(model.code.length.max()) * 3001 // ctxmix.STEP)
+    monkeypatch.setattr(ctxmix, "LANES", 1)
+    assert np.allclose(ctxmix.score_texts(texts, model)[0], got, rtol=1e-7)
